@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from triago.llm import chat, url_rules
+from triago.llm import chat, mixing, url_rules
 
 
 def queries() -> dict:
     return {
+        "op1_pareto_mix": mixing.op1_pareto_mix,
         "op7_chat_round_trip": chat.op7_chat_round_trip,
         "op9_url_rules": url_rules.op9_url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_round_trip": chat.ORACLE, "op9_url_rules": url_rules.ORACLE}
+    return {"op1_pareto_mix": mixing.ORACLE, "op7_chat_round_trip": chat.ORACLE, "op9_url_rules": url_rules.ORACLE}
