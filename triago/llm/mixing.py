@@ -45,8 +45,8 @@ def targets(sources: DataFrame, weights: list[int], share: tuple[int, int], most
     budget = F.sum("source_size").over(everything) * share[0] / share[1]
     level = (budget - F.coalesce(F.sum("cap").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("weight").over(rise.rowsBetween(0, Window.unboundedFollowing))
     leveled = known.withColumn("level", level)
-    # the first source, in rising order of cap / weight, that is not capped at its own level sets the common one
-    common = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    # levels only fall after the first source, in rising order of cap / weight, that is not capped at its own level
+    common = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return leveled.withColumn("common", common).select("source", "source_size", F.when(F.col("common").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("common") * F.col("weight"))).alias("target"))
 
 
@@ -124,7 +124,7 @@ s AS (SELECT source, sum(words)::BIGINT AS source_size FROM h GROUP BY source),
 s2 AS (SELECT *, 2 * source_size AS cap, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 s3 AS (SELECT *, ((SELECT sum(source_size) FROM s) * 3 / 2.0 - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
-s4 AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT min(level) FROM s3 WHERE level * weight <= cap) * weight), cap::DOUBLE) AS target FROM s3),
+s4 AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT max(level) FROM s3 WHERE level * weight <= cap) * weight), cap::DOUBLE) AS target FROM s3),
 h2 AS (SELECT h.source, w, words, source_size, target,
     (target - 2 * coalesce(sum(words) OVER (PARTITION BY h.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / nullif(sum(words * w) OVER (PARTITION BY h.source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale
