@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triago.llm import archives, chat, media, mixing, risk_rules, url_rules
+from triago.llm import archives, chat, media, mixing, risk_rules, simhash, url_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pareto_mix": mixing.op1_pareto_mix,
         "op2_arc_to_warc": archives.op2_arc_to_warc,
         "op10_media_shards": media.op10_media_shards,
+        "op3_simhash_components": simhash.op3_simhash_components,
         "op5_risk_rules": risk_rules.op5_risk_rules,
         "op7_chat_round_trip": chat.op7_chat_round_trip,
         "op9_url_rules": url_rules.op9_url_rules,
