@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triago.llm.common import shared_dir, table, written
+from triago.llm.common import shared_dir, table, tasks, written
 from triago.llm.shards import ShardReader, ShardWriter, opened
 
 #: Fixed values of the ARC format: the fields of a record line by version.
@@ -187,7 +187,7 @@ def scan_arc(records: DataFrame, folder: str) -> DataFrame:
 
 def _by_shard(rows: DataFrame) -> DataFrame:
     """A shard's rows together and in order: at most the records of one shard for each key."""
-    return rows.repartition("shard").sortWithinPartitions("shard", "offset")
+    return rows.repartition(tasks(rows), "shard").sortWithinPartitions("shard", "offset")
 
 
 def resolve(records: DataFrame, least: int = 0) -> DataFrame:

@@ -45,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: for rows that stand for much more work than their bytes show, and so
+    must not be gathered into few tasks by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

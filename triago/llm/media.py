@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triago.llm.common import shared_dir, table, written
+from triago.llm.common import shared_dir, table, tasks, written
 from triago.llm.shards import ShardReader, ShardWriter
 
 UNIT = 576
@@ -110,7 +110,7 @@ def store(rows: DataFrame, folder: str, key: str, text: str) -> DataFrame:
 
 
 def _by_shard(listed: DataFrame) -> DataFrame:
-    return listed.repartition("shard").sortWithinPartitions("shard", "offset")
+    return listed.repartition(tasks(listed), "shard").sortWithinPartitions("shard", "offset")
 
 
 def with_header(listed: DataFrame, folder: str) -> DataFrame:
