@@ -11,7 +11,7 @@ verified inside the list.
 Only distinct fingerprints are indexed, so copies never meet as pairs. A list yields links that span its connected
 parts, at most its length less one, and components over all lists are those over all links: two linked fingerprints
 share a list and are connected in it. Lists hold distinct values of ``max_bits`` bytes, so at most 2^24 (for 3 bits) of 8
-bytes each; up to ``BLOCK`` members are compared in blocks, longer lists by masked sorting, linear in the list.
+bytes each; up to ``BLOCK`` members are compared with each other, longer lists are sorted under masks, linear in the list.
 """
 
 from __future__ import annotations
@@ -32,82 +32,99 @@ BLOCK = 4096
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned fingerprint of a whole text: A-Z lower-cased, shingles of ``words`` words with repeats, XXH64; a bit
-    is set if it is in over half the hashes. Fewer words make one shingle, none the fingerprint 0 (null texts too)."""
-    parts = (text or "").encode().lower().split()  # of bytes: A-Z and the six ASCII spaces only
-    if not parts:
+def shingles(parts: list[bytes], words: int) -> list[bytes]:
+    """Runs of ``words`` words, repeats included; fewer words make one shingle, none none."""
+    if len(parts) <= words:
+        return [b" ".join(parts)] if parts else []
+    return list(map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)))
+
+
+def split_words(text: str | None) -> list[bytes]:
+    """Words of a whole text, A-Z lower-cased; as bytes, lower() and split() touch ASCII letters and spaces only."""
+    return (text or "").encode().lower().split()
+
+
+def fingerprint(parts: list[bytes], words: int = 3, distinct: bool = False) -> int:
+    """The unsigned fingerprint: a bit is set if it is in over half of the shingles' XXH64 hashes (of the distinct
+    shingles' only, if so asked). Without words it is 0."""
+    found = shingles(parts, words)
+    if not found:
         return 0
-    shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in (set(found) if distinct else found)], dtype="<u8")
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
-    """(key, fp) of each row; fp holds the 64 bits as a signed number."""
+def with_fingerprints(docs: DataFrame, key: str, text: str, words: int = 3, distinct: bool = False) -> DataFrame:
+    """(key, fp, same) of each row: 64 bits as a signed number, and a second hash of the whole sequence of words."""
     kind = docs.schema[key].dataType.simpleString()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": batch["key"].array, "fp": fps})
+            texts = [split_words(t) for t in batch["text"]]
+            fps = np.array([fingerprint(t, words, distinct) for t in texts], dtype=np.uint64).view(np.int64)
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(t), SEED + 1) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"key": batch["key"].array, "fp": fps, "same": same})
 
     # the key travels as text, so that no kind of id loses digits on the way
     plain = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return plain.mapInPandas(task, "key string, fp long").select(F.col("key").cast(kind).alias(key), "fp")
+    return plain.mapInPandas(task, "key string, fp long, same long").select(F.col("key").cast(kind).alias(key), "fp", "same")
 
 
-def postings(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(positions, bytes, fp): the index entries of each fingerprint."""
-    sets = list(combinations(range(8), 8 - max_bits))
-    entries = F.array(*(F.struct(F.lit(i).cast("byte").alias("positions"), F.col("fp").bitwiseAND(sum(0xFF << 8 * p for p in s) if 7 not in s else sum(0xFF << 8 * p for p in s) - (1 << 64)).alias("bytes")) for i, s in enumerate(sets)))
+def postings(fps: DataFrame, matches: int) -> DataFrame:
+    """(positions, bytes, fp): the index entries of each fingerprint, one for each set of ``matches`` positions."""
+    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(8), matches)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    entries = F.array(*(F.struct(F.lit(i).cast("byte").alias("positions"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes")) for i, m in enumerate(signed)))
     return fps.select("fp", F.inline(entries))
 
 
-def _parts(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
-    """Links that span the connected parts of one list of distinct fingerprints."""
-    parent = list(range(len(fps)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def pairs() -> Iterator[tuple[int, int]]:
-        if len(fps) <= BLOCK:
-            for i in range(len(fps) - 1):
-                differ = fps[i + 1 :] ^ fps[i]
-                tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-                for j in np.flatnonzero((tally >= 8 - max_bits) & (np.bitwise_count(differ) <= max_bits)):
-                    yield i, i + 1 + int(j)
-            return
-        free = [b for b in range(64) if ((fps ^ fps[0]) >> np.uint64(b) & np.uint64(1)).any()]
-        for masked in combinations(free, min(max_bits, len(free))):
-            rest = fps & ~np.uint64(sum(1 << b for b in masked))
-            order = np.argsort(rest, kind="stable")
-            for k in np.flatnonzero(rest[order[1:]] == rest[order[:-1]]):
-                yield int(order[k]), int(order[k + 1])
-
-    for i, j in pairs():
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            yield int(fps[i].astype(np.int64)), int(fps[j].astype(np.int64))
-
-
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(u, v): verified links of distinct fingerprints (fp) that connect what lies within ``max_bits`` bits."""
+def _masked(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
+    """Links of a long list whose members differ in few known bits: two differ in at most ``max_bits`` bits if and only
+    if they are equal with some ``max_bits`` of those bits masked."""
+    spread = np.bitwise_or.reduce(fps ^ fps[0])
+    free = [b for b in range(64) if int(spread) >> b & 1]
+    for masked in combinations(free, min(max_bits, len(free))):
+        rest = fps & ~np.uint64(sum(1 << b for b in masked))
+        order = np.argsort(rest, kind="stable")
+        for k in np.flatnonzero(rest[order[1:]] == rest[order[:-1]]):
+            yield int(order[k]), int(order[k + 1])
+
+
+def _nearest(fps: np.ndarray, max_bits: int, matches: int) -> Iterator[tuple[int, int]]:
+    """Links of each member with the nearest earlier one in each connected part of the earlier ones that it reaches."""
+    part = np.arange(len(fps))
+    for i in range(1, len(fps)):
+        differ = fps[:i] ^ fps[i]
+        bits = np.bitwise_count(differ)
+        near = np.flatnonzero(bits <= max_bits)
+        if len(near):
+            tally = (differ[near].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            near = near[tally >= matches]
+        near = near[np.argsort(bits[near], kind="stable")]
+        for p, at in zip(*np.unique(part[near], return_index=True), strict=True):
+            yield i, int(near[at])
+            part[: i + 1][part[: i + 1] == p] = i
+
+
+def links(fps: DataFrame, max_bits: int = 3, matches: int = 5) -> DataFrame:
+    """(u, v): links of distinct fingerprints (fp) that share ``matches`` positional bytes or more and differ in at most
+    ``max_bits`` bits; not all of them, but what they connect in a list these connect. With ``matches`` of at most
+    ``8 - max_bits`` no link is missed."""
+
+    def spanning(list_: pd.Series) -> Iterator[tuple[int, int]]:
+        own = np.sort(list_.to_numpy().view(np.uint64))
+        found = _masked(own, max_bits) if len(own) > BLOCK and matches >= 8 - max_bits else _nearest(own, max_bits, matches)
+        signed = own.view(np.int64)
+        return ((int(signed[i]), int(signed[j])) for i, j in found)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
         def out(frame: pd.DataFrame) -> pd.DataFrame:
-            found = [x for _, g in frame.groupby(["positions", "bytes"], sort=False)["fp"] for x in _parts(g.to_numpy().view(np.uint64), max_bits)]
-            return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+            return pd.DataFrame([x for _, g in frame.groupby(["positions", "bytes"], sort=False)["fp"] for x in spanning(g)], columns=["u", "v"], dtype="int64")
 
         for batch in batches:  # a list may go on in the next batch, so the last one waits
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -120,20 +137,21 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             yield out(held)
 
     key = Window.partitionBy("positions", "bytes")
-    met = postings(fps, max_bits).withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1").select("positions", "bytes", "fp")
+    met = postings(fps, matches).withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1").select("positions", "bytes", "fp")
     return met.mapInPandas(task, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
-    """key, fp and component_id (the smallest key reachable over links, its own included) of each row.
+    """key, fp and component_id (the smallest key reachable over links of at most ``max_bits`` differing bits, its own
+    included) of each row.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Null keys are carried along and never
     name a component that has another key. Repeated rows each get a row. An empty table gives an empty result; other
     columns are not read.
     """
-    marked = written(with_fingerprints(docs, key, text, words))
+    marked = written(with_fingerprints(docs, key, text, words).select(key, "fp"))
     distinct = written(marked.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = components(links(distinct.select("fp"), max_bits))
+    roots = components(links(distinct.select("fp"), max_bits, 8 - max_bits))
     rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -145,11 +163,45 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest doc_id stays (null ids come
-    last, repeated ids by order of reading), all columns kept. Null and blank texts are one component."""
+def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, hashes): the hashes of each text's distinct shingles."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}) for t in batch["text"]]
+            yield pd.DataFrame({"key": batch["key"].array, "hashes": sets})
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(task, "key long, hashes array<long>")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10, matches: int = 3) -> DataFrame:
+    """``docs`` less near-duplicates: of each group one row stays, all columns kept.
+
+    Rows are linked if the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more.
+    Shingles of several words move a fingerprint far for such a pair, so candidates come from fingerprints of the
+    distinct words: pairs that share ``matches`` positional bytes or more and differ in at most ``max_bits`` bits, found
+    in the index's lists as spanning links (nearest first) and then verified on the whole texts' shingles. Equal
+    sequences of words are one node from the start. Of a group the row with the smallest doc_id stays (null ids come
+    last, repeated ids by order of reading). Null and blank texts are equal to each other.
+    """
     keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(keyed.select("_row", "text"), "_row", "text", words, max_bits).select("_row", "component_id")
-    ranked = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
-    kept = written(ranked.select(F.col("least._row").alias("_row")))
+    marked = written(with_fingerprints(keyed, "_row", "text", 1, True))
+    nodes = written(marked.groupBy("fp", "same").agg(F.min("_row").alias("node")))
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    alike = nodes.join(fps, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    met = links(fps.select("fp"), max_bits, matches)
+    for end in ("u", "v"):
+        met = met.join(fps.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    pairs = written(met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(alike))
+    members = written(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct())
+    sets = written(shingle_sets(keyed.select("_row", "text").join(members, "_row", "left_semi"), "_row", "text", words))
+    for end in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("hashes").alias(f"{end}_set")), end)
+    shared = F.size(F.array_intersect("u_set", "v_set"))
+    links_ = pairs.where(shared >= similarity * (F.size("u_set") + F.size("v_set") - shared)).select("u", "v")
+    roots = components(links_)
+    named = nodes.join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("root"))
+    rows = marked.join(named, ["fp", "same"]).select("_row", "root").join(keyed.select("_row", "doc_id"), "_row")
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    kept = written(least.select(F.col("least._row").alias("_row")))
     return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
