@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triago.llm import archives, chat, media, mixing, risk_rules, simhash, url_rules
+from triago.llm import archives, chat, media, mixing, quality, risk_rules, simhash, url_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_arc_to_warc": archives.op2_arc_to_warc,
         "op10_media_shards": media.op10_media_shards,
         "op3_simhash_components": simhash.op3_simhash_components,
+        "op4_bradley_terry": quality.op4_bradley_terry,
         "op5_risk_rules": risk_rules.op5_risk_rules,
         "op7_chat_round_trip": chat.op7_chat_round_trip,
         "op9_url_rules": url_rules.op9_url_rules,
