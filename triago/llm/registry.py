@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triago.llm import archives, chat, media, mixing, quality, risk_rules, simhash, url_rules
+from triago.llm import archives, chat, language, media, mixing, quality, risk_rules, simhash, url_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op10_media_shards": media.op10_media_shards,
         "op3_simhash_components": simhash.op3_simhash_components,
         "op4_bradley_terry": quality.op4_bradley_terry,
+        "op6_ftrl_language": language.op6_ftrl_language,
         "op5_risk_rules": risk_rules.op5_risk_rules,
         "op7_chat_round_trip": chat.op7_chat_round_trip,
         "op9_url_rules": url_rules.op9_url_rules,
