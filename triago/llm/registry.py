@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from triago.llm import archives, chat, language, media, mixing, quality, risk_rules, simhash, url_rules
+import corpus_pipeline
+from triago.llm import archives, chat, language, media, mixing, quality, risk_rules, segment, simhash, url_rules
 
 
 def queries() -> dict:
@@ -13,8 +14,10 @@ def queries() -> dict:
         "op3_simhash_components": simhash.op3_simhash_components,
         "op4_bradley_terry": quality.op4_bradley_terry,
         "op6_ftrl_language": language.op6_ftrl_language,
+        "op8_gumbel_segments": segment.op8_gumbel_segments,
         "op5_risk_rules": risk_rules.op5_risk_rules,
         "op7_chat_round_trip": chat.op7_chat_round_trip,
+        "pipeline": corpus_pipeline.run,
         "op9_url_rules": url_rules.op9_url_rules,
     }
 
