@@ -166,9 +166,9 @@ def identified_documents(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` in a learnt language with a score of ``least`` or more, all columns kept."""
     model = train(docs)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.predict(t) for t in batch["text"]]
-            yield batch[[x != UNKNOWN and p >= least for x, p in found]]
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        found = (model.predict(t) for t in texts)
+        return pd.Series([x != UNKNOWN and p >= least for x, p in found], dtype=bool)
 
-    return docs.mapInPandas(task, docs.schema)
+    return docs.where(known(F.col("text")))

@@ -155,9 +155,9 @@ def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score ``CUT`` or more, all columns kept; learnt from the labelled ones among them."""
     ranking = train(docs, labels)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"]], dtype=float).reshape(len(batch), len(NAMES))
-            yield batch[ranking.score(x) >= CUT]
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
+        return pd.Series(ranking.score(x) >= CUT, dtype=bool)
 
-    return docs.mapInPandas(task, docs.schema)
+    return docs.where(good(F.col("text")))
