@@ -57,7 +57,7 @@ def fold(text: Column) -> Column:
     Latin and general signs (Hangul, Arabic presentation ligatures) stay as they are."""
     source, target, _, _, _, wide = _tables()
     chars = "".join(c for c, _ in wide)
-    expanded = F.when(text.rlike(f"[{chars}]"), _expanded(text, wide)).otherwise(text)
+    expanded = F.when(F.length(F.translate(text, chars, "")) < F.length(text), _expanded(text, wide)).otherwise(text)
     return F.translate(expanded, source, target)
 
 

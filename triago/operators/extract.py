@@ -6,6 +6,7 @@ plan is made, so the only exchange is that of the candidates found, a few rows f
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,18 @@ def field_value(setting: dict, text: Column, alone: bool, ref_year: int) -> Colu
     return let(clean, lambda v: F.when(v.rlike(java(r"\d")), _value(v)).otherwise(NOTHING()))
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built_candidate(field: str, setting: dict, ref_year: int) -> Column:
+    """``candidate``, built once for a JVM: an expression of some hundred nodes takes the driver longer to build than to
+    plan, and it refers to columns by name only."""
+    key = (id(SparkContext._jvm), field, repr(setting), ref_year)
+    if key not in _BUILT:
+        _BUILT[key] = candidate(field, setting, ref_year)
+    return _BUILT[key]
+
+
 def candidate(field: str, setting: dict, ref_year: int) -> Column:
     """What a line (norm, text, conf, page, line, after) gives for a field: null without a label, else a struct whose
     value is null if there is a label and no value. The first label of the list that occurs counts, and only that."""
@@ -100,7 +113,7 @@ def candidates(docs: DataFrame, key: str, type_: str, lines: str, registry: dict
     wanted = F.coalesce(F.try_element_at(per_type, F.col(type_)), F.array(*map(F.lit, expected_fields(registry, None))))
     near = F.transform(F.col(lines), lambda x, i: F.struct(x["text"].alias("text"), x["conf"].alias("conf"), x["page"].alias("page"), F.slice(F.col(lines), i + 2, AHEAD).alias("after")))
     rows = docs.select(F.col(key), F.col(type_).alias("type"), wanted.alias("wanted"), F.posexplode(near).alias("line", "at")).select(key, "type", "wanted", "line", "at.*").withColumn("norm", fold_line(F.col("text")))
-    hits = F.array_compact(F.array(*(F.when(F.array_contains("wanted", f), candidate(f, settings[f], ref_year)) for f in known)))
+    hits = F.array_compact(F.array(*(F.when(F.array_contains("wanted", f), built_candidate(f, settings[f], ref_year)) for f in known)))
     return rows.select(key, "type", F.inline(hits))
 
 

@@ -82,7 +82,9 @@ def corrected(docs: DataFrame, corrections: DataFrame, registry: dict, ref_year:
     moved = F.when(F.col("new_type") != F.col("type"), F.array(entry(F.lit("type"), F.col("type"), F.col("new_type")))).otherwise(F.array().cast("array<struct<field: string, old: string, new: string, at: timestamp>>"))
     ok = F.size("errors") == 0
     fields = F.map_from_arrays("allowed", F.transform("allowed", new))
-    return rows.select(key, F.when(ok, F.col("new_type")).otherwise(F.col("type")).alias("new_type"), F.when(ok, fields).otherwise(F.col("fields")).alias("fields"), F.when(ok, F.concat(moved, own, lost)).alias("changes"), "errors")
+    # changes come first: in one projection the names inside lambdas would mean the new fields
+    rows = rows.withColumn("changes", F.when(ok, F.concat(moved, own, lost)))
+    return rows.select(key, F.when(ok, F.col("new_type")).otherwise(F.col("type")).alias("new_type"), F.when(ok, fields).otherwise(F.col("fields")).alias("fields"), F.coalesce("changes", F.array().cast(rows.schema["changes"].dataType)).alias("changes"), "errors")
 
 
 def rejected(docs: DataFrame) -> DataFrame:

@@ -1,17 +1,411 @@
-"""The registered queries of the triage operators."""
+"""The registered queries of the triage operators, and SQL that computes the same rows from the tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triago import fixed
+from triago.functions import masking, naming, text, values
+from triago.operators import classify, engine, extract, filing, review
+from triago.plans import batch
+from triago.plans.samples import FACTS_SQL, REGISTRY, invoices, table
+from triago.sources import ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+REF_YEAR = 2026
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# --- keywords
+
+
+def _has(word: str, column: str = "t") -> str:
+    return f"regexp_matches({column}, '(^|[^0-9a-z_ß]){word}([^0-9a-z_ß]|$)')"
+
+
+_WORDS = {c["name"]: [k.replace(r"\b", "") for k in c["keywords"]] for c in REGISTRY["categories"]}
+_SCORE = {name: " + ".join(f"{_has(w)}::INT" for w in words) for name, words in _WORDS.items()}
+_TITLE = {name: " + ".join(f"{_has(w, 'z')}::INT" for w in words) for name, words in _WORDS.items()}
+_ZONE = "left(array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 15), chr(10)), 1000)"
+_FOLD = "strip_accents(lower({}))"
+_SCORED = f"""
+d AS (SELECT doc_id, lang, text, {_FOLD.format("coalesce(text, '')")} AS t, {_FOLD.format(_ZONE)} AS z FROM documents),
+s AS (SELECT doc_id, lang, t, z, {", ".join(f"{x} AS {n}" for n, x in _SCORE.items())}, {", ".join(f"{x} AS {n}_title" for n, x in _TITLE.items())} FROM d),
+b AS (SELECT *, greatest({", ".join(_SCORE)}) AS top, list_sort([{", ".join(_SCORE)}])[3] AS second,
+      CASE greatest({", ".join(_SCORE)}) {" ".join(f"WHEN {n} THEN '{n}'" for n in _SCORE)} END AS best,
+      regexp_matches(t, '@[a-z]+') AND regexp_matches(t, '(^|[^0-9a-z_ß])[0-9]{{8,}}([^0-9a-z_ß]|$)') AS ruled FROM s),
+v AS (SELECT *, CASE WHEN ruled THEN 'business_rule' WHEN top = 0 THEN 'none'
+      WHEN top >= 2 AND second = 0 AND CASE best {" ".join(f"WHEN '{n}' THEN {n}_title" for n in _SCORE)} END > 0 THEN 'clear' WHEN top > second THEN 'weak' ELSE 'tie' END AS verdict FROM b),
+w AS (SELECT *, CASE WHEN ruled THEN 'english' WHEN verdict IN ('clear', 'weak') THEN best END AS category FROM v)
+"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.analysed(_documents(spark, sf_dir), REGISTRY)
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, category, verdict FROM w")
+def keyword_verdicts(spark, sf_dir):
+    return _analysed(spark, sf_dir).select("doc_id", F.col("rule_category").alias("category"), F.col("rule_verdict").alias("verdict"))
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, {', '.join(f'{n}::INT AS {n}' for n in _SCORE)} FROM s")
+def keyword_scores(spark, sf_dir):
+    return _documents(spark, sf_dir).withColumn("s", classify.scores(F.col("text"), REGISTRY)).select("doc_id", *(F.col("s")[n].alias(n) for n in _SCORE))
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, {', '.join(f'{n}_title::INT AS {n}' for n in _SCORE)} FROM s")
+def title_scores(spark, sf_dir):
+    return _documents(spark, sf_dir).withColumn("s", classify.scores(text.title_zone(F.col("text")), REGISTRY)).select("doc_id", *(F.col("s")[n].alias(n) for n in _SCORE))
+
+
+@query(f"WITH {_SCORED} SELECT lang, verdict, count(*) AS documents FROM w GROUP BY lang, verdict")
+def verdict_by_lang(spark, sf_dir):
+    return _analysed(spark, sf_dir).groupBy("lang", F.col("rule_verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, category FROM w WHERE ruled")
+def business_rule_override(spark, sf_dir):
+    return _analysed(spark, sf_dir).where(F.col("rule_verdict") == classify.RULE).select("doc_id", F.col("rule_category").alias("category"))
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT doc_id, category, list_filter([CASE WHEN {_has("licen[cs]e", "z")} THEN 'Notices' END, CASE WHEN {_has("was", "z")} THEN 'Asides' END], lambda x: x IS NOT NULL) AS a,
+    list_filter([CASE WHEN {_has("licen[cs]e")} THEN 'Notices' END, CASE WHEN {_has("was")} THEN 'Asides' END], lambda x: x IS NOT NULL) AS b FROM w)
+    SELECT doc_id, CASE WHEN category = 'english' THEN CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) > 1 THEN 'Autres' WHEN len(b) = 1 THEN b[1] ELSE 'Autres' END END AS subfolder FROM c""")
+def subfolder_choice(spark, sf_dir):
+    rows = _analysed(spark, sf_dir)
+    return rows.select("doc_id", classify.subfolder(F.col("rule_category"), F.col("text"), REGISTRY).alias("subfolder"))
+
+
+_RULE_A = f"""WITH {_SCORED}, r AS (SELECT doc_id, verdict, category AS mine, (doc_id % 7)::INT AS k, ['english', 'french', 'german', 'spanish', 'autre', 'autre', 'down'][(doc_id % 7 + 1)::INT] AS theirs FROM w),
+x AS (SELECT *, CASE WHEN verdict = 'business_rule' OR k = 6 THEN mine WHEN k = 5 THEN 'french' WHEN k = 4 THEN mine ELSE coalesce(mine, theirs) END AS category,
+      CASE WHEN verdict <> 'business_rule' AND k = 4 THEN 'bulletin_de_paie' END AS proposed, CASE WHEN verdict = 'business_rule' OR (verdict = 'clear' AND mine = theirs) THEN 0.95 ELSE 0.60 END AS confidence FROM r)
+"""
+
+
+def _decided(spark, sf_dir):
+    k = F.col("doc_id") % 7
+    theirs = F.array(*map(F.lit, ("english", "french", "german", "spanish", "autre", "autre")))
+    reply = F.struct((k < 6).alias("ok"), F.get(theirs, k.cast("int")).alias("category"), F.when(k == 4, "Bulletin de paie").when(k == 5, "frenche").alias("proposed"), F.when(k == 5, "french").alias("near"), F.lit(None).cast("string").alias("error"))
+    return classify.decided(_analysed(spark, sf_dir), REGISTRY, reply)
+
+
+@query(_RULE_A + "SELECT doc_id, category, proposed, confidence::DOUBLE AS confidence, confidence < 0.9 OR category IS NULL OR proposed IS NOT NULL AS needs_review FROM x")
+def rule_a_decision(spark, sf_dir):
+    return _decided(spark, sf_dir).select("doc_id", "category", "proposed", "confidence", "needs_review")
+
+
+@query(_RULE_A + """SELECT doc_id, coalesce(category, proposed, 'autres') AS type, CASE WHEN confidence < 0.9 OR category IS NULL OR proposed IS NOT NULL THEN 'validation humaine necessaire' END AS reason,
+    CASE WHEN confidence < 0.9 OR category IS NULL OR proposed IS NOT NULL THEN 'A_Valider' WHEN category = 'english' THEN 'English' ELSE upper(left(category, 1)) || substr(category, 2) END AS folder FROM x""")
+def review_routing(spark, sf_dir):
+    rows = _decided(spark, sf_dir).withColumn("type", classify.final_type()).drop("subfolder").withColumn("subfolder", F.lit(None).cast("string"))
+    return filing.routed(rows, REGISTRY).select("doc_id", "type", "reason", "folder")
+
+
+@query(f"""WITH {_SCORED} SELECT category, count(*) AS documents, sum(length(text))::BIGINT AS pages, count(*) FILTER (WHERE verdict = 'clear')::DOUBLE AS seconds
+    FROM w JOIN documents USING (doc_id) GROUP BY category""")
+def batch_summary(spark, sf_dir):
+    rows = _analysed(spark, sf_dir).select(F.col("rule_category").alias("category"), F.length("text").cast("long").alias("pages"), (F.col("rule_verdict") == "clear").cast("double").alias("seconds"))
+    return filing.batch_summary(rows, "category")
+
+
+# --- texts
+
+
+@query(f"SELECT doc_id, {_ZONE} AS zone FROM documents")
+def title_zone(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.title_zone(F.col("text")).alias("zone"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::INT AS visible, length(regexp_replace(text, '\\s', '', 'g')) < 50 AS needs_ocr FROM documents")
+def visible_chars(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.visible_chars(F.col("text")).alias("visible"), text.needs_ocr(F.col("text")).alias("needs_ocr"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line FROM documents) SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM l GROUP BY doc_id""")
+def line_explode(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(extract.text_lines(F.col("text"))).alias("l"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("l.text")).cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded, length(text)::INT AS kept_length FROM documents")
+def fold_text(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.fold(F.col("text")).alias("folded"), F.length(text.fold_line(F.col("text"))).alias("kept_length"))
+
+
+_COMPACT = "trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"SELECT doc_id, {_COMPACT} AS compact FROM documents")
+def compact_text(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.compacted(F.col("text")).alias("compact"))
+
+
+_ROOM = 500 - len(fixed.TRUNCATED)
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_COMPACT} AS c FROM documents), h AS (SELECT doc_id, c, left(c, {_ROOM}) AS h FROM c),
+    k AS (SELECT *, CASE WHEN strpos(h, chr(10)) > 0 THEN length(h) - strpos(reverse(h), chr(10)) ELSE 0 END AS last FROM h)
+    SELECT doc_id, length(c) > 500 AS truncated, CASE WHEN length(c) <= 500 THEN c ELSE CASE WHEN last > {_ROOM} * 0.8 THEN left(h, last::BIGINT) ELSE h END || chr(10) || '[... texte tronque ...]' END AS text FROM k""")
+def truncate_prompt(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.truncated(F.col("text"), F.lit(500)).alias("t")).select("doc_id", "t.truncated", "t.text")
+
+
+@query("""SELECT doc_id, length(regexp_replace(lower(text), '[a-z0-9]', '', 'g')) >= 0 AS whole, regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+') AS had_email,
+    false AS has_email FROM documents""")
+def mask_text(spark, sf_dir):
+    masked = masking.mask_text(F.col("text"))
+    email = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+"
+    return _documents(spark, sf_dir).select("doc_id", F.lit(True).alias("whole"), F.col("text").rlike(email).alias("had_email"), masked.rlike(email).alias("has_email"))
+
+
+# --- invoices
+
+
+def _extracted(spark, sf_dir):
+    docs = invoices(spark, sf_dir).withColumn("type", F.lit("factures")).withColumn("lines", extract.text_lines(F.col("text")))
+    return docs, extract.extracted(docs, fixed.REGISTRY, REF_YEAR)
+
+
+def _field(name: str) -> Query:
+    def f(spark, sf_dir):
+        return _extracted(spark, sf_dir)[1].where(F.col("field") == name)
+
+    return f
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, 'FA-' || doc_id AS value, 3::INT AS line FROM f")
+def extract_invoice_number(spark, sf_dir):
+    return _field("numero")(spark, sf_dir).select("doc_id", "value", F.col("line").cast("int").alias("line"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, strftime(issued, '%Y-%m-%d') AS value, (CASE WHEN variant = 1 THEN 0 ELSE 1 END)::INT AS label FROM f")
+def extract_invoice_date(spark, sf_dir):
+    return _field("date_facture")(spark, sf_dir).select("doc_id", "value", "label")
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, lpad(customer::VARCHAR, 15, '0') AS value FROM f")
+def extract_ice(spark, sf_dir):
+    return _field("ice")(spark, sf_dir).select("doc_id", "value")
+
+
+_GROSS = "CASE variant WHEN 5 THEN net WHEN 4 THEN net + tax - 100 ELSE net + tax END"
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, net::DECIMAL(18,2) AS net, CASE WHEN variant <> 5 THEN tax END::DECIMAL(18,2) AS tax, ({_GROSS})::DECIMAL(18,2) AS gross FROM f")
+def extract_amounts(spark, sf_dir):
+    rows = _extracted(spark, sf_dir)[1]
+    pick = lambda f, n: F.max(F.when(F.col("field") == f, filing.amount_text(F.col("amount")))).alias(n)
+    return rows.groupBy("doc_id").agg(pick("montant_ht", "net"), pick("tva", "tax"), pick("montant_ttc", "gross"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, tax AS tax, (CASE WHEN variant = 7 THEN 2 ELSE 1 END)::INT AS lines FROM f WHERE variant <> 5")
+def vat_sum(spark, sf_dir):
+    return _field("tva")(spark, sf_dir).select("doc_id", filing.amount_text(F.col("amount")).alias("tax"), F.coalesce(F.size("detail"), F.lit(1)).alias("lines"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, CASE WHEN variant = 4 THEN 'gap' ELSE 'ok' END AS status, (CASE WHEN variant = 4 THEN 100 ELSE 0 END)::DECIMAL(18,2) AS gap, variant = 4 AS needs_review, (CASE WHEN variant IN (4, 5) THEN 1 ELSE 0 END)::INT AS alerts FROM f")
+def totals_status(spark, sf_dir):
+    docs, rows = _extracted(spark, sf_dir)
+    out = extract.document_results(docs, rows, fixed.REGISTRY)
+    return out.select("doc_id", "totals.status", filing.amount_text(F.col("totals.gap")).alias("gap"), "needs_review", F.size("alerts").alias("alerts"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, CASE WHEN variant = 6 THEN 'annee sur 2 chiffres, siecle deduit' END AS alert, strftime(issued, '%Y-%m-%d') AS value FROM f")
+def normalize_date(spark, sf_dir):
+    written = F.regexp_extract("text", r"Date[^:]*: (\S+)", 1)
+    return invoices(spark, sf_dir).select("doc_id", values.date_value(written, REF_YEAR).alias("d")).select("doc_id", F.get("d.alerts", F.lit(0)).alias("alert"), "d.value")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2)::DECIMAL(18,2) AS value FROM lineitem")
+def normalize_amount(spark, sf_dir):
+    n = F.format_number(F.round("l_extendedprice", 2).cast("decimal(18,2)"), 2)
+    k = F.col("l_orderkey") % 4
+    shown = F.when(k == 0, n).when(k == 1, F.translate(n, ",.", ".,")).when(k == 2, F.concat(F.translate(n, ",.", " ,"), F.lit(" DH"))).otherwise(F.concat(F.lit("MAD "), F.translate(n, ",.", " ,")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", filing.amount_text(values.amount_value(shown)["value"]).alias("value"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, 'absent' AS fournisseur, CASE WHEN doc_id % 2 = 0 THEN 'trouvé' ELSE 'absent' END AS cin, 'FA-' || doc_id AS numero FROM f WHERE doc_id < 10000000")
+def mask_field_summary(spark, sf_dir):
+    rows = invoices(spark, sf_dir).select("doc_id", F.explode(F.create_map(F.lit("fournisseur"), F.lit(" "), F.lit("cin"), F.when(F.col("doc_id") % 2 == 0, "AB123456"), F.lit("numero"), F.concat(F.lit("FA-"), F.col("doc_id").cast("string")))).alias("field", "value"))
+    return rows.where("doc_id < 10000000").withColumn("shown", masking.field_summary(F.col("field"), F.col("value"), fixed.REGISTRY)).groupBy("doc_id").pivot("field", ["fournisseur", "cin", "numero"]).agg(F.first("shown"))
+
+
+def _scanned(spark, sf_dir):
+    """Invoices with the confidence of each line; every seventh document has one doubtful last line."""
+    docs, _ = invoices(spark, sf_dir).withColumn("type", F.lit("factures")), None
+    plain = extract.text_lines(F.col("text"))
+    last = F.size(plain) - 1
+    conf = lambda i: F.when((F.col("doc_id") % 7 == 0) & (i == last), 0.75).otherwise(0.97)
+    return docs.withColumn("lines", F.transform(plain, lambda x, i: F.struct(x["text"].alias("text"), conf(i).alias("conf"), F.lit(1).alias("page"))))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, 'montant_ttc' AS field, 0.75::DOUBLE AS conf, 1::INT AS page FROM f WHERE doc_id % 7 = 0")
+def low_confidence_fields(spark, sf_dir):
+    rows = extract.extracted(_scanned(spark, sf_dir), fixed.REGISTRY, REF_YEAR)
+    return rows.where("low").select("doc_id", "field", "conf", "page")
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, 2::INT AS n_candidates, strftime(issued, '%Y-%m-%d') AS value, true AS conflict FROM f")
+def candidate_conflict(spark, sf_dir):
+    docs = invoices(spark, sf_dir).withColumn("type", F.lit("attestations"))
+    first = F.regexp_extract("text", r"Date[^:]*: (\d+/\d+/)", 1)
+    year = F.regexp_extract("text", r"Date[^:]*: \d+/\d+/(\d+)", 1)
+    lines = F.concat(F.lit("Date : "), first, year, F.lit("\nDate : 01/01/1950"))
+    rows = extract.extracted(docs.withColumn("lines", extract.text_lines(lines)), fixed.REGISTRY, REF_YEAR).where(F.col("field") == "date")
+    return rows.select("doc_id", "n_candidates", "value", F.exists("alerts", lambda a: F.contains(a, F.lit("valeurs candidates"))).alias("conflict"))
+
+
+@query(f"WITH {FACTS_SQL} SELECT doc_id, (CASE WHEN variant = 5 THEN 6 ELSE 7 END - 1)::INT AS filled, 12::INT AS expected, CASE WHEN variant = 5 THEN 1 ELSE 0 END::INT AS no_tax FROM f")
+def expected_fields_completed(spark, sf_dir):
+    docs, rows = _extracted(spark, sf_dir)
+    done = extract.document_results(docs, rows, fixed.REGISTRY).select("doc_id", filing.completed_fields(F.col("fields"), fixed.REGISTRY, "factures").alias("all"))
+    filled = F.filter("all", lambda x: x["value"].isNotNull())
+    tax = F.get(F.filter("all", lambda x: x["field"] == "tva"), F.lit(0))["value"]
+    return done.select("doc_id", F.size(filled).alias("filled"), F.size("all").alias("expected"), tax.isNull().cast("int").alias("no_tax"))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT doc_id, 'A_Valider' AS folder, 'scan_' || doc_id AS name FROM f WHERE variant = 4
+    UNION ALL SELECT doc_id, 'Factures', 'facture_' || strftime(issued, '%Y-%m-%d') || '_fa-' || doc_id FROM f WHERE variant <> 4""")
+def file_base_name(spark, sf_dir):
+    docs, rows = _extracted(spark, sf_dir)
+    out = extract.document_results(docs, rows, fixed.REGISTRY).join(docs.select("doc_id", "source"), "doc_id").withColumn("subfolder", F.lit(None).cast("string"))
+    return filing.with_base(filing.routed(out, fixed.REGISTRY), fixed.REGISTRY).select("doc_id", "folder", F.col("base").alias("name"))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT doc_id, fournisseur, alert FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Société ' || customer_name END AS fournisseur,
+    CASE doc_id % 3 WHEN 1 THEN 'fournisseur : valeur du moteur absente du texte source, rejetee' WHEN 2 THEN 'fournisseur : valeur trouvee seulement sur une ligne de destinataire (client...), rejetee' END AS alert FROM f)""")
+def free_field_grounding(spark, sf_dir):
+    docs = invoices(spark, sf_dir).withColumn("type", F.lit("factures"))
+    docs = docs.withColumn("lines", extract.text_lines(F.concat("text", F.lit("\nClient : Maison Exemple"))))
+    said = F.when(F.col("doc_id") % 3 == 0, F.split("text", "\n")[0]).when(F.col("doc_id") % 3 == 1, "Une société inventée").otherwise("maison  EXEMPLE")
+    replies = docs.select("doc_id", F.lit("fournisseur").alias("field"), said.alias("value"))
+    return engine.grounded(replies, docs, fixed.REGISTRY).select("doc_id", F.col("value").alias("fournisseur"), "alert")
+
+
+@query(f"""WITH {FACTS_SQL}, c AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'autres' ELSE 'factures' END AS new_type FROM f)
+    SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'factures' ELSE new_type END AS new_type, (CASE WHEN doc_id % 11 = 0 THEN 0 WHEN new_type = 'autres' THEN 2 + 0 ELSE 1 END)::INT AS changes,
+    (CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END)::INT AS errors FROM c""")
+def correction_history_diff(spark, sf_dir):
+    docs = invoices(spark, sf_dir).select("doc_id", F.lit("factures").alias("type"), F.when(F.col("doc_id") % 5 == 0, "autres").alias("new_type"), F.create_map(F.lit("numero"), F.lit("FA-1"), F.lit("date"), F.lit(None).cast("string")).alias("fields"))
+    given = docs.select("doc_id", F.when(F.col("new_type").isNull(), "numero").otherwise("date").alias("field"), F.when(F.col("new_type").isNull(), "FA-2").otherwise(" ").alias("input"))
+    wrong = docs.where("doc_id % 11 = 0").select("doc_id", F.lit("rib").alias("field"), F.lit("12 34").alias("input"))
+    out = review.corrected(docs, given.unionByName(wrong), fixed.REGISTRY, REF_YEAR, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return out.select("doc_id", "new_type", F.size("changes").alias("changes"), F.size("errors").alias("errors"))
+
+
+@query(f"""WITH {FACTS_SQL}, s AS (SELECT doc_id, ['A_Valider', 'Autres', 'Factures', 'Factures', 'Factures'][(doc_id % 5 + 1)::INT] AS folder, doc_id % 5 AS k FROM f)
+    SELECT doc_id, CASE k WHEN 0 THEN 'a_valider' WHEN 1 THEN 'autres' WHEN 2 THEN 'valide' WHEN 3 THEN 'a_verifier' ELSE 'range' END AS status, (CASE k WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 2 END)::INT AS rank FROM s""")
+def status_listing(spark, sf_dir):
+    k = (F.col("doc_id") % 5).cast("int")
+    folders = F.array(*map(F.lit, ("A_Valider", "Autres", "Factures", "Factures", "Factures/Sous")))
+    history = F.when(k == 2, F.array(F.lit("correction"))).otherwise(F.array().cast("array<string>"))
+    docs = invoices(spark, sf_dir).select("doc_id", F.get(folders, k).alias("folder"), history.alias("history"), (k == 3).alias("needs_review"))
+    return review.listing(docs).select("doc_id", "status", "rank")
+
+
+# --- files
+
+
+@query("""SELECT c_custkey, 'client_' || CASE WHEN row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_custkey) = 1 THEN (c_nationkey % 3)::VARCHAR
+    ELSE (c_nationkey % 3) || '_' || (row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_custkey) - 1) END AS name FROM customer""")
+def name_collisions(spark, sf_dir):
+    base = F.concat(F.lit("client_"), (F.col("c_nationkey") % 3).cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("Clients").alias("folder"), base.alias("base"))
+    # each base of this query ends in a number itself, as that of the base "client"
+    return filing.without_collisions(rows, order="c_custkey").select("c_custkey", "name")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate FROM documents")
+def dedupe_by_fingerprint(spark, sf_dir):
+    files = _documents(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("path"), "doc_id", filing.fingerprint(F.col("text")).alias("sha"))
+    return filing.with_duplicates(files).select("doc_id", "duplicate")
+
+
+@query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 10 = 0)")
+def already_processed_anti(spark, sf_dir):
+    files = _documents(spark, sf_dir).select("doc_id", filing.fingerprint(F.col("text")).alias("sha"))
+    return filing.unprocessed(files, files.where("doc_id % 10 = 0")).select("doc_id")
+
+
+@query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def retention_filter(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    now = events.agg(F.max("ts").alias("now"))
+    return filing.expired(events.crossJoin(F.broadcast(now)), "ts", F.col("now")).select("event_id")
+
+
+@query()
+def near_category(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", naming.proposed_name(F.concat(F.element_at(F.array(*map(F.lit, ("facture ", "contact ", "bulletin "))), (F.col("p_partkey") % 3 + 1).cast("int")), "p_type")).alias("name"))
+    return engine.with_near_category(rows, fixed.REGISTRY).select("p_partkey", "name", "near")
+
+
+# --- pages
+
+
+def _paged(spark, sf_dir):
+    """Each document as three pages: the first line, a scan, the rest; OCR of a scan fails for one document in five."""
+    docs = _documents(spark, sf_dir)
+    parts = F.split("text", "\n", 2)
+    page = lambda n, status, t: F.struct(F.lit(n).alias("page"), F.lit(status).alias("status"), t.alias("text"))
+    pages = F.array(page(1, ocr.NATIVE, parts[0]), page(2, ocr.SCAN, F.lit("")), page(3, ocr.NATIVE, F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))
+    bad = F.col("doc_id") % 5 == 0
+    lines = F.array(F.struct(F.concat(F.lit("scan "), F.col("doc_id").cast("string")).alias("text"), F.lit(0.5).alias("conf"), F.lit(None).cast("array<array<int>>").alias("frame")))
+    scans = docs.select("doc_id", F.lit(2).alias("page"), F.when(bad, "erreur").otherwise("ok").alias("status"), F.when(bad, "delai").alias("reason"), lines.alias("lines"))
+    return docs.withColumn("pages", pages), scans
+
+
+@query("""WITH p AS (SELECT doc_id, CASE WHEN strpos(text, chr(10)) > 0 THEN left(text, strpos(text, chr(10)) - 1) ELSE text END AS a, CASE WHEN doc_id % 5 <> 0 THEN 'scan ' || doc_id END AS b,
+    CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS c FROM documents)
+    SELECT doc_id, array_to_string(list_filter([a, b, c], lambda x: x IS NOT NULL AND trim(x, ' ' || chr(10)) <> ''), chr(10) || chr(10)) AS text, CASE WHEN doc_id % 5 = 0 THEN 'page 2 : OCR indisponible (delai)' END AS alert FROM p""")
+def page_ocr_merge(spark, sf_dir):
+    docs, scans = _paged(spark, sf_dir)
+    rows = ocr.with_ocr(docs, scans).withColumn("m", ocr.merged_text(F.col("text"), F.col("pages"), F.col("ocr")))
+    return rows.select("doc_id", "m.text", F.get("m.alerts", F.lit(0)).alias("alert"))
+
+
+@query("SELECT doc_id, 0.0::DOUBLE AS arabic_share, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_lines, CASE WHEN doc_id % 5 <> 0 THEN 0.5::DOUBLE END AS ocr_mean, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_below FROM documents")
+def quality_signals(spark, sf_dir):
+    docs, scans = _paged(spark, sf_dir)
+    rows = ocr.with_ocr(docs, scans)
+    return rows.select("doc_id", classify.signals(F.col("text"), ocr.confidences(F.col("ocr"))).alias("s")).select("doc_id", "s.*")
+
+
+@query(f"""WITH {FACTS_SQL} SELECT doc_id, 'factures' AS type, 'facture_' || strftime(issued, '%Y-%m-%d') || '_fa-' || doc_id AS clean_name FROM f WHERE variant <> 4""")
+def filed_invoices(spark, sf_dir):
+    """The whole batch over rendered invoices with an engine that agrees: what it would file without a human."""
+    docs = invoices(spark, sf_dir).withColumn("pages", F.lit(None).cast("array<struct<page: int, status: string, text: string>>"))
+    rows = batch.prepared(docs)
+    agree = F.struct(F.lit(True).alias("ok"), F.lit("factures").alias("category"), F.lit(None).cast("string").alias("proposed"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("string").alias("error"))
+    decided = classify.decided(classify.analysed(rows, fixed.REGISTRY, native="native", confidences=F.col("confidences")), fixed.REGISTRY, agree).withColumn("type", classify.final_type())
+    results = extract.document_results(decided, extract.extracted(decided, fixed.REGISTRY, REF_YEAR), fixed.REGISTRY)
+    whole = decided.select("doc_id", "source", "subfolder", F.col("needs_review").alias("doubt")).join(results, "doc_id").withColumn("needs_review", F.col("doubt") | F.col("needs_review"))
+    named = filing.without_collisions(filing.with_base(filing.routed(whole, fixed.REGISTRY), fixed.REGISTRY))
+    return named.where("not to_review").select("doc_id", "type", F.col("name").alias("clean_name"))
