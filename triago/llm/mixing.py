@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triago.llm.common import WORD, table, written
+from triago.llm.positions import FILE, INDEX, lookup, positioned
 
 BINS = 4096
 #: Added before rounding down, so that 1.9999999999 copies count as 2.
@@ -62,15 +63,15 @@ def _scaled(hist: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     return hist.groupBy("source", "source_size", "target", "scale").agg((F.round("target").cast("long") - F.sum(certain * F.col("words"))).alias("rest"))
 
 
-def mix(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, whole (certain copies), taken of each row of (doc_id, source, text).
+def mix(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 42, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The ``carried`` columns and doc_id, source, size, source_size, target, whole (certain copies), taken of each row of (doc_id, source, text).
 
     A null or blank text has size 0 and is taken 0 times; a null source is one source, the last. Repeated rows are ranked
     next to each other, each row for itself; ties of the rank go by doc_id and size. An empty table gives an empty
     result; other columns are not read.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = written(docs.select("doc_id", "source", size.alias("size")).withColumn("w", F.floor(F.sqrt("size")).cast("long")))
+    docs = written(docs.select(*carried, "doc_id", "source", size.alias("size")).withColumn("w", F.floor(F.sqrt("size")).cast("long")))
     hist = written(docs.groupBy("source", "w").agg(F.sum("size").alias("words")))
     plan = targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     plan = written(_scaled(hist, plan, most))
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), mo
     whole = F.floor(copies + NEAR).cast("long")
     chance = F.greatest(F.lit(0.0), copies - whole)
     u = uniform(F.col("doc_id"), seed)
-    drawn = docs.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("doc_id", "d.source", "size", "source_size", "target", "rest", whole.alias("whole"), F.when((chance > 0) & (F.col("size") > 0), (u / (1 - u)) / (chance / (1 - chance))).alias("rank"))
+    drawn = docs.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select(*carried, "doc_id", "d.source", "size", "source_size", "target", "rest", whole.alias("whole"), F.when((chance > 0) & (F.col("size") > 0), (u / (1 - u)) / (chance / (1 - chance))).alias("rank"))
     drawn = drawn.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
 
     bins = drawn.where("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), mo
     within = within.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - reached)))
     outside = placed.where("not (bin <=> cut) or bin is null").withColumn("extra", F.when(F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), F.col("size")).otherwise(F.lit(0)))
     taken = F.col("whole") * F.col("size") + F.col("extra")
-    return outside.unionByName(within).select("doc_id", "source", "size", "source_size", "target", "whole", taken.cast("long").alias("taken"))
+    return outside.unionByName(within).select(*carried, "doc_id", "source", "size", "source_size", "target", "whole", taken.cast("long").alias("taken"))
 
 
 WEIGHTS = [3, 1, 2]
@@ -109,11 +110,12 @@ def mixed_documents(docs: DataFrame, weights: list[int] = WEIGHTS, seed: int = 4
 
     A copy of which the mix takes only a part comes whole if that part is at least half of it, else not at all.
     """
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text"), weights, seed=seed)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    chosen = plan.select(F.col("doc_id").alias("_row"), copies.alias("_copies")).where("_copies > 0")
-    return keyed.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    rows = positioned(docs)
+    plan = mix(rows.select(FILE, INDEX, "doc_id", "source", "text"), weights, seed=seed, carried=(FILE, INDEX))
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)
+    chosen = plan.select(FILE, INDEX, copies.cast("int").alias("value")).where("value > 0")
+    taken = rows.withColumn("_copies", lookup(chosen)(F.col(FILE), F.col(INDEX)).cast("int")).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 ORACLE = r"""

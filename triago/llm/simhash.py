@@ -22,11 +22,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triago.llm.common import table, written
 from triago.llm.components import components
+from triago.llm.positions import FILE, INDEX, lookup, positioned
 
 BLOCK = 4096
 SEED = 42
@@ -57,20 +58,21 @@ def fingerprint(parts: list[bytes], words: int = 3, distinct: bool = False) -> i
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, key: str, text: str, words: int = 3, distinct: bool = False) -> DataFrame:
-    """(key, fp, same) of each row: 64 bits as a signed number, and a second hash of the whole sequence of words."""
-    kind = docs.schema[key].dataType.simpleString()
+def with_fingerprints(docs: DataFrame, text: str, words: int = 3, distinct: bool = False) -> DataFrame:
+    """``docs`` without its text column and with fp and same: 64 bits as a signed number, and a second hash of the whole
+    sequence of words."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [split_words(t) for t in batch["text"]]
-            fps = np.array([fingerprint(t, words, distinct) for t in texts], dtype=np.uint64).view(np.int64)
-            same = np.array([xxhash.xxh64_intdigest(b" ".join(t), SEED + 1) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": batch["key"].array, "fp": fps, "same": same})
+    def marks(t: str | None) -> tuple[int, int]:
+        parts = split_words(t)
+        return fingerprint(parts, words, distinct), xxhash.xxh64_intdigest(b" ".join(parts), SEED + 1)
+
+    @F.pandas_udf("fp long, same long")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        found = np.array([marks(t) for t in texts], dtype=np.uint64).reshape(len(texts), 2).view(np.int64)
+        return pd.DataFrame({"fp": found[:, 0], "same": found[:, 1]})
 
-    # the key travels as text, so that no kind of id loses digits on the way
-    plain = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return plain.mapInPandas(task, "key string, fp long, same long").select(F.col("key").cast(kind).alias(key), "fp", "same")
+    rows = docs.withColumn("_marks", marked(F.col(text)))
+    return rows.select(*(c for c in docs.columns if c != text), "_marks.fp", "_marks.same")
 
 
 def postings(fps: DataFrame, matches: int) -> DataFrame:
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     name a component that has another key. Repeated rows each get a row. An empty table gives an empty result; other
     columns are not read.
     """
-    marked = written(with_fingerprints(docs, key, text, words).select(key, "fp"))
+    marked = written(with_fingerprints(docs.select(F.col(key), F.col(text)), text, words).select(key, "fp"))
     distinct = written(marked.groupBy("fp").agg(F.min(key).alias("first")))
     roots = components(links(distinct.select("fp"), max_bits, 8 - max_bits))
     rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
@@ -163,15 +165,14 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, hashes): the hashes of each text's distinct shingles."""
+def shingle_hashes(text: str, words: int) -> Column:
+    """The sorted hashes of a text's distinct shingles."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"].array, "hashes": sets})
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}) for t in texts])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(task, "key long, hashes array<long>")
+    return hashes(F.col(text))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10, matches: int = 3) -> DataFrame:
@@ -182,26 +183,29 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     distinct words: pairs that share ``matches`` positional bytes or more and differ in at most ``max_bits`` bits, found
     in the index's lists as spanning links (nearest first) and then verified on the whole texts' shingles. Equal
     sequences of words are one node from the start. Of a group the row with the smallest doc_id stays (null ids come
-    last, repeated ids by order of reading). Null and blank texts are equal to each other.
+    last, repeated ids by file and order in it). Null and blank texts are equal to each other.
+
+    Texts are never shuffled: rows are known by their position, and both the texts to verify and the rows to keep are
+    picked out where they are read. What is shuffled is a few numbers for each row, and the shingles of candidates.
     """
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    marked = written(with_fingerprints(keyed, "_row", "text", 1, True))
-    nodes = written(marked.groupBy("fp", "same").agg(F.min("_row").alias("node")))
+    rows = positioned(docs)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(FILE).alias("file"), F.col(INDEX).alias("index"))
+    marked = written(with_fingerprints(rows.select("text", at.alias("at")), "text", 1, True))
+    nodes = written(marked.groupBy("fp", "same").agg(F.min("at").alias("at")).withColumn("node", F.concat(F.hex("fp"), F.lit("-"), F.hex("same"))))
     fps = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     alike = nodes.join(fps, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     met = links(fps.select("fp"), max_bits, matches)
     for end in ("u", "v"):
         met = met.join(fps.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
     pairs = written(met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(alike))
-    members = written(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct())
-    sets = written(shingle_sets(keyed.select("_row", "text").join(members, "_row", "left_semi"), "_row", "text", words))
+    members = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
+    members = written(members.select("node", F.col("at.file").alias(FILE), F.col("at.index").alias(INDEX)))
+    chosen = rows.where(lookup(members.withColumn("value", F.lit(1)))(F.col(FILE), F.col(INDEX)) == 1)
+    sets = written(chosen.select(FILE, INDEX, shingle_hashes("text", words).alias("hashes")).join(members, [FILE, INDEX]).select("node", "hashes"))
     for end in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("hashes").alias(f"{end}_set")), end)
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")), end)
     shared = F.size(F.array_intersect("u_set", "v_set"))
-    links_ = pairs.where(shared >= similarity * (F.size("u_set") + F.size("v_set") - shared)).select("u", "v")
-    roots = components(links_)
-    named = nodes.join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("root"))
-    rows = marked.join(named, ["fp", "same"]).select("_row", "root").join(keyed.select("_row", "doc_id"), "_row")
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
-    kept = written(least.select(F.col("least._row").alias("_row")))
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    roots = components(pairs.where(shared >= similarity * (F.size("u_set") + F.size("v_set") - shared)).select("u", "v"))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("at").alias("at"))
+    kept = written(kept.select(F.col("at.file").alias(FILE), F.col("at.index").alias(INDEX), F.lit(1).alias("value")))
+    return rows.where(lookup(kept)(F.col(FILE), F.col(INDEX)) == 1).select(*docs.columns)
