@@ -56,7 +56,7 @@ def _scaled(hist: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     down = Window.partitionBy("source").orderBy(F.col("w").desc())
     hist = hist.withColumn("above", F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("below", F.sum(F.col("words") * F.col("w")).over(down.rowsBetween(0, Window.unboundedFollowing)))
     hist = hist.alias("h").join(plan.alias("p"), F.expr("h.source <=> p.source")).select("p.*", "w", "words", "above", "below")
-    scale = (F.col("target") - most * F.col("above")) / F.col("below")
+    scale = F.try_divide(F.col("target") - most * F.col("above"), F.col("below"))  # null for a source without words
     hist = hist.withColumn("fits", F.when(scale * F.col("w") <= most + NEAR, scale))
     hist = hist.withColumn("scale", F.coalesce(F.max_by("fits", F.when(F.col("fits").isNotNull(), F.col("w"))).over(Window.partitionBy("source")), F.lit(0.0)))
     certain = F.floor(F.least(F.lit(float(most)), F.col("scale") * F.col("w")) + NEAR).cast("long")
