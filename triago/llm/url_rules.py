@@ -50,7 +50,7 @@ def boundaries(rules: DataFrame) -> DataFrame:
     outer = rules.select("host", F.col("path").alias("outer_path"), F.col("verdict").alias("outer_verdict"))
     enclosing = prefixes.join(outer, ["host", "outer_path"]).groupBy("host", "path").agg(F.max_by(F.struct("outer_path", "outer_verdict"), F.length("outer_path")).alias("o"))
     both = rules.join(enclosing, ["host", "path"], "left")
-    key = F.concat(F.array_join(_reversed_labels(F.col("host")), "."), F.col("path")).cast("binary")
+    key = F.concat(F.array_join(_reversed_labels(F.col("host")), "."), F.lit("#"), F.col("path")).cast("binary")
     own = F.struct(F.col("host").alias("host"), F.col("path").alias("path"), F.col("verdict").alias("verdict"))
     around = F.struct(F.when(F.col("o").isNotNull(), F.col("host")).alias("host"), F.col("o.outer_path").alias("path"), F.col("o.outer_verdict").alias("verdict"))
     ends = F.array(F.struct(key.alias("key"), F.lit(1).alias("kind"), own.alias("top")), F.struct(F.concat(key, F.unhex(F.lit("FF"))).alias("key"), F.lit(0).alias("kind"), around.alias("top")))
@@ -71,7 +71,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", slices: in
     urls = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("slice", F.pmod(F.xxhash64("row", "url"), F.lit(slices)))
     labels = _reversed_labels(F.col("host"))
-    levels = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.col("path")).cast("binary"))
+    levels = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit("#"), F.col("path")).cast("binary"))
     points = urls.select("*", F.explode(levels).alias("key")).withColumn("kind", F.lit(2))
     edges = boundaries(rules).crossJoin(spark.range(slices).select(F.col("id").alias("slice")))
     sweep = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
