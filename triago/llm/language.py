@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triago.llm.common import crc_mod, table, written
+from triago.llm.common import crc_mod, release_memory, table, written
 
 BUCKETS, MAX_ROWS, UNKNOWN = 1 << 15, 4_000, "und"
 _WORDLIKE = re.compile(r"[^\W\d_]")
@@ -134,7 +134,9 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         for batch in batches:
             batch = batch[[has_letter(t) for t in batch["text"]]]
             counted = [gram_counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": [a.astype(np.int32) for a, _ in counted], "n": [n.astype(np.int32) for _, n in counted]})
+            lists = ([x[k].astype(np.int32) for x in counted] for k in (0, 1))
+            at, n = (pd.Series(x, dtype=object, index=batch.index) for x in lists)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": at, "n": n})
 
     found = rows.mapInPandas(task, "doc_id long, lang string, at array<int>, n array<int>").toPandas()
     found = found.assign(size=[len(x) for x in found["at"]], total=[int(sum(x)) for x in found["n"]]).sort_values(["doc_id", "lang", "size", "total"]).drop_duplicates(["doc_id", "lang"])
@@ -167,8 +169,10 @@ def identified_documents(docs: DataFrame, least: float = 0.4) -> DataFrame:
     model = train(docs)
 
     @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        found = (model.predict(t) for t in texts)
-        return pd.Series([x != UNKNOWN and p >= least for x, p in found], dtype=bool)
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = (model.predict(t) for t in texts)
+            yield pd.Series([x != UNKNOWN and p >= least for x, p in found], dtype=bool)
+        release_memory()
 
     return docs.where(known(F.col("text")))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triago.llm.common import crc_mod, table, written
+from triago.llm.common import crc_mod, release_memory, table, written
 
 MAX_ROWS, PAIRS, CUT = 20_000, 60_000, 0.3
 #: Kinds of bytes: each feature is the share of its bytes in all that are no white space.
@@ -119,7 +119,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": pd.Series([features(t) for t in batch["text"]], dtype=object, index=batch.index)})
 
     found = rows.mapInPandas(task, "doc_id long, quality int, x array<double>").toPandas()
     found = found.assign(first=[tuple(v) for v in found["x"]]).sort_values(["doc_id", "first"]).drop_duplicates("doc_id")
@@ -156,8 +156,10 @@ def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ranking = train(docs, labels)
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
-        return pd.Series(ranking.score(x) >= CUT, dtype=bool)
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
+            yield pd.Series(ranking.score(x) >= CUT, dtype=bool)
+        release_memory()
 
     return docs.where(good(F.col("text")))

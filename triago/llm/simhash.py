@@ -170,7 +170,7 @@ def shingle_hashes(text: str, words: int) -> Column:
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}) for t in texts])
+        return pd.Series([sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}) for t in texts], dtype=object)
 
     return hashes(F.col(text))
 
