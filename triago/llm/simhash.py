@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triago.llm.common import table, written
+from triago.llm.common import release_memory, table, written
 from triago.llm.components import components
 from triago.llm.positions import FILE, INDEX, lookup, positioned
 
@@ -67,9 +67,11 @@ def with_fingerprints(docs: DataFrame, text: str, words: int = 3, distinct: bool
         return fingerprint(parts, words, distinct), xxhash.xxh64_intdigest(b" ".join(parts), SEED + 1)
 
     @F.pandas_udf("fp long, same long")
-    def marked(texts: pd.Series) -> pd.DataFrame:
-        found = np.array([marks(t) for t in texts], dtype=np.uint64).reshape(len(texts), 2).view(np.int64)
-        return pd.DataFrame({"fp": found[:, 0], "same": found[:, 1]})
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = np.array([marks(t) for t in texts], dtype=np.uint64).reshape(len(texts), 2).view(np.int64)
+            yield pd.DataFrame({"fp": found[:, 0], "same": found[:, 1]})
+        release_memory()
 
     rows = docs.withColumn("_marks", marked(F.col(text)))
     return rows.select(*(c for c in docs.columns if c != text), "_marks.fp", "_marks.same")
@@ -137,6 +139,7 @@ def links(fps: DataFrame, max_bits: int = 3, matches: int = 5) -> DataFrame:
             yield out(batch[~last])
         if held is not None:
             yield out(held)
+        release_memory()
 
     key = Window.partitionBy("positions", "bytes")
     met = postings(fps, matches).withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1").select("positions", "bytes", "fp")
@@ -169,8 +172,10 @@ def shingle_hashes(text: str, words: int) -> Column:
     """The sorted hashes of a text's distinct shingles."""
 
     @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}) for t in texts], dtype=object)
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.array(sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}), dtype=np.int64) for t in texts], dtype=object)
+        release_memory()
 
     return hashes(F.col(text))
 
