@@ -36,10 +36,10 @@ def test_verdicts_and_subfolders(spark):
 def decide(spark, verdict, mine, reply, ocr_mean=None, arabic=0.0):
     row = spark.range(1).select(
         F.lit("").alias("text"), F.lit(verdict).alias("rule_verdict"), F.lit(mine).cast("string").alias("rule_category"),
-        F.struct(F.lit(arabic).alias("arabic_share"), F.lit(0).alias("ocr_lines"), F.lit(ocr_mean).cast("double").alias("ocr_mean"), F.lit(0).alias("ocr_below")).alias("signals"),
+        F.create_map().cast("map<string, string>").alias("subfolders"), F.struct(F.lit(arabic).alias("arabic_share"), F.lit(0).alias("ocr_lines"), F.lit(ocr_mean).cast("double").alias("ocr_mean"), F.lit(0).alias("ocr_below")).alias("signals"),
     )
     r = F.struct(*(F.lit(x).cast(t).alias(n) for x, (n, t) in zip(reply, (("ok", "boolean"), ("category", "string"), ("proposed", "string"), ("near", "string"), ("error", "string")), strict=True)))
-    got = classify.decided(row, fixed.REGISTRY, r).first()
+    got = classify.decided(row, r).first()
     return got.category, got.proposed, got.confidence, got.needs_review
 
 

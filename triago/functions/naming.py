@@ -21,9 +21,9 @@ def safe_base(base: Column) -> Column:
     return F.when(base == "", "document").when(base.isin(*fixed.DEVICE_NAMES), F.concat(base, F.lit("_doc"))).otherwise(base)
 
 
-def base_name(prefix: Column, parts: list[Column]) -> Column:
-    """The prefix and the parts that are present, cleaned."""
-    return safe_base(F.array_join(F.filter(F.array(prefix, *(F.coalesce(clean_part(p), F.lit("")) for p in parts)), lambda x: x != ""), "_"))
+def base_name(parts: Column) -> Column:
+    """The parts that are present, cleaned and joined."""
+    return safe_base(F.array_join(F.filter(F.transform(parts, lambda p: F.coalesce(clean_part(p), F.lit(""))), lambda x: x != ""), "_"))
 
 
 def shortened(base: Column, folder: Column, suffixes: list[str]) -> Column:

@@ -3,7 +3,6 @@ unrolled into literal patterns, so a plan has no join and no exchange."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,14 +16,19 @@ CLEAR, WEAK, TIE, NONE, RULE = "clear", "weak", "tie", "none", "business_rule"
 REPLY = "struct<ok: boolean, category: string, proposed: string, near: string, error: string>"
 
 
-def scores(text: Column, registry: dict) -> Column:
-    """A map of category to the number of its patterns that occur in the folded text, zeros included."""
+def folded_pair(text: Column) -> Column:
+    """struct(all, title): the folded text and its folded title zone, which everything below searches."""
+    return F.struct(fold(F.coalesce(text, F.lit(""))).alias("all"), fold(title_zone(text)).alias("title"))
 
-    def of(t: Column) -> Column:
-        hits = ((F.lit(c["name"]), reduce(lambda a, b: a + b, (t.rlike(java(k)).cast("int") for k in c["keywords"]), F.lit(0))) for c in registry["categories"])
-        return F.create_map(*(x for pair in hits for x in pair))
 
-    return let(fold(F.coalesce(text, F.lit(""))), of)
+def folded_scores(t: Column, registry: dict) -> Column:
+    hits = ((F.lit(c["name"]), reduce(lambda a, b: a + b, (t.rlike(java(k)).cast("int") for k in c["keywords"]), F.lit(0))) for c in registry["categories"])
+    return F.create_map(*(x for pair in hits for x in pair))
+
+
+def scores(text: Column, registry: dict) -> Column:
+    """A map of category to the number of its patterns that occur in the folded text, zeros included."""
+    return let(fold(F.coalesce(text, F.lit(""))), lambda t: folded_scores(t, registry))
 
 
 def verdict(found: Column, in_title: Column, registry: dict) -> Column:
@@ -41,36 +45,36 @@ def verdict(found: Column, in_title: Column, registry: dict) -> Column:
     return let(ranked, decide)
 
 
-def business_rule(text: Column, registry: dict) -> Column:
-    """struct(category, description) of the first rule whose patterns all occur, else null."""
-
-    def of(t: Column) -> Column:
-        out = F.lit(None).cast("struct<category: string, description: string>")
-        for r in reversed(registry["rules"]):
-            every = reduce(lambda a, b: a & b, (t.rlike(java(p)) for p in r["patterns"]))
-            out = F.when(every, F.struct(F.lit(r["category"]).alias("category"), F.lit(r["description"]).alias("description"))).otherwise(out)
-        return out
+def folded_rule(t: Column, registry: dict) -> Column:
+    """struct(category, description) of the first rule whose patterns all occur in a folded text, else null."""
+    out = F.lit(None).cast("struct<category: string, description: string>")
+    for r in reversed(registry["rules"]):
+        every = reduce(lambda a, b: a & b, (t.rlike(java(p)) for p in r["patterns"]))
+        out = F.when(every, F.struct(F.lit(r["category"]).alias("category"), F.lit(r["description"]).alias("description"))).otherwise(out)
+    return out
 
-    return let(fold(F.coalesce(text, F.lit(""))), of)
 
-
-def subfolder(category: Column, text: Column, registry: dict) -> Column:
-    """The only subfolder that the title zone names, or if it names none the only one of the whole text; else the one
-    for others. Null for categories without subfolders."""
+def folded_subfolders(pair: Column, registry: dict) -> Column:
+    """A map of each category with subfolders to the one of a document: the only one that the title zone names, or if it
+    names none the only one of the whole text; else the one for others."""
 
     def named(t: Column, own: dict) -> Column:
         hits = (F.when(reduce(lambda a, b: a | b, (t.rlike(java(k)) for k in s["keywords"])), F.lit(s["name"])) for s in own["subfolders"] if s["keywords"])
         return F.array_compact(F.array(*hits))
 
-    def among(own: dict) -> Callable[[Column], Column]:
-        only = lambda names: F.when(F.size(names) == 1, names[0]).otherwise(fixed.OTHER_FOLDER)
-        return lambda texts: let(named(texts["title"], own), lambda a: F.when(F.size(a) > 0, only(a)).otherwise(only(named(texts["all"], own))))
+    def only(names: Column) -> Column:
+        return F.when(F.size(names) == 1, names[0]).otherwise(fixed.OTHER_FOLDER)
 
-    both = F.struct(fold(title_zone(text)).alias("title"), fold(F.coalesce(text, F.lit(""))).alias("all"))
-    chosen = F.lit(None).cast("string")
-    for c in (c for c in registry["categories"] if any(s["keywords"] for s in c["subfolders"])):
-        chosen = F.when(category == c["name"], let(both, among(c))).otherwise(chosen)
-    return chosen
+    def choice(own: dict) -> Column:
+        return let(named(pair["title"], own), lambda a: F.when(F.size(a) > 0, only(a)).otherwise(only(named(pair["all"], own))))
+
+    own = [c for c in registry["categories"] if any(s["keywords"] for s in c["subfolders"])]
+    return F.create_map(*(x for c in own for x in (F.lit(c["name"]), choice(c)))) if own else F.create_map().cast("map<string, string>")
+
+
+def subfolder(category: Column, text: Column, registry: dict) -> Column:
+    """The subfolder of a document of a category; null for categories without subfolders."""
+    return F.try_element_at(let(folded_pair(text), lambda p: folded_subfolders(p, registry)), category)
 
 
 def signals(native: Column, confidences: Column) -> Column:
@@ -84,23 +88,27 @@ def signals(native: Column, confidences: Column) -> Column:
 
 
 def analysed(docs: DataFrame, registry: dict, text: str = "text", native: str | None = None, confidences: Column | None = None) -> DataFrame:
-    """``docs`` with scores, title_scores, rule_category, rule_verdict, rule_text and signals.
+    """``docs`` with scores, title_scores, subfolders, rule_category, rule_verdict, rule_text and signals.
 
     A null text counts as empty. A business rule overrides the verdict of the scores.
     """
     conf = F.lit(None).cast("array<double>") if confidences is None else confidences
-    t = F.col(text)
-    out = docs.withColumn("scores", scores(t, registry)).withColumn("title_scores", scores(title_zone(t), registry)).withColumn("_rule", business_rule(t, registry))
+    # the folded text stands in a projection of its own: it is searched often and folded once
+    pair = F.col("_folded")
+    out = docs.withColumn("_folded", folded_pair(F.col(text))).select(
+        *docs.columns, folded_scores(pair["all"], registry).alias("scores"), folded_scores(pair["title"], registry).alias("title_scores"),
+        folded_rule(pair["all"], registry).alias("_rule"), folded_subfolders(pair, registry).alias("subfolders"),
+    )
     out = out.withColumn("_found", verdict(F.col("scores"), F.col("title_scores"), registry))
     return out.select(
-        *docs.columns, "scores", "title_scores",
+        *docs.columns, "scores", "title_scores", "subfolders",
         F.when(F.col("_rule").isNotNull(), F.col("_rule.category")).otherwise(F.col("_found.category")).alias("rule_category"),
         F.when(F.col("_rule").isNotNull(), RULE).otherwise(F.col("_found.verdict")).alias("rule_verdict"),
         F.col("_rule.description").alias("rule_text"), signals(F.col(native or text), conf).alias("signals"),
     )
 
 
-def decided(docs: DataFrame, registry: dict, reply: Column, text: str = "text") -> DataFrame:
+def decided(docs: DataFrame, reply: Column) -> DataFrame:
     """``analysed`` rows with category, subfolder, confidence, proposed and needs_review.
 
     ``reply`` is a struct (ok, category, proposed, near, error); near is the known category that a proposed name
@@ -115,7 +123,7 @@ def decided(docs: DataFrame, registry: dict, reply: Column, text: str = "text")
     out = out.withColumn("confidence", F.when((v == RULE) | ((v == CLEAR) & agreed), fixed.SURE).otherwise(fixed.DOUBTFUL))
     doubt = F.coalesce(F.col("signals.ocr_mean") < fixed.OCR_DOCUMENT_MEAN, F.lit(False)) | (F.col("signals.arabic_share") > fixed.ARABIC_SHARE)
     review = (F.col("confidence") < fixed.AUTO_FILE_CONFIDENCE) | doubt | F.col("category").isNull() | F.col("proposed").isNotNull()
-    return out.withColumn("subfolder", subfolder(F.col("category"), F.col(text), registry)).withColumn("needs_review", review)
+    return out.withColumn("subfolder", F.try_element_at("subfolders", F.col("category"))).withColumn("needs_review", review)
 
 
 def final_type() -> Column:

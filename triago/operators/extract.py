@@ -161,8 +161,9 @@ def extracted(docs: DataFrame, registry: dict, ref_year: int, key: str = "doc_id
     return chosen(candidates(docs, key, type_, lines, registry, settings, ref_year), key, settings)
 
 
-def document_results(docs: DataFrame, fields: DataFrame, registry: dict, key: str = "doc_id", type_: str = "type") -> DataFrame:
-    """key, type, fields (map of values), totals, alerts and needs_review of every document, also without fields.
+def document_results(docs: DataFrame, fields: DataFrame, registry: dict, key: str = "doc_id", type_: str = "type", carried: tuple[str, ...] = ()) -> DataFrame:
+    """key, type, the carried columns, fields (map of values), totals, alerts and needs_review of every document, also
+    without fields.
 
     Totals are checked for types that expect all three amounts. Alerts follow the order of the type's fields.
     """
@@ -171,7 +172,7 @@ def document_results(docs: DataFrame, fields: DataFrame, registry: dict, key: st
     generic = F.create_map(*(x for i, f in enumerate(expected_fields(registry, None)) for x in (F.lit(f), F.lit(i))))
     order = F.coalesce(F.try_element_at(place, F.concat_ws("/", "type", "field")), F.try_element_at(generic, F.col("field")))
     rows = fields.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("place"), "field", "value", "amount", "detail", "low", "alerts"))).alias("rows"))
-    whole = docs.select(key, F.col(type_).alias("type")).join(rows, key, "left").withColumn("rows", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)))
+    whole = docs.select(key, F.col(type_).alias("type"), *carried).join(rows, key, "left").withColumn("rows", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)))
     kept = F.filter("rows", lambda r: r["value"].isNotNull())
     amount = lambda name: F.get(F.filter("rows", lambda r: r["field"] == name), F.lit(0))["amount"]
     totalled = F.col("type").isin(*(t for t in types if set(fixed.TOTAL_FIELDS) <= set(expected_fields(registry, t))))
@@ -179,4 +180,4 @@ def document_results(docs: DataFrame, fields: DataFrame, registry: dict, key: st
     whole = whole.withColumn("totals", F.when(totalled, totals_check(amount("montant_ht"), taxes, amount("montant_ttc"))))
     alerts = F.concat(F.flatten(F.transform("rows", lambda r: r["alerts"])), F.coalesce(F.col("totals.alerts"), F.array().cast("array<string>")))
     review = F.exists("rows", lambda r: r["low"]) | F.coalesce(F.col("totals.review"), F.lit(False))
-    return whole.select(key, "type", F.map_from_arrays(F.transform(kept, lambda r: r["field"]), F.transform(kept, lambda r: r["value"])).alias("fields"), "totals", alerts.alias("alerts"), review.alias("needs_review"))
+    return whole.select(key, "type", *carried, F.map_from_arrays(F.transform(kept, lambda r: r["field"]), F.transform(kept, lambda r: r["value"])).alias("fields"), "totals", alerts.alias("alerts"), review.alias("needs_review"))

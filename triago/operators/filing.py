@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triago import fixed
-from triago.functions.naming import base_name, clean_part, safe_base, shortened
+from triago.functions.naming import base_name, shortened
 from triago.operators.registry import SUBFOLDER_PART, expected_fields, name_model
 
 
@@ -39,12 +39,13 @@ def with_base(docs: DataFrame, registry: dict) -> DataFrame:
     """Routed ``docs`` (type, subfolder, fields: map, source) with base: for review the cleaned original name, else the
     type's prefix and parts; cut to the room there is (null if there is none)."""
     stem = F.regexp_replace("source", r"(?s)(?<=[^.])\.[^.]+$", "")
-    base = base_name(F.col("type"), [F.try_element_at("fields", F.lit(p)) for p in ("titre", "personne")])
+    # the parts are chosen first and cleaned after, so that there is one cleaning expression for all types
+    parts = F.array(F.col("type"), *(F.try_element_at("fields", F.lit(p)) for p in ("titre", "personne")))
     for c in registry["categories"]:
         model = name_model(registry, c["name"])
-        parts = [F.col("subfolder") if p == SUBFOLDER_PART else F.try_element_at("fields", F.lit(p)) for p in model["parts"]]
-        base = F.when(F.col("type") == c["name"], base_name(F.lit(model["prefix"]), parts)).otherwise(base)
-    base = F.when(F.col("to_review"), safe_base(clean_part(stem))).otherwise(base)
+        own = (F.col("subfolder") if p == SUBFOLDER_PART else F.try_element_at("fields", F.lit(p)) for p in model["parts"])
+        parts = F.when(F.col("type") == c["name"], F.array(F.lit(model["prefix"]), *own)).otherwise(parts)
+    base = base_name(F.when(F.col("to_review"), F.array(stem)).otherwise(parts))
     return docs.withColumn("base", shortened(base, F.col("folder"), [".txt", ".json"]))
 
 

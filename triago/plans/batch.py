@@ -29,7 +29,7 @@ def classified(docs: DataFrame, registry: dict, engine_name: str = "stub", num_c
     replies = engine.engine_replies(rows, registry, engine_name, num_ctx=num_ctx).withColumn("name", F.when(F.col("category") == fixed.ENGINE_OTHER, F.nullif(proposed_name(F.col("proposed")), F.lit(""))))
     replies = engine.with_near_category(replies, registry).select("doc_id", F.struct("ok", "category", "proposed", "near", "error").alias("reply"))
     rows = rows.join(replies, "doc_id", "left")
-    return classify.decided(rows, registry, F.col("reply")).withColumn("type", classify.final_type())
+    return classify.decided(rows, F.col("reply")).withColumn("type", classify.final_type())
 
 
 def processed(docs: DataFrame, registry: dict, ref_year: int, pages: DataFrame | None = None, engine_name: str = "stub", free_replies: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
@@ -38,9 +38,10 @@ def processed(docs: DataFrame, registry: dict, ref_year: int, pages: DataFrame |
     ``free_replies``: (doc_id, field, value) of an engine for free fields, grounded here; ``taken``: names in use.
     """
     rows = classified(prepared(docs, pages), registry, engine_name)
-    found = extract.extracted(rows, registry, ref_year)
-    results = extract.document_results(rows, found, registry).select("doc_id", "fields", "totals", F.col("alerts").alias("field_alerts"), F.col("needs_review").alias("field_review"))
-    rows = rows.join(results, "doc_id")
+    rows = rows.withColumn("doubt", F.col("needs_review"))
+    carried = ("source", "text", "lines", "merge_alerts", "category", "proposed", "subfolder", "rule_verdict", "confidence", "doubt")
+    rows = extract.document_results(rows, extract.extracted(rows, registry, ref_year), registry, carried=carried)
+    rows = rows.withColumnsRenamed({"alerts": "field_alerts", "needs_review": "field_review"})
     free_review, free_alerts = F.lit(False), F.array().cast("array<string>")
     if free_replies is not None:
         free = engine.grounded(free_replies, rows, registry)
@@ -51,7 +52,7 @@ def processed(docs: DataFrame, registry: dict, ref_year: int, pages: DataFrame |
         kept = F.map_filter(F.coalesce("free", F.create_map().cast("map<string, string>")), lambda k, v: ~F.map_contains_key(F.col("fields"), k))
         rows = rows.withColumn("fields", F.map_concat("fields", kept))
         free_review, free_alerts = F.coalesce("free_review", F.lit(False)), F.coalesce("free_alerts", free_alerts)
-    review = F.col("needs_review") | F.col("field_review") | free_review | (F.size("merge_alerts") > 0)
+    review = F.col("doubt") | F.col("field_review") | free_review | (F.size("merge_alerts") > 0)
     rows = rows.withColumn("needs_review", review).withColumn("alerts", F.concat("merge_alerts", "field_alerts", free_alerts))
     rows = filing.with_base(filing.routed(rows, registry), registry)
     rows = filing.without_collisions(rows, taken)

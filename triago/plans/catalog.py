@@ -100,7 +100,7 @@ def business_rule_override(spark, sf_dir):
     SELECT doc_id, CASE WHEN category = 'english' THEN CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) > 1 THEN 'Autres' WHEN len(b) = 1 THEN b[1] ELSE 'Autres' END END AS subfolder FROM c""")
 def subfolder_choice(spark, sf_dir):
     rows = _analysed(spark, sf_dir)
-    return rows.select("doc_id", classify.subfolder(F.col("rule_category"), F.col("text"), REGISTRY).alias("subfolder"))
+    return rows.select("doc_id", F.try_element_at("subfolders", F.col("rule_category")).alias("subfolder"))
 
 
 _RULE_A = f"""WITH {_SCORED}, r AS (SELECT doc_id, verdict, category AS mine, (doc_id % 7)::INT AS k, ['english', 'french', 'german', 'spanish', 'autre', 'autre', 'down'][(doc_id % 7 + 1)::INT] AS theirs FROM w),
@@ -113,7 +113,7 @@ def _decided(spark, sf_dir):
     k = F.col("doc_id") % 7
     theirs = F.array(*map(F.lit, ("english", "french", "german", "spanish", "autre", "autre")))
     reply = F.struct((k < 6).alias("ok"), F.get(theirs, k.cast("int")).alias("category"), F.when(k == 4, "Bulletin de paie").when(k == 5, "frenche").alias("proposed"), F.when(k == 5, "french").alias("near"), F.lit(None).cast("string").alias("error"))
-    return classify.decided(_analysed(spark, sf_dir), REGISTRY, reply)
+    return classify.decided(_analysed(spark, sf_dir), reply)
 
 
 @query(_RULE_A + "SELECT doc_id, category, proposed, confidence::DOUBLE AS confidence, confidence < 0.9 OR category IS NULL OR proposed IS NOT NULL AS needs_review FROM x")
@@ -295,7 +295,7 @@ def expected_fields_completed(spark, sf_dir):
     UNION ALL SELECT doc_id, 'Factures', 'facture_' || strftime(issued, '%Y-%m-%d') || '_fa-' || doc_id FROM f WHERE variant <> 4""")
 def file_base_name(spark, sf_dir):
     docs, rows = _extracted(spark, sf_dir)
-    out = extract.document_results(docs, rows, fixed.REGISTRY).join(docs.select("doc_id", "source"), "doc_id").withColumn("subfolder", F.lit(None).cast("string"))
+    out = extract.document_results(docs, rows, fixed.REGISTRY, carried=("source",)).withColumn("subfolder", F.lit(None).cast("string"))
     return filing.with_base(filing.routed(out, fixed.REGISTRY), fixed.REGISTRY).select("doc_id", "folder", F.col("base").alias("name"))
 
 
@@ -404,8 +404,9 @@ def filed_invoices(spark, sf_dir):
     docs = invoices(spark, sf_dir).withColumn("pages", F.lit(None).cast("array<struct<page: int, status: string, text: string>>"))
     rows = batch.prepared(docs)
     agree = F.struct(F.lit(True).alias("ok"), F.lit("factures").alias("category"), F.lit(None).cast("string").alias("proposed"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("string").alias("error"))
-    decided = classify.decided(classify.analysed(rows, fixed.REGISTRY, native="native", confidences=F.col("confidences")), fixed.REGISTRY, agree).withColumn("type", classify.final_type())
-    results = extract.document_results(decided, extract.extracted(decided, fixed.REGISTRY, REF_YEAR), fixed.REGISTRY)
-    whole = decided.select("doc_id", "source", "subfolder", F.col("needs_review").alias("doubt")).join(results, "doc_id").withColumn("needs_review", F.col("doubt") | F.col("needs_review"))
+    decided = classify.decided(classify.analysed(rows, fixed.REGISTRY, native="native", confidences=F.col("confidences")), agree).withColumn("type", classify.final_type())
+    decided = decided.withColumn("doubt", F.col("needs_review"))
+    whole = extract.document_results(decided, extract.extracted(decided, fixed.REGISTRY, REF_YEAR), fixed.REGISTRY, carried=("source", "subfolder", "doubt"))
+    whole = whole.withColumn("needs_review", F.col("doubt") | F.col("needs_review"))
     named = filing.without_collisions(filing.with_base(filing.routed(whole, fixed.REGISTRY), fixed.REGISTRY))
     return named.where("not to_review").select("doc_id", "type", F.col("name").alias("clean_name"))
