@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,10 +139,21 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             at, n = (pd.Series(x, dtype=object, index=batch.index) for x in lists)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": at, "n": n})
 
-    found = rows.mapInPandas(task, "doc_id long, lang string, at array<int>, n array<int>").toPandas()
-    found = found.assign(size=[len(x) for x in found["at"]], total=[int(sum(x)) for x in found["n"]]).sort_values(["doc_id", "lang", "size", "total"]).drop_duplicates(["doc_id", "lang"])
-    aside = (found["doc_id"].to_numpy() * 2654435761 >> 7) % 5 == 0
-    return fit(found["lang"].tolist(), [(np.array(a, dtype=np.int64), np.array(n, dtype=np.int64)) for a, n in zip(found["at"], found["n"], strict=True)], aside)
+    found = rows.mapInPandas(task, "doc_id long, lang string, at array<int>, n array<int>").toArrow()  # views, no Python lists
+    ids, langs = found["doc_id"].to_numpy(), found["lang"].to_pylist()
+    at, n = (_split(found[c].combine_chunks()) for c in ("at", "n"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i], len(at[i]), int(n[i].sum())))
+    first = [i for k, i in enumerate(order) if not k or (ids[order[k - 1]], langs[order[k - 1]]) != (ids[i], langs[i])]
+    aside = (ids[first] * 2654435761 >> 7) % 5 == 0
+    model = fit([langs[i] for i in first], [(at[i], n[i]) for i in first], aside)
+    release_memory()
+    return model
+
+
+def _split(lists: pa.ListArray) -> list[np.ndarray]:
+    """The arrays of a list column."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def predicted(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

@@ -121,9 +121,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": pd.Series([features(t) for t in batch["text"]], dtype=object, index=batch.index)})
 
-    found = rows.mapInPandas(task, "doc_id long, quality int, x array<double>").toPandas()
-    found = found.assign(first=[tuple(v) for v in found["x"]]).sort_values(["doc_id", "first"]).drop_duplicates("doc_id")
-    return np.array(found["x"].tolist(), dtype=float).reshape(len(found), len(NAMES)), found["quality"].to_numpy()
+    found = rows.mapInPandas(task, "doc_id long, quality int, x array<double>").toArrow()
+    ids, y = found["doc_id"].to_numpy(), found["quality"].to_numpy()
+    x = found["x"].combine_chunks().values.to_numpy().reshape(len(ids), len(NAMES))
+    order = np.lexsort([*x.T[::-1], ids])  # of rows with one id the one with the least features
+    first = order[np.unique(ids[order], return_index=True)[1]]
+    return x[first], y[first]
 
 
 def scored(docs: DataFrame, ranking: Ranking, key: str = "doc_id") -> DataFrame:
@@ -141,7 +144,9 @@ def scored(docs: DataFrame, ranking: Ranking, key: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ranking:
-    return fit(*training_rows(docs, labels, max_rows))
+    ranking = fit(*training_rows(docs, labels, max_rows))
+    release_memory()
+    return ranking
 
 
 def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
