@@ -73,7 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", slices: in
     labels = _reversed_labels(F.col("host"))
     levels = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit("#"), F.col("path")).cast("binary"))
     points = urls.select("*", F.explode(levels).alias("key")).withColumn("kind", F.lit(2))
-    edges = boundaries(rules).crossJoin(spark.range(slices).select(F.col("id").alias("slice")))
+    edges = boundaries(rules).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")))
     sweep = Window.partitionBy("slice").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = points.unionByName(edges, allowMissingColumns=True).withColumn("top", F.last("top", ignorenulls=True).over(sweep)).where("kind = 2")
     length = F.when(F.col("top.path").isNotNull(), F.struct(F.length("top.host") + F.length("top.path"), F.length("top.host")))
