@@ -357,8 +357,8 @@ def already_processed_anti(spark, sf_dir):
 @query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def retention_filter(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts")
-    now = events.agg(F.max("ts").alias("now"))
-    return filing.expired(events.crossJoin(F.broadcast(now)), "ts", F.col("now")).select("event_id")
+    now = events.agg(F.max("ts").alias("now")).first()["now"]
+    return filing.expired(events, "ts", F.lit(now)).select("event_id")
 
 
 @query()
