@@ -86,5 +86,7 @@ def test_records_and_companions(spark, tmp_path):
     files = spark.createDataFrame([("d/x.json",), ("d/x.txt",), ("d/x.pdf",), ("d/y.json",), ("d/y_original.json",)], "path string")
     found = {r.stem: r for r in inbox.companions(files).collect()}
     assert (found["x"].txt, found["x"].original, found["y"].original, found["y"].txt) == ("d/x.txt", "d/x.pdf", "d/y_original.json", None)
+    own = inbox.loaded(spark.createDataFrame([("d/x.json", "old"), ("d/y.json", "kept")], "path string, texte_brut string"), spark.createDataFrame([("d/x.txt", "new")], "path string, value string"))
+    assert sorted((r.path, r.text) for r in own.collect()) == [("d/x.json", "new"), ("d/y.json", "kept")]
     names = inbox.accepted_uploads(spark.createDataFrame([("C:\\dir\\a.PDF",), ("b.exe",)], "name string")).collect()
     assert [(r.name, r.accepted) for r in names] == [("a.PDF", True), ("b.exe", False)]

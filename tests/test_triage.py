@@ -169,6 +169,17 @@ def test_duplicates_and_state(spark):
     assert [r.path for r in filing.unprocessed(files, files.where("path = 'a'")).collect()] == ["c"]
 
 
+def test_copies_pages_and_accuracy(spark):
+    copies = spark.createDataFrame([(1, "a", 1, "a"), (1, "a", 2, "a"), (1, "a", None, None)], "length long, sha string, copy_length long, copy_sha string")
+    assert [r.ok for r in filing.deposited(copies).collect()] == [True, False, False]
+    ocr_ = "map<int, struct<status: string, reason: string, lines: array<struct<text: string, conf: double, frame: array<array<int>>>>>>"
+    pages = spark.createDataFrame([({2: ("ok", None, []), 1: ("erreur", "x", [])},)], f"ocr {ocr_}").select(filing.review_pages(F.col("ocr")).alias("p")).first().p
+    assert [(p.page, p.status) for p in pages] == [(1, "erreur"), (2, "ok")]
+    truth = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "a", "z"), (4, "a", None)], "doc_id long, field string, value string")
+    found = spark.createDataFrame([(1, "a", "x"), (2, "a", "no")], "doc_id long, field string, value string")
+    assert tuple(filing.field_accuracy(found, truth).first()) == ("a", 3, 1, 1, 1)
+
+
 def test_records_and_status(spark):
     rows = spark.createDataFrame([("factures", "a.pdf", 0.95, False, False), ("Bad", "", 1.5, False, False), ("factures", "a", 0.6, False, False), ("factures", "a", 0.6, False, True)], "type string, source string, confidence double, needs_review boolean, checked_by_human boolean")
     assert [r.problems for r in filing.record_problems(rows).collect()] == [[], ["type", "source", "confidence"], ["review"], []]

@@ -106,6 +106,26 @@ def write_filed(docs: DataFrame, path: str) -> None:
     docs.write.mode("append").partitionBy("folder").json(path)
 
 
+def deposited(copies: DataFrame) -> DataFrame:
+    """``copies`` (length, sha, copy_length, copy_sha) with ok: the copy is there and has the original's size and content.
+    Only documents whose every copy is ok may leave the inbox."""
+    same = (F.col("length") == F.col("copy_length")) & (F.col("sha") == F.col("copy_sha"))
+    return copies.withColumn("ok", F.coalesce(same, F.lit(False)))
+
+
+def review_pages(ocr: Column) -> Column:
+    """The OCR pages of a document, by number, as they go into a review record."""
+    return F.array_sort(F.transform(F.map_entries(ocr), lambda e: F.struct(e["key"].alias("page"), e["value"]["status"].alias("status"), e["value"]["lines"].alias("lines"))))
+
+
+def field_accuracy(found: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(field, expected, exact, missing, wrong) of found (key, field, value) against the truth of the same columns."""
+    t = truth.select(key, "field", F.col("value").alias("true_value")).where("true_value is not null")
+    rows = t.join(found.select(key, "field", "value"), [key, "field"], "left")
+    exact = F.coalesce(F.col("value") == F.col("true_value"), F.lit(False))
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("expected"), F.count_if(exact).alias("exact"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value").isNotNull() & ~exact).alias("wrong"))
+
+
 def expired(rows: DataFrame, ts: str, now: Column, days: int = fixed.RETENTION_DAYS) -> DataFrame:
     """Rows older than the retention, strictly."""
     return rows.where(F.col(ts) < now - F.make_interval(days=F.lit(days)))

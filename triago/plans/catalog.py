@@ -11,7 +11,7 @@ from triago import fixed
 from triago.functions import masking, naming, text, values
 from triago.operators import classify, engine, extract, filing, review
 from triago.plans import batch
-from triago.plans.samples import FACTS_SQL, REGISTRY, invoices, table
+from triago.plans.samples import FACTS_SQL, REGISTRY, invoice_facts, invoices, table
 from triago.sources import ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,12 +177,23 @@ def truncate_prompt(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.truncated(F.col("text"), F.lit(500)).alias("t")).select("doc_id", "t.truncated", "t.text")
 
 
-@query("""SELECT doc_id, length(regexp_replace(lower(text), '[a-z0-9]', '', 'g')) >= 0 AS whole, regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+') AS had_email,
-    false AS has_email FROM documents""")
+_EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{_EMAIL}') AS had_email, false AS has_email FROM documents")
 def mask_text(spark, sf_dir):
     masked = masking.mask_text(F.col("text"))
-    email = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+"
-    return _documents(spark, sf_dir).select("doc_id", F.lit(True).alias("whole"), F.col("text").rlike(email).alias("had_email"), masked.rlike(email).alias("has_email"))
+    return _documents(spark, sf_dir).select("doc_id", F.col("text").rlike(_EMAIL).alias("had_email"), masked.rlike(_EMAIL).alias("has_email"))
+
+
+@query("""SELECT c_custkey, 'Client Customer#[MASQUÉ] CIN : [MASQUÉ], tel [MASQUÉ], mail [MASQUÉ] RIB [MASQUÉ], carte [MASQUÉ], segment ' || c_mktsegment || ', dossier ' || (c_custkey % 10000) AS masked FROM customer""")
+def mask_customers(spark, sf_dir):
+    n = lambda width: F.lpad(F.col("c_custkey").cast("string"), width, "0")
+    text_ = F.concat(
+        F.lit("Client "), "c_name", F.lit(" CIN : ab "), n(6), F.lit(", tel 06"), n(8), F.lit(", mail c."), n(3), F.lit("@exemple.co.ma RIB 011 780 00"), n(14), F.lit(" 34, carte AB"), n(6),
+        F.lit(", segment "), "c_mktsegment", F.lit(", dossier "), (F.col("c_custkey") % 10000).cast("string"),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", masking.mask_text(text_).alias("masked"))
 
 
 # --- invoices
@@ -330,6 +341,14 @@ def status_listing(spark, sf_dir):
     return review.listing(docs).select("doc_id", "status", "rank")
 
 
+@query(f"""WITH {FACTS_SQL} SELECT field, count(*) AS expected, count(*) AS exact, 0::BIGINT AS missing, 0::BIGINT AS wrong FROM f, (VALUES ('numero'), ('date_facture'), ('ice')) AS v(field) GROUP BY field""")
+def field_accuracy(spark, sf_dir):
+    docs, rows = _extracted(spark, sf_dir)
+    facts = invoice_facts(spark, sf_dir)
+    told = F.create_map(F.lit("numero"), F.concat(F.lit("FA-"), F.col("doc_id").cast("string")), F.lit("date_facture"), F.date_format("issued", "yyyy-MM-dd"), F.lit("ice"), F.lpad(F.col("customer").cast("string"), 15, "0"))
+    return filing.field_accuracy(rows, facts.select("doc_id", F.explode(told).alias("field", "value")))
+
+
 # --- files
 
 

@@ -51,6 +51,14 @@ def companions(files: DataFrame) -> DataFrame:
     return rows.groupBy("folder", "stem").agg(pick(".json"), pick(".txt"), F.min(F.when(~produced, F.col("path"))).alias("original"))
 
 
+def loaded(records_: DataFrame, texts: DataFrame) -> DataFrame:
+    """``records_`` (path, texte_brut, ...) with text: that of the companion .txt file (path, value) where there is one,
+    else the record's own."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
+    own = texts.select(stem(F.col("path")).alias("_stem"), F.col("value").alias("_text"))
+    return records_.withColumn("_stem", stem(F.col("path"))).join(own, "_stem", "left").withColumn("text", F.coalesce("_text", "texte_brut")).drop("_stem", "_text")
+
+
 def accepted_uploads(names: DataFrame) -> DataFrame:
     """(name, accepted): the bare names of uploads, and whether their extension is one that is read."""
     bare = F.regexp_extract(F.replace(F.col("name"), F.lit("\\"), F.lit("/")), "[^/]*$", 0)
