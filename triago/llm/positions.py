@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,8 +52,10 @@ def lookup(decisions: DataFrame, value: str = "value") -> Callable[[Column, Colu
         fs, root = opened(folder)
         rows, data = pd.concat(parts), io.BytesIO()
         np.save(data, np.stack([rows[INDEX].to_numpy(np.int64), rows["value"].to_numpy(np.int64)]))
-        with fs.open_output_stream(f"{root}/{_name(file)}", compression=None) as out:  # any task writes the same bytes
+        draft = f"{root}/{_name(file)}.{uuid.uuid4().hex}"  # a repeated task moves the same bytes into place
+        with fs.open_output_stream(draft, compression=None) as out:
             out.write(data.getvalue())
+        fs.move(draft, f"{root}/{_name(file)}")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, parts, n = None, [], 0
