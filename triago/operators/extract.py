@@ -15,7 +15,6 @@ from triago.functions.text import fold_line, java, let, lines_of, stripped
 from triago.functions.values import DECIMAL, amount_value, date_value, totals_check
 from triago.operators.registry import expected_fields, tolerant
 
-VALUE = f"struct<value: string, amount: {DECIMAL}, alerts: array<string>>"
 LINE = "struct<text: string, conf: double, page: int>"
 AHEAD = 4
 
@@ -25,54 +24,42 @@ def text_lines(text: Column) -> Column:
     return F.transform(lines_of(text), lambda x: F.struct(x.alias("text"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("int").alias("page")))
 
 
-def _value(value: Column, amount: Column | None = None, alerts: Column | None = None) -> Column:
-    return F.struct(
-        value.cast("string").alias("value"), (F.lit(None) if amount is None else amount).cast(DECIMAL).alias("amount"),
-        (F.array() if alerts is None else alerts).cast("array<string>").alias("alerts"),
-    )
-
-
-NOTHING = lambda: _value(F.lit(None))
-
-
-def field_value(setting: dict, text: Column, alone: bool, ref_year: int) -> Column:
-    """A field's value in a text; ``alone``: the text must hold nothing else."""
+def raw_value(setting: dict, text: Column, alone: bool) -> Column:
+    """What a text holds of a field, as written: null if nothing fits; ``alone``: the text must hold nothing else. Values
+    of the types text and digits are final, dates and amounts are read later."""
     if setting.get("ignore"):
         text = F.regexp_replace(text, java(setting["ignore"]), " ")
-    kind = setting["type"]
-    if kind == "date":
-        found = let(date_value(text, ref_year), lambda d: _value(d["value"], None, d["alerts"]))
-        return F.when(F.length(stripped(text)) > fixed.NEXT_LINE_DATE_CHARS, NOTHING()).otherwise(found) if alone else found
-    if kind == "amount":
+    if setting["type"] == "date":
+        return F.when(F.length(stripped(text)) <= fixed.NEXT_LINE_DATE_CHARS, text) if alone else text
+    if setting["type"] == "amount":
         a, b, after = fixed.AMOUNT_GROUPED, fixed.AMOUNT_PLAIN, fixed.CURRENCY_AFTER
         if alone:
-            pattern, group = rf"(?iU)^\s*((?:{a}|{b})(?!\d))\s*{after}?\.?\s*\z", 1
-        else:  # the first number that has decimals or a currency after it; the atomic group keeps it whole
-            pattern, group = rf"(?iU)(?<![\w.,])(?>{a}(?!\d)|{b}(?!\d))(?:(?<=[.,]\d{{1,2}})|(?=\s*{after}\b))", 0
-        number = lambda m: F.when(m == "", NOTHING()).otherwise(let(amount_value(m), lambda v: _value(v["value"], v["value"], F.array_compact(F.array(v["alert"])))))
-        return let(F.regexp_extract(text, pattern, group), number)
+            return F.nullif(F.regexp_extract(text, rf"(?iU)^\s*((?:{a}|{b})(?!\d))\s*{after}?\.?\s*\z", 1), F.lit(""))
+        # the first number that has decimals or a currency after it; the atomic group keeps it whole
+        return F.nullif(F.regexp_extract(text, rf"(?iU)(?<![\w.,])(?>{a}(?!\d)|{b}(?!\d))(?:(?<=[.,]\d{{1,2}})|(?=\s*{after}\b))", 0), F.lit(""))
     raw = F.regexp_extract(text, java(rf"^\s*[:\-]?\s*({setting['value']})\s*\z"), 1) if alone else F.regexp_extract(text, java(setting["value"]), 0)
-    if kind == "digits":
-        return let(F.regexp_replace(raw, java(r"\D"), ""), lambda d: F.when(F.length(d) == setting["length"], _value(d)).otherwise(NOTHING()))
+    if setting["type"] == "digits":
+        return let(F.regexp_replace(raw, java(r"\D"), ""), lambda d: F.when(F.length(d) == setting["length"], d))
     clean = F.upper(F.regexp_replace(raw, java(r"\s"), "")) if setting.get("no_spaces") else stripped(raw)
-    return let(clean, lambda v: F.when(v.rlike(java(r"\d")), _value(v)).otherwise(NOTHING()))
+    return let(clean, lambda v: F.when(v.rlike(java(r"\d")), v))
 
 
 _BUILT: dict[tuple, Column] = {}
 
 
-def built_candidate(field: str, setting: dict, ref_year: int) -> Column:
-    """``candidate``, built once for a JVM: an expression of some hundred nodes takes the driver longer to build than to
-    plan, and it refers to columns by name only."""
-    key = (id(SparkContext._jvm), field, repr(setting), ref_year)
+def built_candidate(field: str, setting: dict) -> Column:
+    """``candidate``, built once for a JVM: the driver takes longer to build it than to plan with it, and it refers to
+    columns by name only."""
+    key = (id(SparkContext._jvm), field, repr(setting))
     if key not in _BUILT:
-        _BUILT[key] = candidate(field, setting, ref_year)
+        _BUILT[key] = candidate(field, setting)
     return _BUILT[key]
 
 
-def candidate(field: str, setting: dict, ref_year: int) -> Column:
-    """What a line (norm, text, conf, page, line, after) gives for a field: null without a label, else a struct whose
-    value is null if there is a label and no value. The first label of the list that occurs counts, and only that."""
+def candidate(field: str, setting: dict) -> Column:
+    """What a line (norm, text, conf, page, line, after) holds of a field: null without a label, else what is written
+    beside the label and, to be used if that gives no value, below it, with the number of lines below that this takes.
+    The first label of the list that occurs counts, and only that."""
     norm, text, after = F.col("norm"), F.col("text"), F.col("after")
     labels = [tolerant(x) for x in setting["labels"]]
     label, end = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -81,28 +68,48 @@ def candidate(field: str, setting: dict, ref_year: int) -> Column:
         label = F.when(hit, F.lit(i)).otherwise(label)
         end = F.when(hit, F.length(F.regexp_extract(norm, f"(?sU)^(.*?)(?:{pattern})", 0))).otherwise(end)
 
-    def found(v: Column, more: Column) -> Column:
-        used = F.concat(F.array(F.col("conf")), F.transform(F.slice(after, 1, more), lambda x: x["conf"]))
-        return F.struct(
-            F.lit(field).alias("field"), label.alias("label"), F.col("line").alias("line"), (F.col("line") + more).alias("value_line"), F.col("page").alias("page"),
-            F.array_min(used).alias("conf"), v["value"].alias("value"), v["amount"].alias("amount"), v["alerts"].alias("alerts"),
+    def digit_lines() -> Column:
+        """How many of the lines right below hold digits and separators only."""
+        fits = lambda x: x["text"].rlike(java(rf"^{fixed.DIGIT_LINE}\z"))
+        count = lambda acc, x: F.struct((acc["n"] + (acc["on"] & fits(x)).cast("int")).alias("n"), (acc["on"] & fits(x)).alias("on"))
+        return F.aggregate(F.slice(after, 1, setting["more_lines"]), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), count)["n"]
+
+    def found(rest: Column) -> Column:
+        def with_lines(n: Column) -> Column:
+            whole = F.array_join(F.concat(F.array(rest), F.transform(F.slice(after, 1, n), lambda x: x["text"])), " ")
+            below = F.when(n > 0, raw_value(setting, whole, False)) if setting.get("more_lines") else raw_value(setting, F.get(after, F.lit(0))["text"], True)
+            used = F.concat(F.array(F.col("conf")), F.transform(F.slice(after, 1, n), lambda x: x["conf"]))
+            return F.struct(
+                F.lit(field).alias("field"), F.lit(setting["type"]).alias("kind"), label.alias("label"), F.col("line").alias("line"), n.alias("more"), F.col("page").alias("page"),
+                F.col("conf").alias("conf"), F.array_min(used).alias("conf_below"), raw_value(setting, rest, False).alias("beside"), below.alias("below"),
+            )
+
+        return let(digit_lines() if setting.get("more_lines") else F.least(F.size(after), F.lit(1)), with_lines)
+
+    return F.when(label.isNotNull(), let(F.substring(text, end + 1, F.length(text)), found))
+
+
+def read_values(found: DataFrame, ref_year: int) -> DataFrame:
+    """``candidate`` rows with value, amount, alerts, value_line and conf. One expression for each kind reads what stands
+    beside labels, and one what stands below."""
+
+    def read(raw: str) -> Column:
+        date, amount = date_value(F.col(raw), ref_year), amount_value(F.col(raw))
+        none, no_alerts = F.lit(None).cast(DECIMAL), F.array().cast("array<string>")
+        return (
+            F.when(F.col("kind") == "date", let(date, lambda d: F.struct(d["value"].alias("value"), none.alias("amount"), d["alerts"].alias("alerts"))))
+            .when(F.col("kind") == "amount", let(amount, lambda m: F.struct(m["value"].cast("string").alias("value"), m["value"].alias("amount"), F.array_compact(F.array(m["alert"])).alias("alerts"))))
+            .otherwise(F.struct(F.col(raw).alias("value"), none.alias("amount"), no_alerts.alias("alerts")))
         )
 
-    def joined_alerts(first: Column, second: Column) -> Column:
-        return _value(second["value"], second["amount"], F.concat(first["alerts"], second["alerts"]))
-
-    def below(rest: Column, same: Column) -> Column:
-        if setting.get("more_lines"):
-            run = F.aggregate(F.slice(after, 1, setting["more_lines"]), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct((acc["n"] + (acc["on"] & x["text"].rlike(java(rf"^{fixed.DIGIT_LINE}\z"))).cast("int")).alias("n"), (acc["on"] & x["text"].rlike(java(rf"^{fixed.DIGIT_LINE}\z"))).alias("on")))
-            whole = lambda n: F.array_join(F.concat(F.array(rest), F.transform(F.slice(after, 1, n), lambda x: x["text"])), " ")
-            return let(run["n"], lambda n: F.when(n > 0, let(field_value(setting, whole(n), False, ref_year), lambda v: found(joined_alerts(same, v), n))).otherwise(found(same, F.lit(0))))
-        nothing_below = F.size(after) == 0
-        return F.when(nothing_below, found(same, F.lit(0))).otherwise(let(field_value(setting, F.get(after, F.lit(0))["text"], True, ref_year), lambda v: found(joined_alerts(same, v), F.lit(1))))
-
-    def beside(rest: Column) -> Column:
-        return let(field_value(setting, rest, False, ref_year), lambda v: F.when(v["value"].isNotNull(), found(v, F.lit(0))).otherwise(below(rest, v)))
-
-    return F.when(label.isNotNull(), let(F.substring(text, end + 1, F.length(text)), beside))
+    rows = found.withColumn("one", read("beside"))
+    rows = rows.withColumn("two", F.when(F.col("one.value").isNull() & F.col("below").isNotNull(), read("below")))
+    is_below = F.col("one.value").isNull() & F.col("two.value").isNotNull()
+    return rows.select(
+        *(c for c in found.columns if c not in ("kind", "more", "conf", "conf_below", "beside", "below")), (F.col("line") + F.when(is_below, F.col("more")).otherwise(0)).alias("value_line"),
+        F.when(is_below, F.col("conf_below")).otherwise(F.col("conf")).alias("conf"), F.coalesce("one.value", "two.value").alias("value"), F.coalesce("one.amount", "two.amount").alias("amount"),
+        F.concat(F.col("one.alerts"), F.coalesce("two.alerts", F.array().cast("array<string>"))).alias("alerts"),
+    )
 
 
 def candidates(docs: DataFrame, key: str, type_: str, lines: str, registry: dict, settings: dict, ref_year: int) -> DataFrame:
@@ -113,8 +120,8 @@ def candidates(docs: DataFrame, key: str, type_: str, lines: str, registry: dict
     wanted = F.coalesce(F.try_element_at(per_type, F.col(type_)), F.array(*map(F.lit, expected_fields(registry, None))))
     near = F.transform(F.col(lines), lambda x, i: F.struct(x["text"].alias("text"), x["conf"].alias("conf"), x["page"].alias("page"), F.slice(F.col(lines), i + 2, AHEAD).alias("after")))
     rows = docs.select(F.col(key), F.col(type_).alias("type"), wanted.alias("wanted"), F.posexplode(near).alias("line", "at")).select(key, "type", "wanted", "line", "at.*").withColumn("norm", fold_line(F.col("text")))
-    hits = F.array_compact(F.array(*(F.when(F.array_contains("wanted", f), built_candidate(f, settings[f], ref_year)) for f in known)))
-    return rows.select(key, "type", F.inline(hits))
+    hits = F.array_compact(F.array(*(F.when(F.array_contains("wanted", f), built_candidate(f, settings[f])) for f in known)))
+    return read_values(rows.select(key, "type", F.inline(hits)), ref_year)
 
 
 def chosen(found: DataFrame, key: str, settings: dict) -> DataFrame:
