@@ -38,6 +38,17 @@ def test_decisions_meet_their_rows(spark, tmp_path):
     assert none.where("got <> 0").count() == 0
 
 
+def test_rows_made_in_the_plan_have_positions_of_their_own(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    twice = read.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    for df, n in ((twice, 20), (read.unionByName(read), 20), (read.where("id > 3"), 6), (read, 10), (spark.range(5), 5)):
+        rows = positions.positioned(df)
+        assert rows.count() == rows.select(positions.FILE, positions.INDEX).distinct().count() == n
+    kept = positions.positioned(read.where("id > 3")).select(positions.FILE).first()[0]
+    assert str(tmp_path) in kept  # straight from the file, nothing written
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_each_operator_has_its_query(n):
     assert any(name.startswith(f"op{n}_") for name in registry.queries()) and "pipeline" in registry.queries()

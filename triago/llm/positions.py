@@ -7,8 +7,10 @@ decided row of one data file.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,11 +27,13 @@ FILE, INDEX = "_row_file", "_row_index"
 
 
 def positioned(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file and index of each row; rows that don't come straight from Parquet files are written first."""
-    try:
-        return _with_position(docs)
-    except AnalysisException:
-        return _with_position(written(docs))
+    """``docs`` with the file and index of each row. Rows that don't come straight from Parquet files, each once, are
+    written first."""
+    nodes = re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
+    if set(nodes) <= {"Relation", "Project", "Filter"}:
+        with contextlib.suppress(AnalysisException):  # a relation of another kind has no such column
+            return _with_position(docs)
+    return _with_position(written(docs))
 
 
 def _with_position(docs: DataFrame) -> DataFrame:
