@@ -22,59 +22,39 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triago.llm.common import release_memory, table, written
 from triago.llm.components import components
-from triago.llm.positions import FILE, INDEX, lookup, positioned
+from triago.llm.near_copies import one_of_each as one_of_each
+from triago.llm.shingles import SEED, shingles, split_words
 
 BLOCK = 4096
-SEED = 42
 
 
-def shingles(parts: list[bytes], words: int) -> list[bytes]:
-    """Runs of ``words`` words, repeats included; fewer words make one shingle, none none."""
-    if len(parts) <= words:
-        return [b" ".join(parts)] if parts else []
-    return list(map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)))
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """Words of a whole text, A-Z lower-cased; as bytes, lower() and split() touch ASCII letters and spaces only."""
-    return (text or "").encode().lower().split()
-
-
-def fingerprint(parts: list[bytes], words: int = 3, distinct: bool = False) -> int:
-    """The unsigned fingerprint: a bit is set if it is in over half of the shingles' XXH64 hashes (of the distinct
-    shingles' only, if so asked). Without words it is 0."""
+def fingerprint(parts: list[bytes], words: int = 3) -> int:
+    """The unsigned fingerprint: a bit is set if it is in over half of the shingles' XXH64 hashes. Without words it is 0."""
     found = shingles(parts, words)
     if not found:
         return 0
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in (set(found) if distinct else found)], dtype="<u8")
+    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype="<u8")
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str, words: int = 3, distinct: bool = False) -> DataFrame:
-    """``docs`` without its text column and with fp and same: 64 bits as a signed number, and a second hash of the whole
-    sequence of words."""
+def with_fingerprints(docs: DataFrame, text: str, words: int = 3) -> DataFrame:
+    """``docs`` without its text column and with fp, 64 bits as a signed number."""
 
-    def marks(t: str | None) -> tuple[int, int]:
-        parts = split_words(t)
-        return fingerprint(parts, words, distinct), xxhash.xxh64_intdigest(b" ".join(parts), SEED + 1)
-
-    @F.pandas_udf("fp long, same long")
-    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = np.array([marks(t) for t in texts], dtype=np.uint64).reshape(len(texts), 2).view(np.int64)
-            yield pd.DataFrame({"fp": found[:, 0], "same": found[:, 1]})
+            yield pd.Series(np.array([fingerprint(split_words(t), words) for t in texts], dtype=np.uint64).view(np.int64))
         release_memory()
 
-    rows = docs.withColumn("_marks", marked(F.col(text)))
-    return rows.select(*(c for c in docs.columns if c != text), "_marks.fp", "_marks.same")
+    return docs.withColumn("fp", marked(F.col(text))).select(*(c for c in docs.columns if c != text), "fp")
 
 
 def postings(fps: DataFrame, matches: int) -> DataFrame:
@@ -166,51 +146,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_hashes(text: str, words: int) -> Column:
-    """The sorted hashes of a text's distinct shingles."""
-
-    @F.pandas_udf("array<long>")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.array(sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(split_words(t), words)}), dtype=np.int64) for t in texts], dtype=object)
-        release_memory()
-
-    return hashes(F.col(text))
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 10, matches: int = 3) -> DataFrame:
-    """``docs`` less near-duplicates: of each group one row stays, all columns kept.
-
-    Rows are linked if the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more.
-    Shingles of several words move a fingerprint far for such a pair, so candidates come from fingerprints of the
-    distinct words: pairs that share ``matches`` positional bytes or more and differ in at most ``max_bits`` bits, found
-    in the index's lists as spanning links (nearest first) and then verified on the whole texts' shingles. Equal
-    sequences of words are one node from the start. Of a group the row with the smallest doc_id stays (null ids come
-    last, repeated ids by file and order in it). Null and blank texts are equal to each other.
-
-    Texts are never shuffled: rows are known by their position, and both the texts to verify and the rows to keep are
-    picked out where they are read. What is shuffled is a few numbers for each row, and the shingles of candidates.
-    """
-    rows = positioned(docs)
-    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(FILE).alias("file"), F.col(INDEX).alias("index"))
-    marked = written(with_fingerprints(rows.select("text", at.alias("at")), "text", 1, True))
-    nodes = written(marked.groupBy("fp", "same").agg(F.min("at").alias("at")).withColumn("node", F.concat(F.hex("fp"), F.lit("-"), F.hex("same"))))
-    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    alike = nodes.join(fps, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    met = links(fps.select("fp"), max_bits, matches)
-    for end in ("u", "v"):
-        met = met.join(fps.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
-    pairs = written(met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(alike))
-    members = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
-    members = written(members.select("node", F.col("at.file").alias(FILE), F.col("at.index").alias(INDEX)))
-    chosen = rows.where(lookup(members.withColumn("value", F.lit(1)))(F.col(FILE), F.col(INDEX)) == 1)
-    sets = written(chosen.select(FILE, INDEX, shingle_hashes("text", words).alias("hashes")).join(members, [FILE, INDEX]).select("node", "hashes"))
-    for end in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")), end)
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    roots = components(pairs.where(shared >= similarity * (F.size("u_set") + F.size("v_set") - shared)).select("u", "v"))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("at").alias("at"))
-    kept = written(kept.select(F.col("at.file").alias(FILE), F.col("at.index").alias(INDEX), F.lit(1).alias("value")))
-    return rows.where(lookup(kept)(F.col(FILE), F.col(INDEX)) == 1).select(*docs.columns)
