@@ -33,3 +33,14 @@ def test_edits_of_blocks_and_tails(spark, monkeypatch, sample, long):
         texts |= {100 * i + k: " ".join(x) for k, x in enumerate(rng.sample(copies, len(copies)))}
     expected = survivors(texts)
     assert 20 < len(expected) < 200 and kept(spark, texts) == expected
+
+
+def test_a_dissimilar_text_between_two_similar_ones(spark):
+    """C, in another order and with half of what sets A and B apart, is nearer to both by words than they are to each other."""
+    rng, texts = random.Random(12), {}
+    for i in range(60):
+        a = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        b = a[:60] + [f"v{rng.randrange(10**6)}" for _ in range(12)] + a[72:]
+        texts |= {10 * i: " ".join(a), 10 * i + 1: " ".join(b), 10 * i + 2: " ".join(rng.sample(a[:66] + b[66:], 200))}
+    assert survivors(texts) == sorted(x for i in range(60) for x in (10 * i, 10 * i + 2))
+    assert kept(spark, texts) == survivors(texts)
