@@ -44,3 +44,14 @@ def test_a_dissimilar_text_between_two_similar_ones(spark):
         texts |= {10 * i: " ".join(a), 10 * i + 1: " ".join(b), 10 * i + 2: " ".join(rng.sample(a[:66] + b[66:], 200))}
     assert survivors(texts) == sorted(x for i in range(60) for x in (10 * i, 10 * i + 2))
     assert kept(spark, texts) == survivors(texts)
+
+
+def test_similar_texts_among_others_of_the_same_words(spark):
+    """A has the words of B and C in another order, and all three one fingerprint of words."""
+    rng, texts = random.Random(13), {}
+    for i in range(20):
+        b = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        c = b[:99] + [b[100], b[99]] + b[101:]
+        texts |= {10 * i: " ".join(rng.sample(b, 200)), 10 * i + 1: " ".join(b), 10 * i + 2: " ".join(c)}
+    assert survivors(texts) == sorted(x for i in range(20) for x in (10 * i, 10 * i + 1))
+    assert kept(spark, texts) == survivors(texts)
