@@ -35,3 +35,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_mask_summary_keeps_long_numbers(spark, tmp_path):
+    from triago.plans import catalog
+
+    spark.sql("SELECT id AS o_orderkey, 1L AS o_custkey, timestamp'2026-01-02' AS o_orderdate FROM values (7L), (9999999L), (10000000L), (123456789L) AS t(id)").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.read.parquet(str(tmp_path / "orders.parquet")).selectExpr("o_orderkey AS l_orderkey", "10.0D AS l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT 1L AS c_custkey, 'x' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.doc_id: r.numero for r in catalog.mask_field_summary(spark, str(tmp_path)).collect()}
+    assert got == {7: "FA-7", 9999999: "FA-9999999", 10000000: "FA-[MASQUÉ]", 123456789: "FA-[MASQUÉ]"}
