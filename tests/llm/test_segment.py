@@ -5,6 +5,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from triago.llm import segment
 
 
@@ -77,3 +78,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert all(r.decoded and r.n_pieces == len(r.ids) for r in got) and sum(r.sample == 1 for r in got) == 10
     same = [r.ids_xxh64 for r in got if r.doc_id == 1 and r.sample == 1]
     assert len(same) == 3 and len(set(same)) == 2 and segment.sampled(no_docs).count() == 0
+
+
+def test_query_and_last_stage_return_the_ids(spark, tmp_path, odd_docs, vocab):
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = Counter(r.text or "" for r in docs.collect())
+    for found in (segment.op8_gumbel_segments(spark, str(tmp_path)), corpus_pipeline.encode_pieces(spark, docs, str(tmp_path))):
+        assert dict(found.dtypes)["ids"] == "array<int>"
+        assert Counter(segment.decode(np.array(r.ids), vocab) for r in found.where("sample = 1").collect()) == texts

@@ -437,4 +437,4 @@ def sampled(docs: DataFrame, k: int = 2, theta: float = 0.5, key: str = "doc_id"
 
 
 def op8_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return sampled(table(spark, sf_dir, "documents"))
