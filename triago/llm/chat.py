@@ -1,23 +1,30 @@
 """Chat formatting with a grammar round trip, in DataFrame operations only.
 
 Grammar: ``conversation := turn*``, ``turn := <s> role | level [INST] text [/INST]</s>``. The role is always escaped.
-The text stands verbatim at level 0 and escaped at level 1 (``~`` ``<`` ``[`` become ``~0`` ``~1`` ``~2``, which leaves no
-control string in it and can be undone). The parser splits at ``</s>`` and reads each piece with one anchored pattern.
+The text stands verbatim at level 0 and escaped at level 1 (``~`` ``<`` ``[`` ``|`` become ``~0`` ``~1`` ``~2`` ``~3``, which
+leaves no control string in it and can be undone). The control strings are ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``: a
+text that holds one is always escaped, as a tokenizer would read it as a mark even where the parser could tell. Texts
+stand between marks, so none can make up a control string together with its neighbours.
+The parser splits at ``</s>`` and reads each piece with one anchored pattern.
 
-Each conversation is rendered at level 0 and parsed again. If the recovered turns differ from the source, the turns that
-don't survive a round trip by themselves are escaped and the conversation is parsed again; if that still differs, all
-its turns are escaped. ``round_trip`` tells that the kept form gave back the source exactly.
+Each conversation is rendered and parsed again. If the recovered turns differ from the source, the turns that don't
+survive a round trip by themselves are escaped too and the conversation is parsed again; if that still differs, all its
+turns are escaped. ``round_trip`` tells that the kept form gave back the source exactly.
 
 A formatted conversation is one value, so the rows of one conversation meet in one row, as its hash needs them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triago.llm.common import let, table
 
+#: The marks of the template.
+CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 PROBE = "</s>[INST] ok [/INST]"
 TURN = r"(?s)\A<s>([^|]*)\|([01])\[INST\](.*)\[/INST\]\z"
 
@@ -34,6 +41,11 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def conflicting(text: Column) -> Column:
+    """Whether a text holds a control string."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in CONTROLS))
+
+
 def rendered_turn(turn: Column, level: Column) -> Column:
     text = F.when(level == 0, turn["text"]).otherwise(escaped(turn["text"]))
     return F.concat(F.lit("<s>"), escaped(turn["role"]), F.lit("|"), level.cast("string"), F.lit("[INST]"), text, F.lit("[/INST]</s>"))
@@ -72,10 +84,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     def unless_identical(tried: Column, levels: Column) -> Column:
         return F.when(tried["turns"] == source, tried).otherwise(attempt(levels))
 
-    alone = F.transform(source, lambda t: F.when(parsed(rendered_turn(t, F.lit(0))) == F.array(t), F.lit(0)).otherwise(F.lit(1)))
+    level = lambda t: conflicting(t["text"]).cast("int")
+    alone = F.transform(source, lambda t: F.when(parsed(rendered_turn(t, level(t))) == F.array(t), level(t)).otherwise(F.lit(1)))
     everywhere = F.transform(source, lambda t: F.lit(1))
-    verbatim = attempt(F.transform(source, lambda t: F.lit(0)))
-    kept = let(verbatim, lambda a: let(unless_identical(a, alone), lambda b: unless_identical(b, everywhere)))
+    kept = let(attempt(F.transform(source, level)), lambda a: let(unless_identical(a, alone), lambda b: unless_identical(b, everywhere)))
     return convs.select("conv_id", "source", kept.alias("kept")).select(
         "conv_id", F.size("kept.turns").cast("long").alias("n_turns"), F.col("kept.formatted").alias("formatted"), F.col("kept.turns").alias("turns"),
         F.aggregate("kept.levels", F.lit(0), lambda a, x: a + x).alias("escaped_turns"), (F.col("kept.turns") == F.col("source")).alias("round_trip"),
@@ -105,7 +117,7 @@ def _longer(column: str, signs: str) -> str:
 ORACLE = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
-u AS (SELECT *, 22 + length(role) + {_longer("role", "~<[|")} + length(text) + CASE WHEN strpos(text, '</s>') > 0 THEN {_longer("text", "~<[|")} ELSE 0 END AS n FROM t)
+u AS (SELECT *, 22 + length(role) + {_longer("role", "~<[|")} + length(text) + CASE WHEN {" OR ".join(f"strpos(text, '{c}') > 0" for c in CONTROLS)} THEN {_longer("text", "~<[|")} ELSE 0 END AS n FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
