@@ -29,7 +29,18 @@ def test_shards_are_tar_files(spark, odd_docs, tmp_path):
     for r in listed:
         name, data = members[r.shard, r.offset]
         assert name == f"{r.media_sha256}.png" and hashlib.sha256(data).hexdigest() == r.media_sha256 and len(data) == r.length
-    assert len(members) < 10  # copies in one shard are stored once
+    assert len(members) < 10  # copies are stored once
+
+
+def test_copies_are_stored_once_over_all_files(spark, tmp_path):
+    texts = [f"text {i % 40}" for i in range(400)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "docs"))
+    rows = spark.read.parquet(str(tmp_path / "docs"))
+    (tmp_path / "tar").mkdir()
+    listed = media.store(rows, f"file://{tmp_path}/tar", "doc_id", "text").collect()
+    assert len(listed) == 402 and len({(r.shard, r.offset) for r in listed}) == len({r.media_sha256 for r in listed}) == 41
+    members = [m.name for path in (tmp_path / "tar").glob("*.tar") for m in tarfile.open(path)]
+    assert len(members) == len(set(members)) == 41
 
 
 def test_media_query(spark, odd_docs, no_docs, tmp_path):

@@ -2,11 +2,13 @@
 
 A payload becomes an 8-bit grey PNG image (filter 0, one IDAT chunk), stored as a member of a tar shard and named by the
 SHA-256 of the image. Rows carry digest, shard, offset and length and no bytes, so tables of media stay small through
-joins and shuffles. Equal payloads of one shard are stored once. Metadata (format, width, height, depth) comes from a
-range read of the image's first 33 bytes; only decoding reads the rest. Stored forms are checked against their digest.
+joins and shuffles. Equal payloads are stored once in all: texts are digested where they are read, the row at the first
+position of each digest writes the payload, and the others refer to it. Metadata (format, width, height, depth) comes from
+a range read of the image's first 33 bytes; only decoding reads the rest. Stored forms are checked against their digest.
 
-A task writes its rows' payloads one after another in shards of about 32 MB and holds one payload at a time; a shard's
-rows meet in one task to be read.
+A task writes its rows' payloads one after another in shards of about 32 MB and holds one payload at a time. Shards are
+read once for each stored payload, not for each row; what is found joins the rows by digest, where a hot digest is a
+skewed join of small rows, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triago.llm.common import shared_dir, table, tasks, written
+from triago.llm.positions import FILE, INDEX, finder, positioned, shielded
 from triago.llm.shards import ShardReader, ShardWriter
 
 UNIT = 576
@@ -77,36 +80,43 @@ def tar_member(name: str, data: bytes) -> tuple[bytes, int]:
     return head + data + b"\0" * (-len(data) % 512), len(head)
 
 
-def store(rows: DataFrame, folder: str, key: str, text: str) -> DataFrame:
-    """Writes the text column's UTF-8 payloads (null as empty) to tar shards in ``folder`` and lists
-    key, n_bytes, media_sha256, shard, offset, length."""
+def contents(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their positions, and a table of key, n_bytes and content (the SHA-256 of the text's UTF-8 form, null
+    as empty) of each."""
+    own = positioned(shielded(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), ("key", "text"))[0])
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    return own, written(own.select(FILE, INDEX, "key", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("content")))
+
+
+def stored(own: DataFrame, marked: DataFrame, folder: str) -> DataFrame:
+    """Writes each content once to tar shards in ``folder`` and lists content, media_sha256, shard, offset, length."""
+    first = marked.groupBy("content").agg(F.min(F.struct(FILE, INDEX)).alias("at"))
+    find = finder(first.select(F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{INDEX}").alias(INDEX), F.lit(1).alias("value")))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here: dict[bytes, tuple[str, str, int, int]] = {}
         with ShardWriter(folder, ".tar", tail=b"\0" * 1024) as out:
             for batch in batches:
                 found = []
-                for value in batch["value"]:
+                for value in batch["text"][find(batch[FILE], batch[INDEX]) == 1]:
+                    if out.full():
+                        out.start()
                     raw = b"" if value is None else value.encode()
-                    mark = hashlib.blake2b(raw, digest_size=16).digest()
-                    if mark not in here:
-                        if out.full():
-                            out.start()
-                            here.clear()  # so that no more than one shard's digests are held
-                        image = png_encode(padded(raw))
-                        digest = hashlib.sha256(image).hexdigest()
-                        member, skip = tar_member(f"{digest}.png", image)
-                        shard, at, _ = out.add(member)
-                        here[mark] = (digest, shard, at + skip, len(image))
-                    found.append((len(raw), *here[mark]))
-                frame = pd.DataFrame(found, columns=["n_bytes", "media_sha256", "shard", "offset", "length"])
-                frame.insert(0, "key", batch["key"].array)
-                yield frame
-
-    kind = rows.schema[key].dataType.simpleString()
-    plain = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value"))
-    listed = written(plain.mapInPandas(task, f"key string, n_bytes long, {REFERENCE}"))
-    return listed.select(F.col("key").cast(kind).alias(key), "n_bytes", *(x.split()[0] for x in REFERENCE.split(", ")))
+                    image = png_encode(padded(raw))
+                    digest = hashlib.sha256(image).hexdigest()
+                    member, skip = tar_member(f"{digest}.png", image)
+                    shard, at, _ = out.add(member)
+                    found.append((hashlib.sha256(raw).hexdigest(), digest, shard, at + skip, len(image)))
+                yield pd.DataFrame(found, columns=["content", "media_sha256", "shard", "offset", "length"])
+
+    return written(own.select(FILE, INDEX, "text").mapInPandas(task, f"content string, {REFERENCE}"))
+
+
+def store(rows: DataFrame, folder: str, key: str, text: str) -> DataFrame:
+    """Writes the text column's UTF-8 payloads (null as empty), equal ones once, to tar shards in ``folder`` and lists
+    key, n_bytes, media_sha256, shard, offset, length of each row."""
+    own, marked = contents(rows, key, text)
+    listed = marked.join(stored(own, marked, folder), "content")
+    return listed.select(F.col("key").alias(key), "n_bytes", *(x.split()[0] for x in REFERENCE.split(", ")))
 
 
 def _by_shard(listed: DataFrame) -> DataFrame:
@@ -166,7 +176,8 @@ def op10_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tar"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    listed = store(table(spark, sf_dir, "documents"), folder, "doc_id", "text")
-    media = decoded(with_header(listed, folder), folder)
+    own, marked = contents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    seen = written(decoded(with_header(stored(own, marked, folder), folder), folder))
+    media = marked.withColumnRenamed("key", "doc_id").join(seen, "content")
     feature = F.format_string("%s:%dx%dx%d:mean=%.4f:sd=%.4f", "media_format", "width", "height", "depth", "mean", "deviation")
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", feature.alias("feature"))
