@@ -17,11 +17,11 @@ def kept(spark, texts):
     return sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
 
 
-@pytest.mark.parametrize("sample, long", [(40_000, 32), (20, 2)])
-def test_edits_of_blocks_and_tails(spark, monkeypatch, sample, long):
+@pytest.mark.parametrize("worth, long", [(0.8, 32), (1.0, 2)])
+def test_edits_of_blocks_and_tails(spark, monkeypatch, worth, long):
     """Whole blocks replaced, another text's words appended, tails dropped, about the limit of similarity, beside texts
     that share a common passage: what stays is what all pairs leave."""
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "WORTH", worth)
     monkeypatch.setattr(near_copies, "LONG", long)
     rng, texts = random.Random(11), {}
     words = lambda n: [f"w{rng.randrange(3_000)}" for _ in range(n)]

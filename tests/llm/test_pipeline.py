@@ -28,6 +28,37 @@ def test_stages_work_on_what_came_before(spark, tmp_path):
     assert docs.where("not decoded").count() == 0
 
 
+def test_stages_leave_columns_of_any_name_alone_and_take_empty_tables(spark, tmp_path, odd_docs, no_docs):
+    """Names that operators use inside, as columns of the table, come back as they were."""
+    work = ("_row_file", "_row_index", "_copies", "_copy", "kept_0", "node", "at", "same", "w", "rank", "taken", "quality", "score", "lang_pred", "ids", "prefix", "members")
+    rows = odd_docs.selectExpr("*", *(f"concat('{name}', doc_id) AS `{name}`" for name in work))
+    for k, docs in enumerate((rows, rows.where("false"))):
+        docs.write.parquet(str(tmp_path / f"d{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"d{k}"))
+        spark.createDataFrame([(1, 1, 0), (9, 0, 0), (8, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / f"s{k}" / "labels.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            got = stage(spark, docs, str(tmp_path / f"s{k}"))
+            assert got.columns == docs.columns, name
+            for r in got.collect():
+                assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in work), name
+        assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == (0 if k else 2 * docs.count() - docs.where("coalesce(text, '') = ''").count())
+
+
+def test_run_on_an_empty_table(spark, tmp_path, no_docs):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_runs_of_rows_have_side_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(positions, "RUN", 16)
+    spark.range(500).repartition(2).write.parquet(str(tmp_path / "t"))
+    rows = positions.positioned(spark.read.parquet(str(tmp_path / "t")))
+    chosen = written(rows.where("id % 5 = 0").select(positions.FILE, positions.INDEX, (F.col("id") + 1).alias("value")))
+    found = rows.withColumn("got", positions.lookup(chosen)(F.col(positions.FILE), F.col(positions.INDEX)))
+    assert sorted((r.id, r.got) for r in found.collect()) == [(i, i + 1 if i % 5 == 0 else 0) for i in range(500)]
+
+
 def test_decisions_meet_their_rows(spark, tmp_path):
     spark.range(1000).repartition(3).selectExpr("id", "'x' AS value", "1 AS _metadata").write.parquet(str(tmp_path / "t"))
     rows = positions.positioned(spark.read.parquet(str(tmp_path / "t")))

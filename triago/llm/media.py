@@ -81,11 +81,11 @@ def tar_member(name: str, data: bytes) -> tuple[bytes, int]:
 
 
 def contents(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with their positions, and a table of key, n_bytes and content (the SHA-256 of the text's UTF-8 form, null
+    """``rows`` with their positions, and a table of key, n_bytes and content (the SHA-256 digest of the text's UTF-8 form, null
     as empty) of each."""
     own = positioned(shielded(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), ("key", "text"))[0])
     raw = F.coalesce(F.col("text"), F.lit(""))
-    return own, written(own.select(FILE, INDEX, "key", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("content")))
+    return own, written(own.select(FILE, INDEX, "key", F.octet_length(raw).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw.cast("binary"), 256)).alias("content")))
 
 
 def stored(own: DataFrame, marked: DataFrame, folder: str) -> DataFrame:
@@ -105,10 +105,10 @@ def stored(own: DataFrame, marked: DataFrame, folder: str) -> DataFrame:
                     digest = hashlib.sha256(image).hexdigest()
                     member, skip = tar_member(f"{digest}.png", image)
                     shard, at, _ = out.add(member)
-                    found.append((hashlib.sha256(raw).hexdigest(), digest, shard, at + skip, len(image)))
+                    found.append((hashlib.sha256(raw).digest(), digest, shard, at + skip, len(image)))
                 yield pd.DataFrame(found, columns=["content", "media_sha256", "shard", "offset", "length"])
 
-    return written(own.select(FILE, INDEX, "text").mapInPandas(task, f"content string, {REFERENCE}"))
+    return written(own.select(FILE, INDEX, "text").mapInPandas(task, f"content binary, {REFERENCE}"))
 
 
 def store(rows: DataFrame, folder: str, key: str, text: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triago.llm.common import WORD, table, written
-from triago.llm.positions import FILE, INDEX, lookup, positioned
+from triago.llm.positions import FILE, INDEX, lookup, positioned, shielded
 
 BINS = 4096
 #: Added before rounding down, so that 1.9999999999 copies count as 2.
@@ -102,20 +102,24 @@ WEIGHTS = [3, 1, 2]
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents, a row for each of theirs; its docstring tells what nulls, ties and empty tables give."""
     return mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: list[int] = WEIGHTS, seed: int = 42) -> DataFrame:
     """The mix as rows: each row of ``docs`` once for each copy taken, all columns kept.
 
-    A copy of which the mix takes only a part comes whole if that part is at least half of it, else not at all.
+    A copy of which the mix takes only a part comes whole if that part is at least half of it, else not at all. Texts
+    without words are taken 0 times; null sources, repeated rows and empty tables are as in ``mix``; other columns may
+    have any names.
     """
-    rows = positioned(docs)
+    own, given = shielded(docs, ("doc_id", "source", "text"))
+    rows = positioned(own)
     plan = mix(rows.select(FILE, INDEX, "doc_id", "source", "text"), weights, seed=seed, carried=(FILE, INDEX))
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)
     chosen = plan.select(FILE, INDEX, copies.cast("int").alias("value")).where("value > 0")
     taken = rows.withColumn("_copies", lookup(chosen)(F.col(FILE), F.col(INDEX)).cast("int")).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*given)
 
 
 ORACLE = r"""

@@ -1,8 +1,8 @@
 """Decisions on rows, applied where the rows are read, so that whole texts are not shuffled to meet them.
 
-A row is known by its file and its index in that file. Decisions (file, index, value) are written as one small side file
-for each data file; a scan looks its own file's values up. A task holds one side file at a time, 16 bytes for each
-decided row of one data file.
+A row is known by its file and its index in that file. Decisions (file, index, value) are written as small side files, one
+for each run of ``RUN`` rows of a data file, so that a large file's decisions are many tasks' work; a scan looks up those of
+the run it is in. A task holds one side file at a time, 16 bytes for each decided row of a run.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import io
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,28 @@ from triago.llm.common import shared_dir, tasks, written
 from triago.llm.shards import opened
 
 FILE, INDEX = "_row_file", "_row_index"
+#: Rows of a data file whose decisions make one side file.
+RUN = 1 << 20
+
+
+def shielded(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but the needed ones under names that no operator uses, and the columns that give the
+    original table back."""
+    names = [c if c in needed else f"kept_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
+def _straight(plan: JavaObject) -> bool:
+    """Whether each row of a plan is a row of a file, and each file's row comes once at most."""
+    children = plan.children()
+    known = plan.getClass().getSimpleName() in ("LogicalRelation", "Project", "Filter")
+    return known and children.size() <= 1 and all(_straight(children.apply(i)) for i in range(children.size()))
 
 
 def positioned(docs: DataFrame) -> DataFrame:
     """``docs`` with the file and index of each row. Rows that don't come straight from Parquet files, each once, are
-    written first."""
-    nodes = re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
-    if set(nodes) <= {"Relation", "Project", "Filter"}:
+    written first. ``docs`` must have no column of these two names (``shielded``)."""
+    if _straight(docs._jdf.queryExecution().optimizedPlan()):
         with contextlib.suppress(AnalysisException):  # a relation of another kind has no such column
             return _with_position(docs)
     return _with_position(written(docs))
@@ -41,63 +56,88 @@ def _with_position(docs: DataFrame) -> DataFrame:
     return docs.withColumns({FILE: found["file_path"], INDEX: found["row_index"]})
 
 
-def _name(file: str) -> str:
-    return hashlib.md5(file.encode()).hexdigest() + ".npy"
+def _name(file: str, run: int) -> str:
+    return hashlib.md5(f"{run}:{file}".encode()).hexdigest() + ".npy"
 
 
-def lookup(decisions: DataFrame, value: str = "value") -> Callable[[Column, Column], Column]:
-    """A function of (file, index) columns that gives a row's long value, 0 where there is none; works on the rows'
-    positions only. ``decisions`` holds one row for each decided position."""
+def finder(decisions: DataFrame, value: str = "value") -> Callable[[pd.Series, pd.Series], np.ndarray]:
+    """A function for tasks: the long values of rows, given their files and indexes, 0 where there is none.
+    ``decisions`` holds one row for each decided position."""
     folder = f"{shared_dir(decisions.sparkSession)}/side"
     path = decisions.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(decisions.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
 
-    def save(file: str, parts: list[pd.DataFrame]) -> None:
+    def save(file: str, run: int, parts: list[pd.DataFrame]) -> None:
         fs, root = opened(folder)
         rows, data = pd.concat(parts), io.BytesIO()
         np.save(data, np.stack([rows[INDEX].to_numpy(np.int64), rows["value"].to_numpy(np.int64)]))
-        draft = f"{root}/{_name(file)}.{uuid.uuid4().hex}"  # a repeated task moves the same bytes into place
+        draft = f"{root}/{_name(file, run)}.{uuid.uuid4().hex}"  # a repeated task moves the same bytes into place
         with fs.open_output_stream(draft, compression=None) as out:
             out.write(data.getvalue())
-        fs.move(draft, f"{root}/{_name(file)}")
+        fs.move(draft, f"{root}/{_name(file, run)}")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, parts, n = None, [], 0
+        held, parts, n = None, [], 0
         for batch in batches:
-            for name, rows in batch.groupby(FILE, sort=False):
-                if name != file and parts:
-                    save(file, parts)
+            for key, rows in batch.groupby([FILE, "run"], sort=False):
+                if key != held and parts:
+                    save(*held, parts)
                     parts, n = [], n + 1
-                file = name
+                held = key
                 parts.append(rows)
         if parts:
-            save(file, parts)
+            save(*held, parts)
         yield pd.DataFrame({"n": [n]})
 
-    rows = decisions.select(FILE, INDEX, F.col(value).cast("long").alias("value"))
-    written(rows.repartition(tasks(rows), FILE).sortWithinPartitions(FILE, INDEX).mapInPandas(task, "n long"))
-    held: dict[str, np.ndarray] = {}
+    rows = decisions.select(FILE, INDEX, F.floor(F.col(INDEX) / RUN).alias("run"), F.col(value).cast("long").alias("value"))
+    written(rows.repartition(tasks(rows), FILE, "run").sortWithinPartitions(FILE, INDEX).mapInPandas(task, "n long"))
+    held: dict[tuple[str, int], np.ndarray] = {}
 
-    def of(name: str) -> np.ndarray:
-        if name not in held:
+    def of(name: str, run: int) -> np.ndarray:
+        if (name, run) not in held:
             held.clear()
             fs, root = opened(folder)
             try:
-                with fs.open_input_file(f"{root}/{_name(name)}") as f:
-                    held[name] = np.load(io.BytesIO(f.read()))
-            except FileNotFoundError:  # no row of that file is decided
-                held[name] = np.zeros((2, 0), dtype=np.int64)
-        return held[name]
+                with fs.open_input_file(f"{root}/{_name(name, run)}") as f:
+                    held[name, run] = np.load(io.BytesIO(f.read()))
+            except FileNotFoundError:  # no row of that run is decided
+                held[name, run] = np.zeros((2, 0), dtype=np.int64)
+        return held[name, run]
+
+    def find(file: pd.Series, index: pd.Series) -> np.ndarray:
+        out, every = np.zeros(len(file), dtype=np.int64), index.to_numpy(np.int64)
+        for name, at in file.groupby(file.to_numpy(), sort=False).indices.items():
+            for run in np.unique(every[at] // RUN):
+                own = at[every[at] // RUN == run]
+                known, wanted = of(name, int(run)), every[own]
+                place = np.searchsorted(known[0], wanted)
+                hit = place < known.shape[1]
+                hit[hit] = known[0][place[hit]] == wanted[hit]
+                out[own[hit]] = known[1][place[hit]]
+        return out
+
+    return find
+
+
+def lookup(decisions: DataFrame, value: str = "value") -> Callable[[Column, Column], Column]:
+    """``finder`` as a function of (file, index) columns; works on the rows' positions only."""
+    find = finder(decisions, value)
 
     @F.pandas_udf("long")
-    def find(file: pd.Series, index: pd.Series) -> pd.Series:
-        out = np.zeros(len(file), dtype=np.int64)
-        for name, at in file.groupby(file, sort=False).indices.items():
-            known, wanted = of(name), index.to_numpy(np.int64)[at]
-            place = np.searchsorted(known[0], wanted)
-            hit = place < known.shape[1]
-            hit[hit] = known[0][place[hit]] == wanted[hit]
-            out[at[hit]] = known[1][place[hit]]
-        return pd.Series(out)
+    def found(file: pd.Series, index: pd.Series) -> pd.Series:
+        return pd.Series(find(file, index))
 
-    return find
+    return found.asNondeterministic()  # or a filter on its result would evaluate it a second time
+
+
+def for_found(rows: DataFrame, find: Callable[[pd.Series, pd.Series], np.ndarray], text: str, make: Callable[[np.ndarray, list], pd.DataFrame], schema: str) -> DataFrame:
+    """``make(values, texts)`` of the rows whose value is not 0. One Python node looks up and works on the texts, so that
+    a task needs one worker."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = find(batch[FILE], batch[INDEX])
+            at = np.flatnonzero(values)
+            yield make(values[at], [batch[text].iat[i] for i in at])
+
+    return rows.select(FILE, INDEX, text).mapInPandas(task, schema)

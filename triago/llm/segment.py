@@ -428,8 +428,8 @@ def sampled(docs: DataFrame, k: int = 2, theta: float = 0.5, key: str = "doc_id"
                         digest = xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes())
                         rows.append((name, i + 1, len(ids), p, value, inclusion, ids if with_ids else None, digest, decode(ids, vocab) == text))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in SAMPLES.split(", ")])
-                at = upto
-            release_memory()
+                at, rows, found = upto, [], []
+                release_memory()
 
     plain = docs.select(F.col(key).cast("string").alias("key"), F.col("text"))
     found = plain.mapInPandas(task, SAMPLES)
@@ -437,4 +437,5 @@ def sampled(docs: DataFrame, k: int = 2, theta: float = 0.5, key: str = "doc_id"
 
 
 def op8_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sampled`` over all documents; its docstring tells what null and empty texts, repeated rows and empty tables give."""
     return sampled(table(spark, sf_dir, "documents"))

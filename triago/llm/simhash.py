@@ -144,5 +144,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents, a row for each of theirs; its docstring tells what nulls, repeated rows and
+    empty tables give."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
