@@ -50,7 +50,7 @@ _BUILT: dict[tuple, Column] = {}
 def built_candidate(field: str, setting: dict) -> Column:
     """``candidate``, built once for a JVM: the driver takes longer to build it than to plan with it, and it refers to
     columns by name only."""
-    key = (id(SparkContext._jvm), field, repr(setting))
+    key = (SparkContext._active_spark_context.applicationId, field, repr(setting))
     if key not in _BUILT:
         _BUILT[key] = candidate(field, setting)
     return _BUILT[key]

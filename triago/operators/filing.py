@@ -16,9 +16,11 @@ def fingerprint(content: Column) -> Column:
 
 def with_duplicates(files: DataFrame, sha: str = "sha", path: str = "path") -> DataFrame:
     """``files`` with duplicate: of equal contents the first path is kept. The first path of each content is worked out by
-    a partial aggregate, so many copies of one file are no heavy window."""
-    first = files.groupBy(sha).agg(F.min(path).alias("_first"))
-    return files.join(first, sha).withColumn("duplicate", F.col(path) != F.col("_first")).drop("_first")
+    a partial aggregate, so many copies of one file are no heavy window. Null contents are one content; a null path
+    comes last."""
+    first = files.groupBy(F.col(sha).alias("_sha")).agg(F.min(path).alias("_first"))
+    found = files.join(first, files[sha].eqNullSafe(F.col("_sha")))
+    return found.withColumn("duplicate", ~F.col(path).eqNullSafe(F.col("_first"))).drop("_sha", "_first")
 
 
 def unprocessed(files: DataFrame, done: DataFrame, sha: str = "sha") -> DataFrame:

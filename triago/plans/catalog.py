@@ -180,10 +180,14 @@ def truncate_prompt(spark, sf_dir):
 _EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+"
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{_EMAIL}') AS had_email, false AS has_email FROM documents")
+@query(f"""SELECT doc_id, regexp_matches(text, '{_EMAIL}') AS had_email, 'Contact ' || CASE doc_id % 3 WHEN 0 THEN '[MASQUÉ]' WHEN 1 THEN 'source ' || source ELSE '' END || ', tel ' ||
+    CASE WHEN doc_id % 2 = 0 THEN '[MASQUÉ]' ELSE doc_id % 1000 || ' DH' END AS masked FROM documents""")
 def mask_text(spark, sf_dir):
-    masked = masking.mask_text(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", F.col("text").rlike(_EMAIL).alias("had_email"), masked.rlike(_EMAIL).alias("has_email"))
+    k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    who = F.when(k == 0, F.concat(F.lit("n"), n, F.lit("@exemple.ma"))).when(k == 1, F.concat(F.lit("source "), F.col("source"))).otherwise("")
+    call = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("06 "), F.lpad((F.col("doc_id") % 10**8).cast("string"), 8, "0"))).otherwise(F.concat((F.col("doc_id") % 1000).cast("string"), F.lit(" DH")))
+    made = F.concat(F.lit("Contact "), who, F.lit(", tel "), call)
+    return _documents(spark, sf_dir).select("doc_id", F.col("text").rlike(_EMAIL).alias("had_email"), masking.mask_text(made).alias("masked"))
 
 
 @query("""SELECT c_custkey, 'Client Customer#[MASQUÉ] CIN : [MASQUÉ], tel [MASQUÉ], mail [MASQUÉ] RIB [MASQUÉ], carte [MASQUÉ], segment ' || c_mktsegment || ', dossier ' || (c_custkey % 10000) AS masked FROM customer""")
@@ -262,7 +266,7 @@ def normalize_amount(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", filing.amount_text(values.amount_value(shown)["value"]).alias("value"))
 
 
-@query(f"WITH {FACTS_SQL} SELECT doc_id, 'absent' AS fournisseur, CASE WHEN doc_id % 2 = 0 THEN 'trouvé' ELSE 'absent' END AS cin, 'FA-' || doc_id AS numero FROM f WHERE doc_id < 10000000")
+@query(f"WITH {FACTS_SQL} SELECT doc_id, 'absent' AS fournisseur, CASE WHEN doc_id % 2 = 0 THEN 'trouvé' ELSE 'absent' END AS cin, CASE WHEN doc_id < 10000000 THEN 'FA-' || doc_id ELSE 'FA-[MASQUÉ]' END AS numero FROM f")
 def mask_field_summary(spark, sf_dir):
     rows = invoices(spark, sf_dir).select("doc_id", F.explode(F.create_map(F.lit("fournisseur"), F.lit(" "), F.lit("cin"), F.when(F.col("doc_id") % 2 == 0, "AB123456"), F.lit("numero"), F.concat(F.lit("FA-"), F.col("doc_id").cast("string")))).alias("field", "value"))
     return rows.withColumn("shown", masking.field_summary(F.col("field"), F.col("value"), fixed.REGISTRY)).groupBy("doc_id").pivot("field", ["fournisseur", "cin", "numero"]).agg(F.first("shown"))
@@ -341,11 +345,15 @@ def status_listing(spark, sf_dir):
     return review.listing(docs).select("doc_id", "status", "rank")
 
 
-@query(f"""WITH {FACTS_SQL} SELECT field, count(*) AS expected, count(*) AS exact, 0::BIGINT AS missing, 0::BIGINT AS wrong FROM f, (VALUES ('numero'), ('date_facture'), ('ice')) AS v(field) GROUP BY field""")
+@query(f"""WITH {FACTS_SQL} SELECT field, count(*) AS expected, count(*) FILTER (WHERE field = 'ice' OR doc_id % 7 > 1) AS exact, count(*) FILTER (WHERE field <> 'ice' AND doc_id % 7 = 0) AS missing,
+    count(*) FILTER (WHERE field <> 'ice' AND doc_id % 7 = 1) AS wrong FROM f, (VALUES ('numero'), ('date_facture'), ('ice')) AS v(field) GROUP BY field""")
 def field_accuracy(spark, sf_dir):
     docs, rows = _extracted(spark, sf_dir)
     facts = invoice_facts(spark, sf_dir)
     told = F.create_map(F.lit("numero"), F.concat(F.lit("FA-"), F.col("doc_id").cast("string")), F.lit("date_facture"), F.date_format("issued", "yyyy-MM-dd"), F.lit("ice"), F.lpad(F.col("customer").cast("string"), 15, "0"))
+    # one document in seven loses a field, and one has another value
+    k, damaged = F.col("doc_id") % 7, F.col("field") != "ice"
+    rows = rows.withColumn("value", F.when(damaged & (k == 0), None).when(damaged & (k == 1), "x").otherwise(F.col("value")))
     return filing.field_accuracy(rows, facts.select("doc_id", F.explode(told).alias("field", "value")))
 
 
@@ -376,8 +384,7 @@ def already_processed_anti(spark, sf_dir):
 @query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def retention_filter(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts")
-    now = events.agg(F.max("ts").alias("now")).first()["now"]
-    return filing.expired(events, "ts", F.lit(now)).select("event_id")
+    return filing.expired(events, "ts", events.agg(F.max("ts")).scalar()).select("event_id")
 
 
 @query()
@@ -410,11 +417,13 @@ def page_ocr_merge(spark, sf_dir):
     return rows.select("doc_id", "m.text", F.get("m.alerts", F.lit(0)).alias("alert"))
 
 
-@query("SELECT doc_id, 0.0::DOUBLE AS arabic_share, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_lines, CASE WHEN doc_id % 5 <> 0 THEN 0.5::DOUBLE END AS ocr_mean, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_below FROM documents")
+@query("SELECT doc_id, round((doc_id % 4) / (doc_id % 4 + doc_id % 3 + 1.0), 4)::DOUBLE AS arabic_share, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_lines, CASE WHEN doc_id % 5 <> 0 THEN round(0.5 + (doc_id % 6) / 10.0, 4)::DOUBLE END AS ocr_mean, (CASE WHEN doc_id % 5 = 0 OR doc_id % 6 > 3 THEN 0 ELSE 1 END)::INT AS ocr_below FROM documents")
 def quality_signals(spark, sf_dir):
     docs, scans = _paged(spark, sf_dir)
     rows = ocr.with_ocr(docs, scans)
-    return rows.select("doc_id", classify.signals(F.col("text"), ocr.confidences(F.col("ocr"))).alias("s")).select("doc_id", "s.*")
+    letters = F.concat(F.expr("repeat('س', cast(doc_id % 4 as int))"), F.lit(" 12 "), F.expr("repeat('é', cast(doc_id % 3 + 1 as int))"))
+    shifted = F.transform(ocr.confidences(F.col("ocr")), lambda x: x + (F.col("doc_id") % 6) / 10)
+    return rows.select("doc_id", classify.signals(letters, shifted).alias("s")).select("doc_id", "s.*")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT doc_id, 'factures' AS type, 'facture_' || strftime(issued, '%Y-%m-%d') || '_fa-' || doc_id AS clean_name FROM f WHERE variant <> 4""")
