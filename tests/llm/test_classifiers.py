@@ -65,3 +65,45 @@ def test_letters_and_calibration():
     assert p == pytest.approx(0.8, abs=0.02) and language.calibrated(np.zeros((0, 2)), np.zeros(0)) == 1.0
     at, n = language.gram_counts("abab")
     assert n.sum() == 4 + 3 + 2 and math.isclose(n.max(), 2)
+
+
+def test_ftrl_against_a_plain_loop_over_coordinates():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6)) for _ in range(30)]
+    y, classes, alpha, beta, l1, l2 = rng.integers(0, 3, 30), 3, 0.5, 1.0, 0.02, 0.1
+    z, n = {}, {}
+
+    def weight(key):
+        zi, ni = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(zi) <= l1 else (math.copysign(l1, zi) - zi) / ((beta + math.sqrt(ni)) / alpha + l2)
+
+    order = np.random.default_rng(42)
+    for _ in range(2):
+        for i in order.permutation(30):
+            x = [*zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True), (language.BUCKETS, 1.0)]
+            w = {(f, c): weight((f, c)) for f, _ in x for c in range(classes)}
+            e = [math.exp(sum(v * w[f, c] for f, v in x)) for c in range(classes)]
+            for f, v in x:
+                for c in range(classes):
+                    g = v * (e[c] / sum(e) - (c == y[i]))
+                    before = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[f, c]
+                    n[f, c] = before + g * g
+    got = language.ftrl(rows, y, classes, epochs=2)
+    assert all(got[f, c] == pytest.approx(weight((f, c)), abs=1e-12) for f in (*range(40), language.BUCKETS) for c in range(classes))
+
+
+def test_pairwise_weights_are_a_minimum_of_the_plain_loss():
+    """The loss over all drawn pairs, summed one by one, rises in every direction from the weights found."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, len(quality.NAMES))), np.array([1, 0, 1] * 20)
+    found = quality.fit(x, y, pairs=400)
+    z, draw = np.clip((x - found.mean) / found.scale, -8, 8), np.random.default_rng(42)
+    pairs = list(zip(draw.choice(np.flatnonzero(y == 1), 400), draw.choice(np.flatnonzero(y == 0), 400), strict=True))
+    loss = lambda w: sum(math.log1p(math.exp(-float((z[a] - z[b]) @ w))) for a, b in pairs) / 400 + 1e-3 / 2 * float(w @ w)
+    least = loss(found.weights)
+    for k in range(0, len(quality.NAMES), 3):
+        for step in (-1e-2, 1e-2):
+            moved = found.weights.copy()
+            moved[k] += step
+            assert loss(moved) > least
