@@ -55,3 +55,10 @@ def test_similar_texts_among_others_of_the_same_words(spark):
         texts |= {10 * i: " ".join(rng.sample(b, 200)), 10 * i + 1: " ".join(b), 10 * i + 2: " ".join(c)}
     assert survivors(texts) == sorted(x for i in range(20) for x in (10 * i, 10 * i + 1))
     assert kept(spark, texts) == survivors(texts)
+
+
+def test_a_similarity_of_one_links_equal_sets_only(spark):
+    texts = {1: "a b c d e a b c d e", 2: "b c d e a b c d e a", 3: "a b c d e a b c d e a", 4: "a b c d e a b c d f"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # 3 has all five turns of a b c d e, 1 and 2 too (six runs each, one of them twice)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs, similarity=1.0).collect()) == [1, 4]
