@@ -62,3 +62,28 @@ def test_a_similarity_of_one_links_equal_sets_only(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     # 3 has all five turns of a b c d e, 1 and 2 too (six runs each, one of them twice)
     assert sorted(r.doc_id for r in simhash.one_of_each(docs, similarity=1.0).collect()) == [1, 4]
+
+
+def test_bitmaps_hold_back_texts_beside_a_large_group(spark, monkeypatch):
+    """One part of copies, each with one edit, and texts of three edits of the same kinds, similar to none of them: the
+    join loses no similar pair, and bitmaps leave few of the others."""
+    rng = random.Random(14)
+    named, sets = {}, []
+    for i in range(110):
+        words = [f"p{k}" for k in range(90)]
+        edits = (0 if i == 0 else 1) if i < 60 else 3
+        for k in rng.sample(range(5, 85, 8), edits):
+            words[k] = f"x{rng.randrange(5)}.{k}"
+        sets.append(frozenset(named.setdefault(tuple(words[k : k + 5]), rng.getrandbits(64) - (1 << 63)) for k in range(86)))
+    sets = list(dict.fromkeys(sets))
+    part = [0 if len(s & sets[0]) >= 81 else i for i, s in enumerate(sets)]
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if part[i] != part[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    entries = spark.createDataFrame([(x, i, len(s), part[i]) for i, s in enumerate(sets) for x in s], "shingle long, node long, n int, part long")
+    met = {}
+    monkeypatch.setattr(near_copies, "_enough", lambda found, similarity: found)
+    for maps in (near_copies.MAPS, ()):
+        monkeypatch.setattr(near_copies, "MAPS", maps)
+        rows = near_copies._all_pairs(near_copies._lists(entries, 0.8), 0.8).select("u", "v").collect()
+        assert similar <= {(r.v, r.u) for r in rows}
+        met[len(maps)] = len(rows)
+    assert 0 < 4 * met[4] < met[0], met
