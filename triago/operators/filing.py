@@ -120,6 +120,19 @@ def review_pages(ocr: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(ocr), lambda e: F.struct(e["key"].alias("page"), e["value"]["status"].alias("status"), e["value"]["lines"].alias("lines"))))
 
 
+def review_records(docs: DataFrame, at: Column) -> DataFrame:
+    """The records of ``docs`` that go to review (source, type, confidence, fields, text, reason, alerts, unreadable): the
+    keys of a filed record, then raison, alertes and categorie_proposee. An unreadable document has the same keys with
+    nothing in them, and no text to be written beside (has_text false); null for unreadable counts as readable."""
+    lost = F.coalesce("unreadable", F.lit(False))
+    own = lambda c, empty: F.when(lost, empty).otherwise(F.col(c))
+    return docs.select(
+        own("type", None).alias("type"), "source", at.alias("date_traitement"), own("confidence", None).alias("confiance_classification"),
+        own("fields", F.create_map().cast("map<string, string>")).alias("champs"), F.lit(True).alias("necessite_validation_humaine"), own("text", F.lit("")).alias("texte_brut"),
+        F.col("reason").alias("raison"), F.coalesce("alerts", F.array().cast("array<string>")).alias("alertes"), own("type", None).alias("categorie_proposee"), (~lost).alias("has_text"),
+    )
+
+
 def field_accuracy(found: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
     """(field, expected, exact, missing, wrong) of found (key, field, value) against the truth of the same columns."""
     t = truth.select(key, "field", F.col("value").alias("true_value")).where("true_value is not null")

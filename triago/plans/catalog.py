@@ -12,7 +12,7 @@ from triago.functions import masking, naming, text, values
 from triago.operators import classify, engine, extract, filing, review
 from triago.plans import batch
 from triago.plans.samples import FACTS_SQL, REGISTRY, invoice_facts, invoices, table
-from triago.sources import ocr
+from triago.sources import journal, ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -387,6 +387,30 @@ def retention_filter(spark, sf_dir):
     return filing.expired(events, "ts", events.agg(F.max("ts")).scalar()).select("event_id")
 
 
+@query("""SELECT run, event_id FROM (SELECT (user_id % 10)::VARCHAR AS run, event_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'purchase') WHERE k = 1""")
+def last_event_by_run(spark, sf_dir):
+    event = F.struct(F.col("event_type").alias("evenement"), F.col("ts").alias("horodatage"), "event_id")
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("string").alias("run"), event.alias("event"))
+    return journal.last_events(events, ["event.horodatage", "event.event_id"], "purchase").select("run", "event.event_id")
+
+
+@query("""SELECT sha, decision FROM (SELECT sha256(text) AS sha, 'd' || doc_id AS decision, row_number() OVER (PARTITION BY text ORDER BY doc_id % 7 DESC, 'd' || doc_id DESC) AS k FROM documents) WHERE k = 1""")
+def latest_state(spark, sf_dir):
+    state = _documents(spark, sf_dir).select(filing.fingerprint(F.col("text")).alias("sha"), F.timestamp_seconds(F.col("doc_id") % 7).alias("date"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("decision"))
+    return journal.recorded(state).select("sha", "decision")
+
+
+@query("""SELECT doc_id || '.pdf' AS source, CASE WHEN doc_id % 4 > 0 THEN lang END AS type, CASE WHEN doc_id % 4 > 0 THEN lang END AS categorie_proposee, CASE WHEN doc_id % 4 > 0 THEN text ELSE '' END AS texte_brut,
+    CASE WHEN doc_id % 4 > 0 THEN source END AS origin, 'raison ' || doc_id % 3 AS raison, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS alerts, doc_id % 4 > 0 AS has_text FROM documents""")
+def review_records(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), F.col("lang").alias("type"), F.lit(0.5).alias("confidence"), F.create_map(F.lit("origin"), F.col("source")).alias("fields"), "text",
+        F.concat(F.lit("raison "), (F.col("doc_id") % 3).cast("string")).alias("reason"), F.when(F.col("doc_id") % 5 > 0, F.array(F.lit("a"))).alias("alerts"), (F.col("doc_id") % 4 == 0).alias("unreadable"),
+    )
+    rows = filing.review_records(docs, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return rows.select("source", "type", "categorie_proposee", "texte_brut", F.try_element_at("champs", F.lit("origin")).alias("origin"), "raison", F.size("alertes").alias("alerts"), "has_text")
+
+
 @query()
 def near_category(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", naming.proposed_name(F.concat(F.element_at(F.array(*map(F.lit, ("facture ", "contact ", "bulletin "))), (F.col("p_partkey") % 3 + 1).cast("int")), "p_type")).alias("name"))
