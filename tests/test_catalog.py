@@ -7,7 +7,7 @@ import pytest
 
 DATA = os.environ.get("TRIAGO_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-CHEAP = ("keyword_verdicts", "title_scores", "rule_a_decision", "title_zone", "compact_text", "truncate_prompt", "normalize_amount", "mask_customers", "name_collisions", "dedupe_by_fingerprint", "page_ocr_merge", "status_listing", "retention_filter", "last_event_by_run", "latest_state", "review_records")
+CHEAP = ("keyword_verdicts", "title_scores", "rule_a_decision", "title_zone", "compact_text", "truncate_prompt", "normalize_amount", "mask_customers", "name_collisions", "dedupe_by_fingerprint", "page_ocr_merge", "status_listing", "retention_filter", "last_event_by_run", "latest_state", "free_fields_asked", "review_records")
 
 
 def plain(value):

@@ -48,7 +48,15 @@ class StubEngine:
         return out
 
 
-ENGINES: dict[str, Callable[[], Engine]] = {"stub": StubEngine}
+class FirstLineEngine:
+    """A deterministic stand-in that fills every field it is asked for with the document's first line."""
+
+    def reply(self, prompt: str, schema: dict) -> dict:
+        line = next((x for x in prompt.rpartition("<<<")[2].rpartition(">>>")[0].splitlines() if x.strip()), None)
+        return {name: line for name in schema["properties"]}
+
+
+ENGINES: dict[str, Callable[[], Engine]] = {"stub": StubEngine, "first_line": FirstLineEngine}
 
 
 def make_engine(name: str) -> Engine:
@@ -164,6 +172,54 @@ def free_field_prompt(text: Column, registry: dict, type_: str, num_ctx: int = 2
     return prompted(text, "extraction", num_ctx, categorie=type_, champs=lines)
 
 
+def free_field_schema(names: list[str]) -> dict:
+    return {"type": "object", "properties": {f: {"type": ["string", "null"]} for f in names}, "required": names}
+
+
+FREE_REPLY = "ok boolean, error string, seconds double, replies map<string, string>"
+
+
+def free_field_replies(docs: DataFrame, registry: dict, engine: str | Callable[[], Engine] = "stub", key: str = "doc_id", type_: str = "type", text: str = "text", num_ctx: int = 2048) -> DataFrame:
+    """key, ok, error, seconds, replies (map), alerts, needs_review of ``docs`` whose type has free fields; others are not
+    asked and have no row.
+
+    An engine that fails leaves its document to a human; a document cut to the prompt's budget has an alert. Types that
+    the registry doesn't know, null too, have the generic fields; a null text is an empty one. ``engine`` is a name of
+    ENGINES, or a function that makes one in each task. ``grounded`` checks what is said; see ``spoken``.
+    """
+    wanted = {c["name"]: free_field_requests(registry, c["name"]) for c in registry["categories"]}
+    generic = free_field_requests(registry, None)
+    kind = F.when(F.col(type_).isin(*wanted), F.col(type_))
+    content = F.coalesce(F.col(text), F.lit(""))
+    made = free_field_prompt(content, registry, None, num_ctx) if generic else F.lit(None)
+    for name, names in wanted.items():
+        made = F.when(kind == name, free_field_prompt(content, registry, name, num_ctx) if names else F.lit(None)).otherwise(made)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = engine() if callable(engine) else make_engine(engine)
+        for batch in batches:
+            rows = []
+            for name, prompt in zip(batch["kind"], batch["prompt"], strict=True):
+                names = wanted.get(name, generic)
+                reply, error, seconds = asked(own, prompt, free_field_schema(names))
+                said = {f: str(reply[f]) for f in names if reply[f] is not None} if reply else {}
+                rows.append((reply is not None, error, seconds, said))
+            frame = pd.DataFrame(rows, columns=[x.split()[0] for x in FREE_REPLY.split(", ", 3)])
+            yield pd.concat([batch[[key, "truncated"]].reset_index(drop=True), frame], axis=1)
+
+    id_ = docs.schema[key].dataType.simpleString()
+    open_ = docs.select(key, kind.alias("kind"), made.alias("p")).where(F.col("p").isNotNull()).select(key, "kind", "p.*")
+    found = open_.mapInPandas(task, f"`{key}` {id_}, truncated boolean, {FREE_REPLY}")
+    failed = F.when(~F.col("ok"), F.concat(F.lit("champs libres : moteur indisponible ("), "error", F.lit(")")))
+    alerts = F.array_compact(F.array(F.when(F.col("truncated"), "texte tronque pour le moteur"), failed))
+    return found.withColumn("alerts", alerts).withColumn("needs_review", ~F.col("ok")).drop("truncated")
+
+
+def spoken(replies: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, field, value) of what engines said, as ``grounded`` takes it."""
+    return replies.select(key, F.explode("replies").alias("field", "value"))
+
+
 def occurrences(target: str, keys: list[str]) -> list[list[int]]:
     """The lines that each occurrence of a text covers, overlapping ones too, in lines joined by a space."""
     starts, at = [], 0

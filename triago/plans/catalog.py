@@ -324,6 +324,18 @@ def free_field_grounding(spark, sf_dir):
     return engine.grounded(replies, docs, fixed.REGISTRY).select("doc_id", F.col("value").alias("fournisseur"), "alert")
 
 
+@query(f"""WITH {FACTS_SQL} SELECT doc_id, 'fournisseur' AS field, CASE WHEN doc_id % 4 > 0 THEN 'Société ' || customer_name END AS value, CASE WHEN doc_id % 4 = 0 THEN 'fournisseur : valeur trouvee seulement sur une ligne de destinataire (client...), rejetee' END AS alert
+    FROM f WHERE doc_id % 3 > 0""")
+def free_fields_asked(spark, sf_dir):
+    """An engine is asked for the free fields of invoices; one in four names its client first. Reports have none to ask for."""
+    category = {"folder": "X", "keywords": [], "subfolders": []}
+    registry = {"generic_fields": ["titre"], "sensitive_fields": [], "rules": [], "categories": [category | {"name": "factures", "fields": ["fournisseur", "ttc"]}, category | {"name": "rapports", "fields": ["date"]}]}
+    docs = invoices(spark, sf_dir).withColumn("type", F.when(F.col("doc_id") % 3 > 0, "factures").otherwise("rapports"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Client : Maison Exemple\n"), "text")).otherwise(F.col("text"))).withColumn("lines", extract.text_lines(F.col("text")))
+    replies = engine.free_field_replies(docs, registry, "first_line")
+    return engine.grounded(engine.spoken(replies), docs, registry).select("doc_id", "field", "value", "alert")
+
+
 @query(f"""WITH {FACTS_SQL}, c AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'autres' ELSE 'factures' END AS new_type FROM f)
     SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'factures' ELSE new_type END AS new_type, (CASE WHEN doc_id % 11 = 0 THEN 0 WHEN new_type = 'autres' THEN 2 + 0 ELSE 1 END)::INT AS changes,
     (CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END)::INT AS errors FROM c""")
