@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from triago.llm import archives, chat, language, media, mixing, quality, risk_rules, segment, simhash, url_rules
+from triago.llm import archives, chat, interactions, language, media, mixing, quality, risk_rules, segment, simhash, url_rules
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op7_chat_round_trip": chat.op7_chat_round_trip,
         "pipeline": corpus_pipeline.run,
         "op9_url_rules": url_rules.op9_url_rules,
+        "op13_filter_interactions": interactions.op13_filter_interactions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.ORACLE, "op7_chat_round_trip": chat.ORACLE, "op9_url_rules": url_rules.ORACLE}
+    return {"op1_pareto_mix": mixing.ORACLE, "op7_chat_round_trip": chat.ORACLE, "op9_url_rules": url_rules.ORACLE, "op13_filter_interactions": interactions.ORACLE}
