@@ -1,0 +1,126 @@
+import random
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from triago.llm import token_files
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path(token_files.VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def test_parts_give_the_ids_of_whole_texts(library, monkeypatch):
+    rng = random.Random(3)
+    pool = [*"aAzZéÉßΣσς'’stre 0129½²\t\n\r\x0b\x0c\x85\xa0   　́̈ͅ가가😀‍️漢ﬁİıŉ<|>endoftext.,-_#\x00\x01﻿", "<|endoftext|>", "<|startoftext|>", " 's", "'LL ", "́ ", " ́"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(3000)] + ["", " ", "x" * 5000, " ".join(f"w{i}" for i in range(5000))]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for kept in (token_files.KEPT, 50):
+        monkeypatch.setattr(token_files, "KEPT", kept)
+        encode = token_files.encoder(VOCABULARY)
+        got = [ids for at in range(0, len(texts), 700) for ids in encode(texts[at : at + 700])]
+        assert [np.frombuffer(ids, dtype=np.int32).tolist() for ids in got] == wanted
+
+
+def test_chunks_hold_each_text_once():
+    texts = ["a" * n for n in (0, 5, 3, 10, 25, 1, 0)]
+    assert [(s.start, s.stop) for s in token_files.chunks(texts, 10)] == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    assert list(token_files.chunks([])) == []
+
+
+def plain(rows, library):
+    """(doc_id, start, n, crc) of documents in order, by the library alone."""
+    out, start = [], 0
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def written_docs(spark, tmp_path, rows, parts):
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS ids", "1 AS part", "2 AS start").repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+
+
+def test_query_equals_the_library(spark, tmp_path, library):
+    rng = random.Random(1)
+    rows = [(i * 7919 % 5000, " ".join(rng.choices(["Some", "words", "été", "naïve\tx", "😀", "don't", "12.5%"], k=rng.choice((0, 1, 30, 400))))) for i in range(600)] + [(5001, None), (5002, ""), (5003, "long " * 60_000), (None, "last of all")]
+    written_docs(spark, tmp_path, rows, 6)
+    got = token_files.op11_token_files(spark, str(tmp_path))
+    assert sorted((r.doc_id if r.doc_id is not None else 1 << 60, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == [(d if d is not None else 1 << 60, *x) for d, *x in plain(rows, library)]
+
+
+def test_repeated_ids_and_rows(spark, tmp_path, library):
+    rows = [(4, "a b c")] * 50 + [(4, "d"), (4, None), (4, ""), (None, "x"), (None, None), (1, "first")]
+    written_docs(spark, tmp_path, rows, 3)
+    got = sorted(token_files.op11_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [1] + [4] * 53 + [None] * 2
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(d), n, crc) for d, _, n, crc in plain(rows, library))
+
+
+def test_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    odd_docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    assert token_files.op11_token_files(spark, str(tmp_path / "a")).count() == 10
+    no_docs.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert token_files.op11_token_files(spark, str(tmp_path / "b")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, library):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"word{k}" for k in range(300)], k=300))) for i in range(400)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), [i for _, t in rows for i in [*library.encode(t).ids, 2]]
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_layout_of_files(spark, tmp_path, corpus, encoding):
+    rows, docs, every = corpus
+    token_files.write(docs, str(tmp_path / "out"), VOCABULARY, token_files.Layout(encoding, row_group_bytes=200_000, page_bytes=20_000, page_rows=20))
+    files = sorted(Path(tmp_path / "out" / "ids").glob("*.parquet"))
+    groups = 0
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        names = [meta.schema.column(i).path for i in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            ids = meta.row_group(g).column(names.index("ids.list.element"))
+            assert ("RLE_DICTIONARY" in ids.encodings) == (encoding == "dictionary") and ("DELTA_BINARY_PACKED" in ids.encodings) == (encoding == "delta")
+            assert ids.has_offset_index and meta.row_group(g).column(names.index("doc_id")).has_column_index
+            assert ids.total_uncompressed_size < 400_000
+        groups += meta.num_row_groups
+    assert groups > len(files)
+    found = [r for file in files for r in pq.read_table(file).to_pylist()]  # names and rows are in document order
+    assert [r["doc_id"] for r in found] == [i for i, _ in rows] and [i for r in found for i in r["ids"]] == every
+    back = token_files.read(spark, str(tmp_path / "out"))
+    assert sorted(r.start for r in back.collect()) == [len([*every][: sum(len(r["ids"]) for r in found[:i])]) for i in range(len(found))]
+
+
+def test_stretches_of_the_corpus(spark, tmp_path, corpus):
+    rows, docs, every = corpus
+    token_files.write(docs, str(tmp_path / "out"), VOCABULARY)
+    for start, end in ((0, 10), (1000, 1001), (5000, 9000), (len(every) - 3, len(every) + 50), (len(every), len(every) + 1), (7, 7)):
+        got = sorted(token_files.tokens(spark, str(tmp_path / "out"), start, end).collect(), key=lambda r: r.start)
+        assert [i for r in got for i in r.ids] == every[start:end]
+        assert all(r.start >= start for r in got)
+
+
+def test_counts_are_read_without_ids(spark, tmp_path, corpus):
+    _, docs, _ = corpus
+    token_files.write(docs, str(tmp_path / "out"), VOCABULARY)
+    plan = token_files.read(spark, str(tmp_path / "out")).where("doc_id between 5 and 9").select("doc_id", "start")._jdf.queryExecution().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "doc_id" in line)
+    assert "ids:" not in scan and "GreaterThanOrEqual(doc_id,5)" in scan
+
+
+def test_an_unknown_encoding_raises():
+    with pytest.raises(ValueError):
+        token_files.Layout("gzip").options()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from triago.llm import archives, chat, interactions, language, media, mixing, quality, risk_rules, segment, simhash, url_rules
+from triago.llm import archives, chat, divergence, interactions, language, media, mixing, quality, risk_rules, segment, simhash, token_files, url_rules
 
 
 def queries() -> dict:
@@ -19,9 +19,14 @@ def queries() -> dict:
         "op7_chat_round_trip": chat.op7_chat_round_trip,
         "pipeline": corpus_pipeline.run,
         "op9_url_rules": url_rules.op9_url_rules,
+        "op11_token_files": token_files.op11_token_files,
+        "op12_source_divergence": divergence.op12_source_divergence,
         "op13_filter_interactions": interactions.op13_filter_interactions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.ORACLE, "op7_chat_round_trip": chat.ORACLE, "op9_url_rules": url_rules.ORACLE, "op13_filter_interactions": interactions.ORACLE}
+    return {
+        "op1_pareto_mix": mixing.ORACLE, "op7_chat_round_trip": chat.ORACLE, "op9_url_rules": url_rules.ORACLE, "op12_source_divergence": divergence.ORACLE,
+        "op13_filter_interactions": interactions.ORACLE,
+    }
