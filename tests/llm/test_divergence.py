@@ -1,0 +1,94 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from triago.llm import divergence
+
+
+def test_vectors_keep_their_numbers():
+    for values in ([], [0], [1, 5, 1 << 62], list(range(1000))):
+        assert divergence.unpacked(divergence.packed(np.array(values, dtype=np.int64))).tolist() == values
+
+
+def test_frequencies_are_exact():
+    rng = random.Random(2)
+    for n, v in ((0, 1), (1, 1), (10**6, 977), (9 * 10**12, 10**6), (8 * 10**15, 3)):
+        counts = [0, min(1, n), n] + [rng.randint(0, n) for _ in range(200)]
+        assert divergence.frequencies(np.array(counts), n, v).tolist() == [1 + 10**9 * (c + 2) // (n + 2 * v) for c in counts]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 5, 8, 13])
+def test_each_pair_of_blocks_meets_once(spark, blocks):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(blocks).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks + blocks % 2 - 2, 0)))).alias("round"))
+    rows = rows.withColumn("other", divergence.opponent(F.col("block"), F.col("round"), F.col("blocks"))).where("other < blocks and other <> block")
+    rows = rows.withColumn("home", divergence.at_home(F.col("block"), F.col("other")))
+    met = [(r.round, r.block, r.other, r.home) for r in rows.collect()]
+    assert Counter((min(a, b), max(a, b)) for _, a, b, _ in met) == {(a, b): 2 for b in range(blocks) for a in range(b)}  # both ends know of it
+    by_end = {(r, a, b): home for r, a, b, home in met}
+    assert all(by_end[r, b, a] != home for (r, a, b), home in by_end.items())  # and it takes place with one of them
+    assert all(n == 1 for n in Counter((r, a) for r, a, _, _ in met).values())  # one opponent in a round
+    hosted = Counter(a for _, a, _, home in met if home)
+    assert not hosted or max(hosted.values()) <= blocks // 2
+
+
+def brute(rows, min_docs, top):
+    """The audit in whole numbers, by dictionaries."""
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        groups[lang].add(source)
+        terms = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        counts[lang, source].update(terms)
+        docs[lang].update(set(terms))
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, n in docs[lang].items() if n >= min_docs]
+
+        def shares(count, kept=kept):
+            n = sum(count[t] for t in kept)
+            return {t: 1 + 10**9 * (count[t] + 2) // (n + 2 * len(kept)) for t in kept}
+
+        def f(p, q):
+            return (p - q) ** 2 // (p + q)
+
+        p = {s: shares(counts[lang, s]) for s in sources}
+        q = shares(sum((counts[lang, s] for s in sources), Counter()))
+        for s in sources:
+            pairs = sorted(((-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s))
+            terms = sorted((-f(p[s][t], q[t]), t.encode(), t) for t in kept if counts[lang, s][t] and p[s][t] > q[t])[:top]
+            out += [(lang, s, part, item, -value, i + 1) for part, found in (("pair", pairs), ("term", terms)) for i, (value, _, item) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("shard", "block", "sources", "min_docs"), [(1 << 14, 4, 9, 10), (7, 1, 6, 3), (16, 2, 11, 10), (1 << 14, 100, 3, 2)])
+def test_audit_equals_brute_force(spark, monkeypatch, shard, block, sources, min_docs):
+    monkeypatch.setattr(divergence, "SHARD", shard)
+    monkeypatch.setattr(divergence, "BLOCK", block)
+    monkeypatch.setattr(divergence, "HELD", 50)
+    rng = random.Random(sources)
+    words = [f"{c}{d}" for c in "abcdefghij" for d in "éxyzÉ"] + ["The", "THE", "漢字", "a-b", "it's", "x1y"]
+    rows = []
+    for i in range(300):
+        lang = rng.choice(("en", "en", "de", None, "xx"))
+        source = rng.choice([f"s{k}" for k in range(sources)] + [None, "", "Ü"])
+        text = " ".join(rng.choices(words[: rng.randint(1, len(words))], k=rng.choice((0, 3, 60))))
+        rows.append((rng.choice((text, text, text, None, "12 34", "the the")) if lang != "xx" else f"{'abcdefghij'[i % 10] * (i % 7 + 3)}", lang, source))
+    rows += [("alone", "one", "only")]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").selectExpr("*", "'x' AS term", "1 AS n", "2 AS shard").repartition(5)
+    got = divergence.audit(docs, min_docs=min_docs)
+    assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == brute(rows, min_docs, 10)
+
+
+def test_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    odd_docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    got = divergence.op12_source_divergence(spark, str(tmp_path / "a")).collect()
+    rows = [(r.text, r.lang, r.source) for r in odd_docs.collect()]
+    assert sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in got) == brute(rows, 10, 10)
+    assert {r.value for r in got} == {0}  # no term is in ten documents
+    no_docs.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert divergence.op12_source_divergence(spark, str(tmp_path / "b")).count() == 0

@@ -3,6 +3,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -21,19 +22,22 @@ def library():
 
 def test_parts_give_the_ids_of_whole_texts(library, monkeypatch):
     rng = random.Random(3)
-    pool = [*"aAzZéÉßΣσς'’stre 0129½²\t\n\r\x0b\x0c\x85\xa0   　́̈ͅ가가😀‍️漢ﬁİıŉ<|>endoftext.,-_#\x00\x01﻿", "<|endoftext|>", "<|startoftext|>", " 's", "'LL ", "́ ", " ́"]
+    pool = [*"aAzZéÉßΣσς'’stre 0129½²\t\n\r\x0b\x0c\x85\xa0   　́̈ͅ가가😀‍️漢ﬁİıŉ<|>endoftext.,-_#\x00\x01﻿", "<|endoftext|>", "<|startoftext|>", "\ue000", "\n\u0301", " 's", "'LL ", "́ ", " ́"]
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(3000)] + ["", " ", "x" * 5000, " ".join(f"w{i}" for i in range(5000))]
     wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for kept in (token_files.KEPT, 50):
         monkeypatch.setattr(token_files, "KEPT", kept)
-        encode = token_files.encoder(VOCABULARY)
-        got = [ids for at in range(0, len(texts), 700) for ids in encode(texts[at : at + 700])]
-        assert [np.frombuffer(ids, dtype=np.int32).tolist() for ids in got] == wanted
+        encode = token_files.Encoder(VOCABULARY)
+        got = []
+        for at in range(0, len(texts), 700):
+            sizes, ids = encode(pa.array(texts[at : at + 700], pa.string()))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+            assert len(encode.known) == len(encode.sizes) <= kept and len(encode.ids) == encode.sizes.sum()
+        assert got == wanted
 
 
 def test_chunks_hold_each_text_once():
-    texts = ["a" * n for n in (0, 5, 3, 10, 25, 1, 0)]
-    assert [(s.start, s.stop) for s in token_files.chunks(texts, 10)] == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    assert [(s.start, s.stop) for s in token_files.chunks([0, 5, 3, 10, 25, 1, 0], 10)] == [(0, 3), (3, 4), (4, 5), (5, 7)]
     assert list(token_files.chunks([])) == []
 
 

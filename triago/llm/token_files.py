@@ -8,21 +8,24 @@ ids of that partition's earlier documents, so that where a document starts in th
 partition's start. Readers of counts and places leave the column of ids alone, and readers of a range of documents skip row
 groups and pages by their statistics, as the files are sorted by doc_id.
 
-Encoding by words: the vocabulary's normaliser and pattern never look across a space (a space composes with no character,
-white space belongs to no match, and case is folded for each character alone), so ids of a text are those of its parts between
-spaces, one after another. Each task has the library encode a part it hasn't met, and keeps a bounded number of them.
+Encoding by parts: the vocabulary's normaliser and pattern never look across a space or a line feed (they compose with no
+character, white space belongs to no match, and case is folded for each character alone), so ids of a text are those of its
+parts between these, one after another. Of each few megabytes of text the library encodes every distinct part once, unless it is
+one of the frequent parts, bounded in number, that a worker keeps.
 """
 
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +35,10 @@ from triago.llm.common import release_memory, shared_dir, table
 #: Fixed value: the id that ends each document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct parts a task keeps the ids of, and the longest it keeps, in characters.
-KEPT, KEPT_CHARS = 200_000, 64
-#: Characters of texts that are worked on at once, if they are several.
-CHARS = 2_000_000
+#: Frequent parts that a worker keeps the ids of, the longest it keeps, in characters, and how many it has encoded in one call.
+KEPT, KEPT_CHARS, TOGETHER = 200_000, 64, 5000
+#: Bytes of texts that are worked on at once, if they are several.
+CHARS = 8_000_000
 #: Partitions whose starts are added up together; then these sums are.
 BLOCK = 1024
 SCHEMA = "doc_id long, n_tokens int, part int, before long, ids array<int>"
@@ -61,45 +64,78 @@ class Layout:
         }
 
 
-def encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """A function for one task: the ids of each text, as 32-bit numbers in native order, by the tokenizers library."""
-    from tokenizers import Tokenizer
-
-    library, known = Tokenizer.from_file(vocabulary), {"": b""}
-
-    def learn(parts: list[str]) -> dict[str, bytes]:
-        found = {}
-        for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
-            found.update(zip(some, (np.array(e.ids, dtype=np.int32).tobytes() for e in library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return found
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = learn([p for p in set(itertools.chain.from_iterable(split)) if p not in known])
-        short = {p: ids for p, ids in new.items() if len(p) <= KEPT_CHARS}
-        rare = {p: ids for p, ids in new.items() if len(p) > KEPT_CHARS}
-        if len(known) + len(short) > KEPT:  # what this batch needs is looked up in both until the next one
-            rare |= {p: known[p] for p in set(itertools.chain.from_iterable(split)) if p in known}
-            known.clear()
-            known[""] = b""
-        known.update(short)
-        look = known.__getitem__ if not rare else lambda p: known[p] if p in known else rare[p]
-        return [b"".join(map(look, parts)) for parts in split]
-
-    return encode
-
-
-def chunks(texts: list[str], limit: int = CHARS) -> Iterator[slice]:
-    """Slices of texts of at most ``limit`` characters, or of one text."""
+class Encoder:
+    """Ids of texts by the tokenizers library, each distinct part of them once, and ids of frequent parts kept."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
+        self.library = Tokenizer.from_file(vocabulary)
+        self.known, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def _learned(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each part, and the ids of all."""
+        sizes, found = np.zeros(len(parts), dtype=np.int64), [np.zeros(0, dtype=np.int32)]
+        for at in range(0, len(parts), TOGETHER):
+            each = [e.ids for e in self.library.encode_batch_fast(parts[at : at + TOGETHER].to_pylist(), add_special_tokens=False)]
+            sizes[at : at + len(each)] = list(map(len, each))
+            found.append(np.fromiter(itertools.chain.from_iterable(each), dtype=np.int32))
+        return sizes, np.concatenate(found)
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and the ids of all."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded, bounds = pc.list_flatten(parts).dictionary_encode(), np.insert(np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)), 0, 0)
+        every, used = coded.dictionary, coded.indices.to_numpy()
+        place = pc.fill_null(pc.index_in(every, value_set=self.known), -1).to_numpy()
+        new = np.flatnonzero(place < 0)
+        new_sizes, new_ids = self._learned(every.take(pa.array(new)))
+        sizes, ids = np.concatenate([self.sizes, new_sizes]), np.concatenate([self.ids, new_ids])
+        place = place.astype(np.int64)
+        place[new] = len(self.sizes) + np.arange(len(new))
+        out = gathered(sizes, ids, place[used])
+        self._keep(every, place, np.bincount(used, minlength=len(every)), sizes, ids)
+        ends = np.insert(np.cumsum(sizes[place[used]]), 0, 0)[bounds]
+        return np.diff(ends), out
+
+    def _keep(self, every: pa.StringArray, place: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Parts that came twice or more in these texts, then those known before, as far as there is room."""
+        short = pc.utf8_length(every).to_numpy() <= KEPT_CHARS
+        often = np.flatnonzero((counts > 1) & short)[:KEPT]
+        before = np.setdiff1d(np.arange(len(self.known)), place)[: KEPT - len(often)]
+        self.known = pa.concat_arrays([every.take(pa.array(often)), self.known.take(pa.array(before))])
+        kept = np.concatenate([place[often], before])
+        self.sizes, self.ids = sizes[kept], gathered(sizes, ids, kept)
+
+
+def gathered(sizes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The ids at the given places of a list of parts, of which ``ids`` holds all, one after another."""
+    starts, wanted = np.cumsum(sizes) - sizes, sizes[places]
+    return ids[np.repeat(starts[places] - (np.cumsum(wanted) - wanted), wanted) + np.arange(wanted.sum())]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One for each worker process, which keeps what it has learned over tasks."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
+def chunks(lengths: list[int], limit: int = CHARS) -> Iterator[slice]:
+    """Slices of texts of at most ``limit`` bytes, or of one text."""
     at, n = 0, 0
-    for i, text in enumerate(texts):
-        if i > at and n + len(text) > limit:
+    for i, length in enumerate(lengths):
+        if i > at and n + length > limit:
             yield slice(at, i)
             at, n = i, 0
-        n += len(text)
-    if texts:
-        yield slice(at, len(texts))
+        n += length
+    if lengths:
+        yield slice(at, len(lengths))
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -114,19 +150,16 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before, part, end = encoder(vocabulary), 0, TaskContext.get().partitionId(), np.array([END], dtype=np.int32).tobytes()
+        encode, before, part = encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            for some in chunks(texts):
-                found = [ids + end for ids in encode(texts[some])]
-                lengths = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
-                ends = np.cumsum(lengths)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(lengths.astype(np.int32)), pa.array(np.full(n, part, dtype=np.int32)), pa.array(before + ends - lengths), ids], names=["doc_id", "n_tokens", "part", "before", "ids"]
-                )
-                before, at = before + int(ends[-1]), at + n
+            for some in chunks(pc.binary_length(batch.column(1)).to_pylist()):
+                rows = batch.slice(some.start, some.stop - some.start)
+                sizes, found = encode(rows.column(1))
+                ends = np.cumsum(sizes + 1)
+                ids = pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0).astype(np.int32)), pa.array(np.insert(found, np.cumsum(sizes), END)))
+                columns = [rows.column(0), pa.array((sizes + 1).astype(np.int32)), pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(before + ends - sizes - 1), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "part", "before", "ids"])
+                before += int(ends[-1])
         release_memory()
 
     return ranged.mapInArrow(task, SCHEMA)
