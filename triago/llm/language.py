@@ -139,11 +139,14 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             at, n = (pd.Series(x, dtype=object, index=batch.index) for x in lists)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": at, "n": n})
 
-    found = rows.mapInPandas(task, "doc_id long, lang string, at array<int>, n array<int>").toArrow()  # views, no Python lists
+    # of rows with one id and language one, picked before the driver sees any; Arrow gives views, no Python lists
+    counts = rows.mapInPandas(task, "doc_id long, lang string, at array<int>, n array<int>")
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda acc, k: acc + k)
+    least = counts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.size("at").alias("size"), total.alias("total"), "at", "n")).alias("row"))
+    found = least.select("doc_id", "lang", "row.at", "row.n").toArrow()
     ids, langs = found["doc_id"].to_numpy(), found["lang"].to_pylist()
     at, n = (_split(found[c].combine_chunks()) for c in ("at", "n"))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i], len(at[i]), int(n[i].sum())))
-    first = [i for k, i in enumerate(order) if not k or (ids[order[k - 1]], langs[order[k - 1]]) != (ids[i], langs[i])]
+    first = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i]))
     aside = (ids[first] * 2654435761 >> 7) % 5 == 0
     model = fit([langs[i] for i in first], [(at[i], n[i]) for i in first], aside)
     release_memory()

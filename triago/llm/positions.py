@@ -2,7 +2,8 @@
 
 A row is known by its file and its index in that file. Decisions (file, index, value) are written as small side files, one
 for each run of ``RUN`` rows of a data file, so that a large file's decisions are many tasks' work; a scan looks up those of
-the run it is in. A task holds one side file at a time, 16 bytes for each decided row of a run.
+the run it is in. A task holds one side file at a time, 16 bytes for each decided row of a run. Lists tell which runs have a side file,
+so that a lost one raises instead of passing for a run without decisions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -24,8 +26,8 @@ from triago.llm.common import shared_dir, tasks, written
 from triago.llm.shards import opened
 
 FILE, INDEX = "_row_file", "_row_index"
-#: Rows of a data file whose decisions make one side file.
-RUN = 1 << 20
+#: Rows of a data file whose decisions make one side file, and names of side files in one list.
+RUN, LISTED = 1 << 20, 4096
 
 
 def shielded(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
@@ -60,6 +62,16 @@ def _name(file: str, run: int) -> str:
     return hashlib.md5(f"{run}:{file}".encode()).hexdigest() + ".npy"
 
 
+def moved(fs: pyarrow.fs.FileSystem, draft: str, to: str) -> None:
+    """A repeated task moves the same bytes into place; where a store refuses to replace a file, the first ones stay."""
+    try:
+        fs.move(draft, to)
+    except OSError:
+        if fs.get_file_info(to).type != pyarrow.fs.FileType.File:
+            raise
+        fs.delete_file(draft)
+
+
 def finder(decisions: DataFrame, value: str = "value") -> Callable[[pd.Series, pd.Series], np.ndarray]:
     """A function for tasks: the long values of rows, given their files and indexes, 0 where there is none.
     ``decisions`` holds one row for each decided position."""
@@ -67,41 +79,61 @@ def finder(decisions: DataFrame, value: str = "value") -> Callable[[pd.Series, p
     path = decisions.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(decisions.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
 
-    def save(file: str, run: int, parts: list[pd.DataFrame]) -> None:
+    def put(name: str, data: bytes) -> None:
         fs, root = opened(folder)
+        draft = f"{root}/{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft, compression=None) as out:
+            out.write(data)
+        moved(fs, draft, f"{root}/{name}")
+
+    def save(file: str, run: int, parts: list[pd.DataFrame]) -> str:
         rows, data = pd.concat(parts), io.BytesIO()
         np.save(data, np.stack([rows[INDEX].to_numpy(np.int64), rows["value"].to_numpy(np.int64)]))
-        draft = f"{root}/{_name(file, run)}.{uuid.uuid4().hex}"  # a repeated task moves the same bytes into place
-        with fs.open_output_stream(draft, compression=None) as out:
-            out.write(data.getvalue())
-        fs.move(draft, f"{root}/{_name(file, run)}")
+        put(_name(file, run), data.getvalue())
+        return _name(file, run)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, parts, n = None, [], 0
+        held, parts, names = None, [], []
         for batch in batches:
             for key, rows in batch.groupby([FILE, "run"], sort=False):
                 if key != held and parts:
-                    save(*held, parts)
-                    parts, n = [], n + 1
+                    names.append(save(*held, parts))
+                    parts = []
                 held = key
                 parts.append(rows)
         if parts:
-            save(*held, parts)
-        yield pd.DataFrame({"n": [n]})
+            names.append(save(*held, parts))
+        yield pd.DataFrame({"name": names}, dtype=object)
+
+    def save_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, names in zip(batch["list"], batch["names"], strict=True):
+                put(f"{number}.list", "\n".join(sorted(names)).encode())
+            yield batch[["list"]]
 
     rows = decisions.select(FILE, INDEX, F.floor(F.col(INDEX) / RUN).alias("run"), F.col(value).cast("long").alias("value"))
-    written(rows.repartition(tasks(rows), FILE, "run").sortWithinPartitions(FILE, INDEX).mapInPandas(task, "n long"))
+    saved = written(rows.repartition(tasks(rows), FILE, "run").sortWithinPartitions(FILE, INDEX).mapInPandas(task, "name string"))
+    lists = 1 + saved.count() // LISTED
+    every = saved.select(F.pmod(F.conv(F.substring("name", 1, 8), 16, 10).cast("long"), F.lit(lists)).alias("list"), "name").unionByName(decisions.sparkSession.range(lists).select(F.col("id").alias("list"), F.lit(None).cast("string").alias("name")))
+    written(every.groupBy("list").agg(F.collect_list("name").alias("names")).mapInPandas(save_lists, "list long"))  # about LISTED names each
     held: dict[tuple[str, int], np.ndarray] = {}
+    listed: dict[int, frozenset] = {}
+
+    def got(name: str) -> bytes:
+        fs, root = opened(folder)
+        with fs.open_input_file(f"{root}/{name}") as f:
+            return f.read()
 
     def of(name: str, run: int) -> np.ndarray:
+        """The decided rows of a run. Which runs have a side file is listed, so one that is gone is an error."""
         if (name, run) not in held:
             held.clear()
-            fs, root = opened(folder)
-            try:
-                with fs.open_input_file(f"{root}/{_name(name, run)}") as f:
-                    held[name, run] = np.load(io.BytesIO(f.read()))
-            except FileNotFoundError:  # no row of that run is decided
-                held[name, run] = np.zeros((2, 0), dtype=np.int64)
+            own = _name(name, run)
+            number = int(own[:8], 16) % lists
+            if number not in listed:
+                listed.clear()
+                listed[number] = frozenset(got(f"{number}.list").decode().split("\n"))
+            held[name, run] = np.load(io.BytesIO(got(own))) if own in listed[number] else np.zeros((2, 0), dtype=np.int64)
         return held[name, run]
 
     def find(file: pd.Series, index: pd.Series) -> np.ndarray:

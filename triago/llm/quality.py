@@ -121,12 +121,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": pd.Series([features(t) for t in batch["text"]], dtype=object, index=batch.index)})
 
-    found = rows.mapInPandas(task, "doc_id long, quality int, x array<double>").toArrow()
+    # of rows with one id the one with the least features, picked before the driver sees any
+    least = rows.mapInPandas(task, "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row"))
+    found = least.select("doc_id", "row.quality", "row.x").toArrow()
     ids, y = found["doc_id"].to_numpy(), found["quality"].to_numpy()
     x = found["x"].combine_chunks().values.to_numpy().reshape(len(ids), len(NAMES))
-    order = np.lexsort([*x.T[::-1], ids])  # of rows with one id the one with the least features
-    first = order[np.unique(ids[order], return_index=True)[1]]
-    return x[first], y[first]
+    order = np.argsort(ids)
+    return x[order], y[order]
 
 
 def scored(docs: DataFrame, ranking: Ranking, key: str = "doc_id") -> DataFrame:

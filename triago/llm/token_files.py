@@ -36,7 +36,7 @@ from triago.llm.common import release_memory, shared_dir, table
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent parts that a worker keeps the ids of, the longest it keeps, in characters, and how many it has encoded in one call.
-KEPT, KEPT_CHARS, TOGETHER = 200_000, 64, 5000
+KEPT, KEPT_CHARS, TOGETHER = 1_000_000, 64, 5000
 #: Bytes of texts that are worked on at once, if they are several.
 CHARS = 8_000_000
 #: Partitions whose starts are added up together; then these sums are.
@@ -100,13 +100,15 @@ class Encoder:
         return np.diff(ends), out
 
     def _keep(self, every: pa.StringArray, place: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Parts that came twice or more in these texts, then those known before, as far as there is room."""
-        short = pc.utf8_length(every).to_numpy() <= KEPT_CHARS
-        often = np.flatnonzero((counts > 1) & short)[:KEPT]
-        before = np.setdiff1d(np.arange(len(self.known)), place)[: KEPT - len(often)]
-        self.known = pa.concat_arrays([every.take(pa.array(often)), self.known.take(pa.array(before))])
-        kept = np.concatenate([place[often], before])
-        self.sizes, self.ids = sizes[kept], gathered(sizes, ids, kept)
+        """As far as there is room: parts that came twice or more in these texts, those known before, the others."""
+        short, often = pc.utf8_length(every).to_numpy() <= KEPT_CHARS, counts > 1
+        first, last = np.flatnonzero(often & short), np.flatnonzero(~often & short & (place >= len(self.known)))
+        unseen = np.ones(len(self.known), dtype=bool)
+        unseen[place[first][place[first] < len(self.known)]] = False
+        before = np.flatnonzero(unseen)
+        kept = np.concatenate([place[first], before, place[last]])[:KEPT]
+        words = pa.concat_arrays([every.take(pa.array(first)), self.known.take(pa.array(before)), every.take(pa.array(last))])
+        self.known, self.sizes, self.ids = pa.concat_arrays([words.slice(0, len(kept))]), sizes[kept], gathered(sizes, ids, kept)
 
 
 def gathered(sizes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
