@@ -15,7 +15,7 @@ from string import Template
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triago import fixed
@@ -220,19 +220,39 @@ def spoken(replies: DataFrame, key: str = "doc_id") -> DataFrame:
     return replies.select(key, F.explode("replies").alias("field", "value"))
 
 
-def occurrences(target: str, keys: list[str]) -> list[list[int]]:
-    """The lines that each occurrence of a text covers, overlapping ones too, in lines joined by a space."""
-    starts, at = [], 0
-    for k in keys:
-        starts.append(at)
-        at += len(k) + 1
-    whole, out, found = " ".join(keys), [], -1
-    while target and (found := whole.find(target, found + 1)) >= 0:
-        out.append([i for i, s in enumerate(starts) if s < found + len(target) and s + len(keys[i]) >= found])
-    return out
+#: Characters of a document's joined lines that make one bucket of the range join.
+BUCKET = 256
 
 
-GROUNDED = "found boolean, line int, conf double, on_recipient boolean"
+def occurrences(whole: Column, target: Column) -> Column:
+    """Where each occurrence of ``target`` in ``whole`` starts, from 0, overlapping ones too; none for an empty target. The text
+    is split before each occurrence, so they are where its pieces end, and at 0 if the first piece starts with the target."""
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(target, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.transform(F.split(whole, literal), lambda p: F.length(p))
+    state = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"))
+    ends = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), state, lambda s, n: F.struct(F.array_append(s["ends"], s["at"] + n).alias("ends"), (s["at"] + n).alias("at")))["ends"]
+    first = F.when(F.startswith(whole, target), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.when((target == "") | whole.isNull() | target.isNull(), F.array().cast("array<int>")).otherwise(F.concat(first, ends))
+
+
+def _buckets(first: Column, last: Column) -> Column:
+    return F.sequence(F.floor(first / BUCKET), F.floor(F.greatest(first, last) / BUCKET))
+
+
+def _located(said: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, field, target, found, line, conf, on_recipient of ``said`` (doc, field, target, whole) that occur, from ``lines``
+    (doc, i, start, size, conf, flags, above): a range join of occurrences and lines within buckets of offsets. The two are
+    paired in the later of their first buckets only."""
+    spans = said.select("doc", "field", "target", F.explode(occurrences(F.col("whole"), F.col("target"))).alias("at")).withColumn("last", F.col("at") + F.length("target") - 1)
+    spans = spans.withColumn("bucket", F.explode(_buckets(F.col("at"), F.col("last"))))
+    rows = lines.withColumn("end", F.col("start") + F.col("size")).withColumn("bucket", F.explode(_buckets(F.col("start"), F.col("end"))))
+    over = spans.join(rows, ["doc", "bucket"]).where((F.col("start") <= F.col("last")) & (F.col("end") >= F.col("at")) & (F.col("bucket") == F.floor(F.greatest("at", "start") / BUCKET)))
+    flag = F.coalesce(F.try_element_at("flags", F.col("field")), F.lit(0))
+    above = F.coalesce(F.try_element_at("above", F.col("field")), F.lit(0))
+    each = over.groupBy("doc", "field", "target", "at").agg(F.min("i").alias("line"), F.min("conf").alias("conf"), F.max(flag >= 1).alias("barred"), F.min_by(above == 2, "i").alias("under"))
+    free = ~F.col("barred") & ~F.col("under")
+    best = F.min_by(F.when(free, F.struct("line", "conf")), F.when(free, F.col("at"))).alias("best")
+    return each.groupBy("doc", "field", "target").agg(best, F.max(free).alias("any")).select("doc", "field", "target", F.lit(True).alias("found"), "best.line", "best.conf", (~F.col("any")).alias("on_recipient"))
 
 
 def grounded(replies: DataFrame, docs: DataFrame, registry: dict, key: str = "doc_id", type_: str = "type", lines: str = "lines") -> DataFrame:
@@ -240,49 +260,46 @@ def grounded(replies: DataFrame, docs: DataFrame, registry: dict, key: str = "do
 
     A value must occur in the document's lines, without regard to accents, case and white space, also across lines; else
     it is rejected. A field may be barred from lines that name a recipient, or from those right under a line with such a
-    label only; and may be expected in the title zone. Rejected values are null. Fields that the type doesn't allow are
-    left out.
+    label only; and may be expected in the title zone. Rejected values are null. Fields that the type doesn't allow, and blank
+    values, are left out; a document without lines has nothing to find a value in.
+
+    A document's lines, joined, are searched as one text. Its lines have running offsets in that text, and a range join tells
+    which of them an occurrence lies on. Nothing leaves the JVM.
     """
-    checks = {f: ["|".join(f"(?:{tolerant(p)})" for p in c.get("not_on", [])), bool(c.get("in_title"))] for f, c in fixed.FREE_FIELD_CHECKS.items()}
     types = [c["name"] for c in registry["categories"]]
     allowed = F.create_map(*(x for t in types for x in (F.lit(t), F.array(*map(F.lit, free_field_requests(registry, t))))))
     generic = F.array(*map(F.lit, free_field_requests(registry, None)))
-    barred, label_only = F.lit(False), F.lit(False)
-    for f, (pattern, _) in checks.items():
-        norm = fold_line(F.col("l.text"))
-        hit = norm.rlike(java(pattern))
-        rest = F.regexp_replace(F.regexp_replace(norm, "(?U)^(.*?)(?:" + pattern + ")", "$1"), ":", "")
-        barred = F.when((F.col("field") == f) & hit, True).otherwise(barred)
-        label_only = F.when((F.col("field") == f) & hit & ~rest.rlike(java(r"\w")), True).otherwise(label_only)
-
-    texts = F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
-    rows = replies.join(docs.select(key, F.col(type_).alias("type"), F.col(lines).alias("lines"), compare_key(title_zone(texts)).alias("zone")), key)
-    rows = rows.where(F.array_contains(F.coalesce(F.try_element_at(allowed, F.col("type")), generic), F.col("field")))
-    rows = rows.withColumn("value", F.trim(F.regexp_replace("value", java(r"\s+"), " "))).where("value <> ''")
-    per_line = rows.select(key, "field", F.posexplode("lines").alias("i", "l")).select(key, "field", "i", compare_key(F.col("l.text")).alias("k"), F.col("l.conf").alias("c"), barred.alias("barred"), label_only.alias("label_only"))
-    per_line = per_line.groupBy(key, "field").agg(F.array_sort(F.collect_list(F.struct("i", "k", "c", "barred", "label_only"))).alias("ls"))
-
-    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ': ') for x in GROUNDED.split(', '))}>")
-    def place(target: pd.Series, ls: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, own in zip(target, ls, strict=True):
-            seen = occurrences(t, [x["k"] for x in own])
-            free = [s for s in seen if not any(own[i]["barred"] for i in s) and not (s[0] > 0 and own[s[0] - 1]["label_only"])]
-            first = (free or [None])[0]
-            confs = [own[i]["c"] for i in first or [] if own[i]["c"] is not None]
-            out.append((bool(seen), first[0] if first else None, min(confs) if confs else None, bool(seen) and not free))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in GROUNDED.split(", ")]).astype({"line": "Int32"})
-
-    placed = rows.join(per_line, [key, "field"]).withColumn("at", place(compare_key(F.col("value")), F.col("ls")))
-    titled = F.col("field").isin(*(f for f, (_, t) in checks.items() if t))
-    outside = titled & ~F.contains(F.col("zone"), compare_key(F.col("value")))
-    low = F.coalesce(F.col("at.conf") < fixed.OCR_LINE, F.lit(False))
+    texts = F.transform(lines, lambda x: F.coalesce(x["text"], F.lit("")))
+    sources = docs.select(F.col(key).alias("doc"), F.col(type_).alias("type"), F.col(lines).alias("lines"), F.array_join(F.transform(texts, compare_key), " ").alias("whole"), compare_key(title_zone(F.array_join(texts, "\n"))).alias("zone"))
+    value = F.trim(F.regexp_replace("value", java(r"\s+"), " "))
+    said = replies.select(F.col(key).alias("doc"), "field", value.alias("value")).where("value <> ''").join(sources, "doc")
+    said = said.where(F.array_contains(F.coalesce(F.try_element_at(allowed, F.col("type")), generic), F.col("field"))).withColumn("target", compare_key(F.col("value")))
+
+    norm = fold_line(F.col("l.text"))
+    flags: list[Column] = []
+    for f, check in fixed.FREE_FIELD_CHECKS.items():
+        pattern = "|".join(f"(?:{tolerant(p)})" for p in check.get("not_on", []))
+        if pattern:
+            rest = F.regexp_replace(F.regexp_replace(norm, f"(?U)^(.*?)(?:{pattern})", "$1"), ":", "")
+            flags += [F.lit(f), F.when(~norm.rlike(java(pattern)), 0).when(rest.rlike(java(r"\w")), 1).otherwise(2)]
+    of_doc = Window.partitionBy("doc").orderBy("i")  # the lines of one document
+    wanted = said.select("doc").distinct()
+    parts = sources.join(wanted, "doc", "left_semi").select("doc", F.posexplode("lines").alias("i", "l"))
+    parts = parts.select("doc", "i", F.length(compare_key(F.col("l.text"))).alias("size"), F.col("l.conf").alias("conf"), (F.create_map(*flags) if flags else F.create_map().cast("map<string, int>")).alias("flags"))
+    starts = F.sum(F.col("size") + 1).over(of_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") - 1
+    located = _located(said.select("doc", "field", "target", "whole").distinct(), parts.withColumn("start", starts).withColumn("above", F.lag("flags").over(of_doc)))
+
+    placed = said.drop("whole").join(located, ["doc", "field", "target"], "left")
+    found, on_recipient = F.coalesce("found", F.lit(False)), F.coalesce("on_recipient", F.lit(False))
+    titled = F.col("field").isin(*(f for f, c in fixed.FREE_FIELD_CHECKS.items() if c.get("in_title")))
+    outside = titled & ~F.contains(F.col("zone"), F.col("target"))
+    low = F.coalesce(F.col("conf") < fixed.OCR_LINE, F.lit(False))
     message = (
-        F.when(~F.col("at.found"), fixed.NOT_IN_SOURCE).when(F.col("at.on_recipient"), fixed.ON_RECIPIENT).when(outside, fixed.OUTSIDE_TITLE)
-        .when(low, F.format_string("ligne OCR peu sure (confiance %.2f)", "at.conf"))
+        F.when(~found, fixed.NOT_IN_SOURCE).when(on_recipient, fixed.ON_RECIPIENT).when(outside, fixed.OUTSIDE_TITLE)
+        .when(low, F.format_string("ligne OCR peu sure (confiance %.2f)", "conf"))
     )
-    kept = F.col("at.found") & ~F.col("at.on_recipient")
-    return placed.select(key, "field", F.when(kept, F.col("value")).alias("value"), "at.line", F.get(F.col("lines"), F.col("at.line"))["page"].alias("page"), "at.conf", F.concat(F.col("field"), F.lit(" : "), message).alias("alert"), message.isNotNull().alias("needs_review"))
+    kept = F.when(found & ~on_recipient, F.col("value"))
+    return placed.select(F.col("doc").alias(key), "field", kept.alias("value"), "line", F.get(F.col("lines"), F.col("line"))["page"].alias("page"), "conf", F.concat(F.col("field"), F.lit(" : "), message).alias("alert"), message.isNotNull().alias("needs_review"))
 
 
 def merged(fields: DataFrame, free: DataFrame, key: str = "doc_id") -> DataFrame:

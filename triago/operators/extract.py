@@ -1,12 +1,15 @@
 """Labelled fields from the lines of documents, with the line, page and confidence that each value comes from.
 
-Lines are exploded once, each with its next four; a line's candidates are column expressions over patterns known when the
-plan is made, so the only exchange is that of the candidates found, a few rows for each document, by document.
+One pattern of all labels picks lines out of a document; these alone are exploded, once for each field with a label in them and
+with the next four lines, and each row is read by the patterns of its own field. Patterns are known when the plan is made, so the
+only exchange is that of the candidates found, a few rows for each document, by document.
 """
 
 from __future__ import annotations
 
-from pyspark import SparkContext
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,71 +47,111 @@ def raw_value(setting: dict, text: Column, alone: bool) -> Column:
     return let(clean, lambda v: F.when(v.rlike(java(r"\d")), v))
 
 
-_BUILT: dict[tuple, Column] = {}
-
-
-def built_candidate(field: str, setting: dict) -> Column:
-    """``candidate``, built once for a JVM: the driver takes longer to build it than to plan with it, and it refers to
-    columns by name only."""
-    key = (SparkContext._active_spark_context.applicationId, field, repr(setting))
-    if key not in _BUILT:
-        _BUILT[key] = candidate(field, setting)
-    return _BUILT[key]
+def labels_of(settings: dict, known: list[str]) -> list[tuple[str, int, str]]:
+    """(field, place, pattern) of all labels; its index in this list is a label's code."""
+    return [(f, i, tolerant(x)) for f in known for i, x in enumerate(settings[f]["labels"])]
 
 
-def candidate(field: str, setting: dict) -> Column:
-    """What a line (norm, text, conf, page, line, after) holds of a field: null without a label, else what is written
-    beside the label and, to be used if that gives no value, below it, with the number of lines below that this takes.
-    The first label of the list that occurs counts, and only that."""
-    norm, text, after = F.col("norm"), F.col("text"), F.col("after")
-    labels = [tolerant(x) for x in setting["labels"]]
-    label, end = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for i, pattern in reversed(list(enumerate(labels))):
-        hit = norm.rlike(java(pattern))
-        label = F.when(hit, F.lit(i)).otherwise(label)
-        end = F.when(hit, F.length(F.regexp_extract(norm, f"(?sU)^(.*?)(?:{pattern})", 0))).otherwise(end)
+def any_of(patterns: list[str]) -> str:
+    """One pattern for all; a word boundary that many begin with is looked for once."""
 
-    def digit_lines() -> Column:
-        """How many of the lines right below hold digits and separators only."""
-        fits = lambda x: x["text"].rlike(java(rf"^{fixed.DIGIT_LINE}\z"))
-        count = lambda acc, x: F.struct((acc["n"] + (acc["on"] & fits(x)).cast("int")).alias("n"), (acc["on"] & fits(x)).alias("on"))
-        return F.aggregate(F.slice(after, 1, setting["more_lines"]), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), count)["n"]
+    def split(p: str) -> bool:
+        while (inner := re.sub(r"\[[^\]]*\]|\([^()]*\)", "", p)) != p:
+            p = inner
+        return "|" in p
 
-    def found(rest: Column) -> Column:
-        def with_lines(n: Column) -> Column:
-            whole = F.array_join(F.concat(F.array(rest), F.transform(F.slice(after, 1, n), lambda x: x["text"])), " ")
-            below = F.when(n > 0, raw_value(setting, whole, False)) if setting.get("more_lines") else raw_value(setting, F.get(after, F.lit(0))["text"], True)
-            used = F.concat(F.array(F.col("conf")), F.transform(F.slice(after, 1, n), lambda x: x["conf"]))
-            return F.struct(
-                F.lit(field).alias("field"), F.lit(setting["type"]).alias("kind"), label.alias("label"), F.col("line").alias("line"), n.alias("more"), F.col("page").alias("page"),
-                F.col("conf").alias("conf"), F.array_min(used).alias("conf_below"), raw_value(setting, rest, False).alias("beside"), below.alias("below"),
-            )
+    at_word = [p[2:] for p in patterns if p.startswith(r"\b") and not split(p)]
+    other = [p for p in patterns if not p.startswith(r"\b") or split(p)]
+    ways = ([r"\b(?:" + "|".join(f"(?:{p})" for p in at_word) + ")"] if at_word else []) + [f"(?:{p})" for p in other]
+    return "|".join(ways)
 
-        return let(digit_lines() if setting.get("more_lines") else F.least(F.size(after), F.lit(1)), with_lines)
 
-    return F.when(label.isNotNull(), let(F.substring(text, end + 1, F.length(text)), found))
+def labelled(docs: DataFrame, key: str, type_: str, lines: str, registry: dict, settings: dict, known: list[str]) -> DataFrame:
+    """key, type, line, text, conf, page, norm, after and code: one row for each line and field that the type expects whose label
+    occurs in it. The first label of a field's list that occurs counts. One pattern of all labels picks the lines; only they
+    are tested for each label, get the lines after them, and become rows."""
+    labels = labels_of(settings, known)
+    some = java(any_of([p for _, _, p in labels]))
+    types = [c["name"] for c in registry["categories"]]
+    flags = lambda t: F.array(*(F.lit(f in expected_fields(registry, t)) for f in known))
+    wanted = F.coalesce(F.try_element_at(F.create_map(*(x for t in types for x in (F.lit(t), flags(t)))), F.col(type_)), flags(None))
+    fits = lambda patterns: F.col("norm").rlike(java(any_of(patterns)))
+    hits = []
+    for i, f in enumerate(known):
+        own = [(code, p) for code, (name, _, p) in enumerate(labels) if name == f]
+        which = F.lit(own[-1][0])
+        for code, pattern in reversed(own[:-1]):
+            which = F.when(fits([pattern]), F.lit(code)).otherwise(which)
+        hits.append(F.when(F.get("wanted", F.lit(i)) & fits([p for _, p in own]), which))
+    codes = F.array_compact(F.array(*hits))
+    near = F.transform(F.col(lines), lambda x, i: F.struct(x["text"].alias("text"), x["conf"].alias("conf"), x["page"].alias("page"), F.slice(F.col(lines), i + 2, AHEAD).alias("after")))
+    rows = docs.select(F.col(key).alias("key"), F.col(type_).alias("type"), wanted.alias("wanted"), F.posexplode(near).alias("line", "at")).select("key", "type", "wanted", "line", "at.*")
+    rows = rows.withColumn("norm", fold_line(F.col("text"))).where(F.col("norm").rlike(some))
+    return rows.select("key", "type", "line", "text", "conf", "page", "norm", "after", F.explode(codes).alias("code"))
+
+
+def written_values(rows: DataFrame, settings: dict, known: list[str]) -> DataFrame:
+    """key, type, field, kind, label, line, more, page, conf, conf_below, beside and below of ``labelled`` rows: what is written
+    after the label and, to be used if that gives no value, below it, with the number of lines below that this takes. Of all
+    fields' patterns only those of a row's own field are tried."""
+    labels = labels_of(settings, known)
+    code, more, after = F.col("code"), F.col("more"), F.col("after")
+    alike: dict[str, list[int]] = {}  # fields whose values are written alike share their patterns
+    for i, (f, _, _) in enumerate(labels):
+        alike.setdefault(repr({k: v for k, v in settings[f].items() if k not in ("labels", "choice")}), []).append(i)
+    kinds = [(code.isin(codes), settings[labels[codes[0]][0]]) for codes in alike.values()]
+
+    def by_kind(make: Callable[[dict], Column | None], other: Column | None = None) -> Column:
+        out = F
+        for own, setting in kinds:
+            if (value := make(setting)) is not None:
+                out = out.when(own, value)
+        return (other if other is not None else F.lit(None)) if out is F else out.otherwise(other)
+
+    def digit_lines(most: int) -> Column:
+        """How many of the lines right below hold digits and separators only."""
+        fits = lambda y: y["text"].rlike(java(rf"^{fixed.DIGIT_LINE}\z"))
+        count = lambda acc, y: F.struct((acc["n"] + (acc["on"] & fits(y)).cast("int")).alias("n"), (acc["on"] & fits(y)).alias("on"))
+        return F.aggregate(F.slice(after, 1, most), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), count)["n"]
+
+    end = F
+    for i, (_, _, pattern) in enumerate(labels):
+        end = end.when(code == i, F.length(F.regexp_extract("norm", f"(?sU)^(.*?)(?:{pattern})", 0)))
+    rows = rows.withColumn("end", end).withColumn("rest", F.substring(F.col("text"), F.col("end") + 1, F.length("text")))
+    rows = rows.withColumn("more", by_kind(lambda s: digit_lines(s["more_lines"]) if s.get("more_lines") else None, F.least(F.size(after), F.lit(1))))
+    used = F.concat(F.array("conf"), F.transform(F.slice(after, F.lit(1), more), lambda y: y["conf"]))
+    whole = F.array_join(F.concat(F.array("rest"), F.transform(F.slice(after, F.lit(1), more), lambda y: y["text"])), " ")
+    below = by_kind(lambda s: F.when(more > 0, raw_value(s, whole, False)) if s.get("more_lines") else raw_value(s, F.get(after, F.lit(0))["text"], True))
+    named = lambda values: F.element_at(F.array(*map(F.lit, values)), code + 1)
+    return rows.select(
+        "key", "type", named([f for f, _, _ in labels]).alias("field"), named([settings[f]["type"] for f, _, _ in labels]).alias("kind"), named([i for _, i, _ in labels]).alias("label"),
+        "line", "more", "page", "conf", F.array_min(used).alias("conf_below"), by_kind(lambda s: raw_value(s, F.col("rest"), False)).alias("beside"), below.alias("below"),
+    )
 
 
 def read_values(found: DataFrame, ref_year: int) -> DataFrame:
-    """``candidate`` rows with value, amount, alerts, value_line and conf. One expression for each kind reads what stands
-    beside labels, and one what stands below."""
+    """``written_values`` rows with value, amount, alerts, value_line and conf. What stands beside the label is read first and,
+    if that gives no value, what stands below it."""
+    none, no_alerts = F.lit(None).cast(DECIMAL), F.array().cast("array<string>")
 
-    def read(raw: str) -> Column:
-        date, amount = date_value(F.col(raw), ref_year), amount_value(F.col(raw))
-        none, no_alerts = F.lit(None).cast(DECIMAL), F.array().cast("array<string>")
+    def read(raw: Column) -> Column:
+        date, amount = date_value(raw, ref_year), amount_value(raw)
         return (
             F.when(F.col("kind") == "date", let(date, lambda d: F.struct(d["value"].alias("value"), none.alias("amount"), d["alerts"].alias("alerts"))))
             .when(F.col("kind") == "amount", let(amount, lambda m: F.struct(m["value"].cast("string").alias("value"), m["value"].alias("amount"), F.array_compact(F.array(m["alert"])).alias("alerts"))))
-            .otherwise(F.struct(F.col(raw).alias("value"), none.alias("amount"), no_alerts.alias("alerts")))
+            .otherwise(F.struct(raw.alias("value"), none.alias("amount"), no_alerts.alias("alerts")))
         )
 
-    rows = found.withColumn("one", read("beside"))
-    rows = rows.withColumn("two", F.when(F.col("one.value").isNull() & F.col("below").isNotNull(), read("below")))
-    is_below = F.col("one.value").isNull() & F.col("two.value").isNotNull()
+    def next_(acc: Column, raw: Column) -> Column:
+        more = let(read(raw), lambda one: F.struct((acc["read"] + 1).alias("read"), one["value"].alias("value"), one["amount"].alias("amount"), F.concat(acc["alerts"], one["alerts"]).alias("alerts")))
+        return F.when(acc["value"].isNotNull(), acc).when(raw.isNull(), F.struct((acc["read"] + 1).alias("read"), acc["value"].alias("value"), acc["amount"].alias("amount"), acc["alerts"].alias("alerts"))).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("read"), F.lit(None).cast("string").alias("value"), none.alias("amount"), no_alerts.alias("alerts"))
+    rows = found.withColumn("one", F.aggregate(F.array("beside", "below"), start, next_))
+    is_below = F.col("one.value").isNotNull() & (F.col("one.read") == 2)
     return rows.select(
         *(c for c in found.columns if c not in ("kind", "more", "conf", "conf_below", "beside", "below")), (F.col("line") + F.when(is_below, F.col("more")).otherwise(0)).alias("value_line"),
-        F.when(is_below, F.col("conf_below")).otherwise(F.col("conf")).alias("conf"), F.coalesce("one.value", "two.value").alias("value"), F.coalesce("one.amount", "two.amount").alias("amount"),
-        F.concat(F.col("one.alerts"), F.coalesce("two.alerts", F.array().cast("array<string>"))).alias("alerts"),
+        F.when(is_below, F.col("conf_below")).otherwise(F.col("conf")).alias("conf"), F.col("one.value").alias("value"), F.col("one.amount").alias("amount"), F.col("one.alerts").alias("alerts"),
     )
 
 
@@ -116,12 +159,8 @@ def candidates(docs: DataFrame, key: str, type_: str, lines: str, registry: dict
     """(key, type, candidate fields) of every line and expected field with a label."""
     types = [c["name"] for c in registry["categories"]]
     known = [f for f in settings if any(f in expected_fields(registry, t) for t in (*types, None))]
-    per_type = F.create_map(*(x for t in types for x in (F.lit(t), F.array(*map(F.lit, expected_fields(registry, t))))))
-    wanted = F.coalesce(F.try_element_at(per_type, F.col(type_)), F.array(*map(F.lit, expected_fields(registry, None))))
-    near = F.transform(F.col(lines), lambda x, i: F.struct(x["text"].alias("text"), x["conf"].alias("conf"), x["page"].alias("page"), F.slice(F.col(lines), i + 2, AHEAD).alias("after")))
-    rows = docs.select(F.col(key), F.col(type_).alias("type"), wanted.alias("wanted"), F.posexplode(near).alias("line", "at")).select(key, "type", "wanted", "line", "at.*").withColumn("norm", fold_line(F.col("text")))
-    hits = F.array_compact(F.array(*(F.when(F.array_contains("wanted", f), built_candidate(f, settings[f])) for f in known)))
-    return read_values(rows.select(key, "type", F.inline(hits)), ref_year)
+    rows = written_values(labelled(docs, key, type_, lines, registry, settings, known), settings, known)
+    return read_values(rows, ref_year).withColumnRenamed("key", key)
 
 
 def chosen(found: DataFrame, key: str, settings: dict) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triago import fixed
 from triago.functions.naming import base_name, shortened
+from triago.operators.prefix import running
 from triago.operators.registry import SUBFOLDER_PART, expected_fields, name_model
 
 
@@ -17,15 +18,19 @@ def fingerprint(content: Column) -> Column:
 def with_duplicates(files: DataFrame, sha: str = "sha", path: str = "path") -> DataFrame:
     """``files`` with duplicate: of equal contents the first path is kept. The first path of each content is worked out by
     a partial aggregate, so many copies of one file are no heavy window. Null contents are one content; a null path
-    comes last."""
-    first = files.groupBy(F.col(sha).alias("_sha")).agg(F.min(path).alias("_first"))
-    found = files.join(first, files[sha].eqNullSafe(F.col("_sha")))
-    return found.withColumn("duplicate", ~F.col(path).eqNullSafe(F.col("_first"))).drop("_sha", "_first")
+    comes last. A column named duplicate is replaced, others may have any names."""
+    rows = files.select(F.struct(*(c for c in files.columns if c != "duplicate")).alias("file"), F.col(sha).alias("sha"), F.col(path).alias("path"))
+    first = rows.groupBy(F.col("sha").alias("content")).agg(F.min("path").alias("first"))
+    found = rows.join(first, F.col("sha").eqNullSafe(F.col("content")))
+    return found.select("file.*", (~F.col("path").eqNullSafe(F.col("first"))).alias("duplicate"))
 
 
 def unprocessed(files: DataFrame, done: DataFrame, sha: str = "sha") -> DataFrame:
-    """The files whose content is not among those done."""
-    return files.join(done.select(sha).distinct(), sha, "left_anti")
+    """The files whose content is not among those done. Null contents are one content, as for ``with_duplicates`` and the
+    journal's state."""
+    rows = files.select(F.struct("*").alias("file"), F.col(sha).alias("sha"))
+    known = done.select(F.col(sha).alias("content")).distinct()
+    return rows.join(known, F.col("sha").eqNullSafe(F.col("content")), "left_anti").select("file.*")
 
 
 def routed(docs: DataFrame, registry: dict) -> DataFrame:
@@ -56,22 +61,29 @@ def without_collisions(docs: DataFrame, taken: DataFrame | None = None, order: s
 
     Names are given in the order of ``order`` within (folder, base without regard to case); ``taken`` holds (folder, name)
     in use. Bases that themselves end in a number can meet names given to others, so numbers avoid every base of the
-    folder that is wanted as it stands and every taken name.
+    folder that is wanted as it stands and every taken name. A null base or folder is one like others; a null base has no
+    name. A column called name is replaced, others may have any names.
+
+    A popular base is never one task's: places are running sums over ranges. The nth free number of a base is n and the
+    number of blocked ones below it. As the ith blocked number b has b - i free ones below it, it counts for every n above
+    b - i, so these values and all n are sorted together and another running sum counts the blocked ones before each n.
     """
-    docs = docs.withColumn("_low", F.lower("base"))
-    wanted = docs.select("folder", F.col("_low").alias("_name"))
+    mine = docs.select(F.struct(*(c for c in docs.columns if c != "name")).alias("doc"), "folder", F.lower("base").alias("low"), F.lit(1).alias("kind"), F.col(order).alias("at"))
+    names = mine.select("folder", "low")
+    queue = mine
     if taken is not None:
-        wanted = wanted.unionByName(taken.select("folder", F.lower("name").alias("_name")))
-    form = F.regexp_extract("_name", r"(?s)^(.*)_([1-9]\d{0,8})$", 1)
-    number = F.regexp_extract("_name", r"(?s)^(.*)_([1-9]\d{0,8})$", 2)
-    blocked = wanted.where(form != "").select("folder", form.alias("_low"), number.cast("int").alias("n")).groupBy("folder", "_low").agg(F.sort_array(F.collect_set("n")).alias("blocked"))
-    used = (taken.select("folder", F.lower("name").alias("_low")).distinct().withColumn("used", F.lit(1)) if taken is not None else docs.sparkSession.createDataFrame([], "folder string, _low string, used int"))
-    place = F.row_number().over(Window.partitionBy("folder", "_low").orderBy(order)) - 1
-    rows = docs.withColumn("_place", place).join(blocked, ["folder", "_low"], "left").join(used, ["folder", "_low"], "left")
-    nth = F.col("_place") + F.coalesce("used", F.lit(0))
-    # the nth number that is not blocked: each blocked number up to it moves it on by one
-    free = F.aggregate(F.coalesce("blocked", F.array().cast("array<int>")), nth, lambda n, b: F.when(b <= n, n + 1).otherwise(n))
-    return rows.withColumn("name", F.when(nth == 0, F.col("base")).otherwise(F.concat_ws("_", "base", free.cast("string")))).drop("_low", "_place", "blocked", "used")
+        used = taken.select("folder", F.lower("name").alias("low")).distinct()
+        names = names.unionByName(used)
+        queue = mine.unionByName(used.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    waiting = running(queue, ["folder", "low"], ["kind", "at"], "place").where("kind = 1").select("doc", "folder", "low", (F.col("place") - 1).alias("v"))
+    form = r"(?s)^(.*)_([1-9]\d{0,8})$"
+    ended = names.where(F.col("low").rlike(form)).distinct()
+    numbers = ended.select("folder", F.regexp_extract("low", form, 1).alias("low"), F.regexp_extract("low", form, 2).cast("long").alias("b"))
+    blocked = running(numbers, ["folder", "low"], ["b"], "i").select("folder", "low", (F.col("b") - F.col("i") + 1).alias("v"))
+    points = waiting.withColumn("kind", F.lit(1)).unionByName(blocked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    swept = running(points, ["folder", "low"], ["v", "kind"], "below", 1 - F.col("kind")).where("kind = 1")
+    name = F.when(F.col("v") == 0, F.col("doc.base")).otherwise(F.concat(F.col("doc.base"), F.lit("_"), (F.col("v") + F.col("below")).cast("string")))
+    return swept.select("doc.*", name.alias("name"))
 
 
 def completed_fields(fields: Column, registry: dict, type_: str) -> Column:

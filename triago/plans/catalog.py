@@ -128,10 +128,10 @@ def review_routing(spark, sf_dir):
     return filing.routed(rows, REGISTRY).select("doc_id", "type", "reason", "folder")
 
 
-@query(f"""WITH {_SCORED} SELECT category, count(*) AS documents, sum(length(text))::BIGINT AS pages, count(*) FILTER (WHERE verdict = 'clear')::DOUBLE AS seconds
+@query(f"""WITH {_SCORED} SELECT category, count(*) AS documents, sum(greatest(1, ceil(length(text) / 3000.0)))::BIGINT AS pages, count(*) FILTER (WHERE verdict = 'clear')::DOUBLE AS seconds
     FROM w JOIN documents USING (doc_id) GROUP BY category""")
 def batch_summary(spark, sf_dir):
-    rows = _analysed(spark, sf_dir).select(F.col("rule_category").alias("category"), F.length("text").cast("long").alias("pages"), (F.col("rule_verdict") == "clear").cast("double").alias("seconds"))
+    rows = _analysed(spark, sf_dir).select(F.col("rule_category").alias("category"), F.greatest(F.lit(1), F.ceil(F.length("text") / 3000.0)).cast("long").alias("pages"), (F.col("rule_verdict") == "clear").cast("double").alias("seconds"))
     return filing.batch_summary(rows, "category")
 
 
@@ -180,13 +180,20 @@ def truncate_prompt(spark, sf_dir):
 _EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+"
 
 
-@query(f"""SELECT doc_id, regexp_matches(text, '{_EMAIL}') AS had_email, 'Contact ' || CASE doc_id % 3 WHEN 0 THEN '[MASQUÉ]' WHEN 1 THEN 'source ' || source ELSE '' END || ', tel ' ||
+_LETTER = r"[\p{L}\p{M}\p{Nd}\p{Pc}-]"
+#: The masks that texts of ``documents`` can meet, without look-around: e-mails, long numbers, card numbers.
+_MASKED = "text"
+for _pattern in (rf"(?:{_LETTER}|[.+])+@{_LETTER}+(?:\.{_LETTER}+)+", r"[0-9](?: ?[0-9]){7,}", r"\b[A-Za-z]{1,2}[0-9]{5,}\b", r"\b[A-Z]{1,2} [0-9]{5,}\b"):
+    _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', '{fixed.MASK}', 'g')"
+
+
+@query(f"""SELECT doc_id, regexp_matches(text, '{_EMAIL}') AS had_email, {_MASKED} || chr(10) || 'Contact ' || CASE doc_id % 3 WHEN 0 THEN '[MASQUÉ]' WHEN 1 THEN 'source ' || source ELSE '' END || ', tel ' ||
     CASE WHEN doc_id % 2 = 0 THEN '[MASQUÉ]' ELSE doc_id % 1000 || ' DH' END AS masked FROM documents""")
 def mask_text(spark, sf_dir):
     k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
     who = F.when(k == 0, F.concat(F.lit("n"), n, F.lit("@exemple.ma"))).when(k == 1, F.concat(F.lit("source "), F.col("source"))).otherwise("")
     call = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("06 "), F.lpad((F.col("doc_id") % 10**8).cast("string"), 8, "0"))).otherwise(F.concat((F.col("doc_id") % 1000).cast("string"), F.lit(" DH")))
-    made = F.concat(F.lit("Contact "), who, F.lit(", tel "), call)
+    made = F.concat(F.col("text"), F.lit("\nContact "), who, F.lit(", tel "), call)
     return _documents(spark, sf_dir).select("doc_id", F.col("text").rlike(_EMAIL).alias("had_email"), masking.mask_text(made).alias("masked"))
 
 
@@ -453,11 +460,11 @@ def page_ocr_merge(spark, sf_dir):
     return rows.select("doc_id", "m.text", F.get("m.alerts", F.lit(0)).alias("alert"))
 
 
-@query("SELECT doc_id, round((doc_id % 4) / (doc_id % 4 + doc_id % 3 + 1.0), 4)::DOUBLE AS arabic_share, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_lines, CASE WHEN doc_id % 5 <> 0 THEN round(0.5 + (doc_id % 6) / 10.0, 4)::DOUBLE END AS ocr_mean, (CASE WHEN doc_id % 5 = 0 OR doc_id % 6 > 3 THEN 0 ELSE 1 END)::INT AS ocr_below FROM documents")
+@query(r"SELECT doc_id, round((doc_id % 4 + length(regexp_replace(text, '[^\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]', '', 'g'))) / (doc_id % 4 + doc_id % 3 + 1.0 + length(regexp_replace(text, '[^\p{L}]', '', 'g'))), 4)::DOUBLE AS arabic_share, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::INT AS ocr_lines, CASE WHEN doc_id % 5 <> 0 THEN round(0.5 + (doc_id % 6) / 10.0, 4)::DOUBLE END AS ocr_mean, (CASE WHEN doc_id % 5 = 0 OR doc_id % 6 > 3 THEN 0 ELSE 1 END)::INT AS ocr_below FROM documents")
 def quality_signals(spark, sf_dir):
     docs, scans = _paged(spark, sf_dir)
     rows = ocr.with_ocr(docs, scans)
-    letters = F.concat(F.expr("repeat('س', cast(doc_id % 4 as int))"), F.lit(" 12 "), F.expr("repeat('é', cast(doc_id % 3 + 1 as int))"))
+    letters = F.concat(F.col("text"), F.expr("repeat('س', cast(doc_id % 4 as int))"), F.lit(" 12 "), F.expr("repeat('é', cast(doc_id % 3 + 1 as int))"))
     shifted = F.transform(ocr.confidences(F.col("ocr")), lambda x: x + (F.col("doc_id") % 6) / 10)
     return rows.select("doc_id", classify.signals(letters, shifted).alias("s")).select("doc_id", "s.*")
 

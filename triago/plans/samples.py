@@ -62,7 +62,9 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.when(v == 3, "T0taI HT :").otherwise("Total HT :"), money(F.col("net"))), tax_lines,
         F.concat(F.when(v == 5, "Net à payer :").when(v == 3, "Tota1 TTC :").otherwise("Total TTC :"), money(gross)),
     )
-    return invoice_facts(spark, sf_dir).select("doc_id", F.concat(F.lit("scan_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), text.alias("text"))
+    # a few numbers stand for a document that takes long to read, so they are not gathered into few tasks by their bytes
+    facts = invoice_facts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "variant")
+    return facts.select("doc_id", F.concat(F.lit("scan_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), text.alias("text"))
 
 
 #: The same facts in SQL: net, tax and gross straight from the relational columns.
