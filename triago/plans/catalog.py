@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triago import fixed
 from triago.functions import masking, naming, text, values
-from triago.operators import classify, engine, extract, filing, review
+from triago.operators import classify, engine, extract, filing, pattern_index, review
 from triago.plans import batch
 from triago.plans.samples import FACTS_SQL, REGISTRY, invoice_facts, invoices, table
 from triago.sources import journal, ocr
@@ -135,6 +135,24 @@ def batch_summary(spark, sf_dir):
     return filing.batch_summary(rows, "category")
 
 
+_PLACES = (1, 21, 41, 61, 81)
+_MADE = "SELECT DISTINCT words[k] AS a, words[k + 1] AS b FROM (SELECT regexp_extract_all(t, '[a-z]+') AS words FROM d) CROSS JOIN (VALUES (1), (21), (41), (61), (81)) AS v(k) WHERE words[k + 1] IS NOT NULL"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_FOLD.format("coalesce(text, '')")} AS t FROM documents), p AS ({_MADE}),
+    w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[0-9a-z_ß]+')) AS word FROM d),
+    m AS (SELECT d.doc_id, '\\b' || a || '\\s+' || b || '\\b' AS pattern FROM w JOIN p ON word = a JOIN d ON d.doc_id = w.doc_id WHERE contains(t, b) AND regexp_matches(t, '(^|[^0-9a-z_ß])' || a || '\\s+' || b || '([^0-9a-z_ß]|$)'))
+    SELECT doc_id, count(*) AS patterns, min(pattern) AS first, sum(length(pattern))::BIGINT AS chars FROM m GROUP BY doc_id""")
+def large_registry(spark, sf_dir):
+    """Some five thousand patterns for each thousand documents: two words, one after the other, made of words of the documents."""
+    docs = _documents(spark, sf_dir)
+    words = docs.select(F.regexp_extract_all(text.fold(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.array(*(F.struct(F.get("w", F.lit(k - 1)).alias("a"), F.get("w", F.lit(k)).alias("b")) for k in _PLACES))).alias("p")).where("p.b is not null")
+    patterns = pairs.select(F.concat(F.lit(r"\b"), "p.a", F.lit(r"\s+"), "p.b", F.lit(r"\b")).alias("pattern"))
+    found = pattern_index.matched(docs, patterns)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("patterns"), F.min("pattern").alias("first"), F.sum(F.length("pattern")).cast("long").alias("chars"))
+
+
 # --- texts
 
 
