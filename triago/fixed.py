@@ -19,6 +19,7 @@ TRUNCATED = "\n[... texte tronque ...]"
 PATH_MAX, COMPONENT_MAX, DUPLICATE_ROOM, BASE_MIN = 259, 255, 4, 8
 NEXT_LINE_DATE_CHARS = 40
 RETENTION_DAYS = 7
+OCR_PAGE_SECONDS = 60
 TOLERANCE = "0.01"
 
 # Folders and names.
