@@ -77,3 +77,22 @@ def test_duplicates_and_known_contents(spark):
     assert [r._sha for r in filing.unprocessed(files, done).collect()] == [5]
     assert filing.unprocessed(files, done).columns == files.columns
     assert filing.unprocessed(files, done.limit(0)).count() == 5 and filing.unprocessed(files.limit(0), done).count() == 0
+
+
+def test_runs_of_workers_equal_a_plain_walk(spark):
+    from triago.sources.ocr import worker_runs
+
+    rng = random.Random(3)
+    rows = [(rng.choice(("r1", "r1", None)), rng.choice(("a", "b", None)), rng.choice((None, 10, 50)), i) for i in range(200)]
+    wanted, last, place = [], {}, {}
+    for run, worker, memory, _ in rows:
+        place[run] = place.get(run, 0) + 1
+        if run not in last or last[run][1] != worker:
+            last[run] = [run, worker, place[run], 0, None]
+            wanted.append(last[run])
+        last[run][3] += 1
+        last[run][4] = max((m for m in (last[run][4], memory) if m is not None), default=None)
+    pages = spark.createDataFrame(rows, "run string, worker string, memory_mb int, at int").selectExpr("*", "'x' AS place", "'y' AS own", "1 AS memory").repartition(4)
+    got = worker_runs(pages, ["at"])
+    assert sorted(map(str, ([r.run, r.worker, r.start, r.pages, r.peak_mb] for r in got.collect()))) == sorted(map(str, wanted))
+    assert worker_runs(pages.limit(0), ["at"]).count() == 0

@@ -431,6 +431,14 @@ def last_event_by_run(spark, sf_dir):
     return journal.last_events(events, ["event.horodatage", "event.event_id"], "purchase").select("run", "event.event_id")
 
 
+@query("""WITH e AS (SELECT user_id % 10 AS run, 'w' || (event_id // 7) % 3 AS worker, value, ts, event_id FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS place, row_number() OVER (PARTITION BY run, worker ORDER BY ts, event_id) AS own FROM e)
+    SELECT run, worker, min(place) AS start, count(*) AS pages, max(value) AS peak_mb FROM n GROUP BY run, worker, place - own""")
+def worker_restarts(spark, sf_dir):
+    pages = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("run"), F.concat(F.lit("w"), (F.floor(F.col("event_id") / 7) % 3).cast("string")).alias("worker"), F.col("value").alias("memory_mb"), "ts", "event_id")
+    return ocr.worker_runs(pages, ["ts", "event_id"])
+
+
 @query("""SELECT sha, decision FROM (SELECT sha256(text) AS sha, 'd' || doc_id AS decision, row_number() OVER (PARTITION BY text ORDER BY doc_id % 7 DESC, 'd' || doc_id DESC) AS k FROM documents) WHERE k = 1""")
 def latest_state(spark, sf_dir):
     state = _documents(spark, sf_dir).select(filing.fingerprint(F.col("text")).alias("sha"), F.timestamp_seconds(F.col("doc_id") % 7).alias("date"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("decision"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from triago import fixed
 from triago.functions.text import java, lines_of, needs_ocr
 from triago.operators.extract import LINE
+from triago.operators.prefix import running
 
 NATIVE, SCAN = "texte", "OCR requis"
 PAGES = (
@@ -96,3 +97,16 @@ def lot_summary(pages: DataFrame) -> DataFrame:
 def upright(pages: DataFrame) -> DataFrame:
     """Pages read upside down, with their lines turned back into reading order."""
     return pages.withColumn("lines", F.when(F.col("orientation") == 180, F.reverse("lines")).otherwise(F.col("lines")))
+
+
+def worker_runs(pages: DataFrame, order: list[str], run: str = "run", worker: str = "worker", memory: str = "memory_mb") -> DataFrame:
+    """(run, worker, start, pages, peak_mb): the stretches in which one worker read a run's pages, in the order of ``order``; each
+    but a run's first is a restart. Null runs and workers are ones like others, null memory counts for no peak.
+
+    A page's place in the run less its place among its worker's pages is the same along a stretch and differs between a
+    worker's stretches. Both places are running sums over ranges, so a run may have any number of pages.
+    """
+    rows = pages.select(F.col(run).alias("run"), F.col(worker).alias("worker"), F.col(memory).alias("memory"), F.struct(*order).alias("at"))
+    placed = running(running(rows, ["run"], ["at"], "place"), ["run", "worker"], ["at"], "own")
+    runs = placed.groupBy("run", "worker", (F.col("place") - F.col("own")).alias("gap")).agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("pages"), F.max("memory").alias("peak_mb"))
+    return runs.drop("gap")
