@@ -100,6 +100,8 @@ def loss_text(turns: Column, role: str = "assistant") -> Column:
 
 
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each conversation and one for the probe, -7, which an empty table has too. Null texts are empty ones; ties of
+    turns and null ids are as ``format_conversations`` tells; other columns are not read."""
     probe = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{PROBE}'), (-7L, 1L, 'assistant', '{PROBE}') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     chats = format_conversations(rows).withColumn("loss", loss_text(F.col("turns")))

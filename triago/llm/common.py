@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triago.shared import shared_dir, written
+
+__all__ = ["SPACE_CLASS", "WORD", "crc_mod", "let", "release_memory", "shared_dir", "table", "tasks", "written"]
+
 #: White space is 0x20 and 0x09-0x0D; everything else belongs to words.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
@@ -19,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder for one run's files, below the cluster's ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, single machine) a local temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="triago-"))
-        base = context.getCheckpointDir()
-    out = f"{base.rstrip('/')}/triago-{uuid.uuid4().hex}"
-    path = context._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return fs.makeQualified(path).toString()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read back: its lineage ends there, so a lost executor
-    costs a re-read and not a recomputation, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tasks(df: DataFrame) -> int:
     """The session's number of shuffle partitions: for rows that stand for much more work than their bytes show, and so
     must not be gathered into few tasks by size."""

@@ -174,6 +174,9 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def op6_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each documents row. Texts that are null or have no letter are ``und``; null ids and langs teach nothing,
+    repeated rows are predicted alike; without anything learnt all are ``und``, and an empty table gives an empty result. Other
+    columns are not read."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     return predicted(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

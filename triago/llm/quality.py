@@ -151,6 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ranki
 
 
 def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each documents row. Null and empty texts score as texts without words, null ids are not held out and teach
+    nothing, ids whose labels differ teach nothing, repeated rows score alike; without labels of both kinds all score 0.5, and
+    an empty table gives an empty result. lang, source and other columns are not read."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ranking = train(docs.where(crc_mod(F.col("doc_id"), 5) != 0), labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     held_out = (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out")

@@ -223,5 +223,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
 
 
 def op5_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each documents row; see ``judge``. Null and empty texts have no word and fail the base rules, repeated rows are
+    judged alike, without labels only the base rules count, an empty table gives an empty result; other columns are not read."""
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")

@@ -36,9 +36,9 @@ from triago.llm.common import release_memory, shared_dir, table
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent parts that a worker keeps the ids of, the longest it keeps, in characters, and how many it has encoded in one call.
-KEPT, KEPT_CHARS, TOGETHER = 1_000_000, 64, 5000
+KEPT, KEPT_CHARS, TOGETHER = 400_000, 64, 2000
 #: Bytes of texts that are worked on at once, if they are several.
-CHARS = 8_000_000
+CHARS = 4_000_000
 #: Partitions whose starts are added up together; then these sums are.
 BLOCK = 1024
 SCHEMA = "doc_id long, n_tokens int, part int, before long, ids array<int>"
@@ -114,7 +114,9 @@ class Encoder:
 def gathered(sizes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The ids at the given places of a list of parts, of which ``ids`` holds all, one after another."""
     starts, wanted = np.cumsum(sizes) - sizes, sizes[places]
-    return ids[np.repeat(starts[places] - (np.cumsum(wanted) - wanted), wanted) + np.arange(wanted.sum())]
+    at = np.repeat((starts[places] - (np.cumsum(wanted) - wanted)).astype(np.int32), wanted)  # slices of text are far below 2^31 ids
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -162,7 +164,8 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
                 columns = [rows.column(0), pa.array((sizes + 1).astype(np.int32)), pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(before + ends - sizes - 1), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "part", "before", "ids"])
                 before += int(ends[-1])
-        release_memory()
+                del found, ids, columns
+                release_memory()
 
     return ranged.mapInArrow(task, SCHEMA)
 

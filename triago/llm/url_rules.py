@@ -82,6 +82,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", slices: in
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each pages row; null urls have an empty host and path and are allowed, repeated rows and null ids give their
+    own, an empty table gives an empty result; other columns are not read."""
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES) + " AS r(host, path, verdict)")
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
