@@ -36,9 +36,9 @@ from triago.llm.common import release_memory, shared_dir, table
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent parts that a worker keeps the ids of, the longest it keeps, in characters, and how many it has encoded in one call.
-KEPT, KEPT_CHARS, TOGETHER = 650_000, 64, 2000
+KEPT, KEPT_CHARS, TOGETHER = 400_000, 64, 2000
 #: Bytes of texts that are worked on at once, if they are several.
-CHARS = 6_000_000
+CHARS = 4_000_000
 #: Partitions whose starts are added up together; then these sums are.
 BLOCK = 1024
 SCHEMA = "doc_id long, n_tokens int, part int, before long, ids array<int>"
