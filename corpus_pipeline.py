@@ -48,8 +48,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near-duplicates the document with the smallest id stays. Groups are the components of the SimHash
+    index; pairs at a Jaccard similarity that fingerprints are too far apart for join them."""
+    return simhash.one_of_each(docs, linked=simhash.linked_nodes)
 
 
 @small_batches

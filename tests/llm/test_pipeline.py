@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from test_simhash import brute_components
 
 import corpus_pipeline
-from triago.llm import positions, registry
+from triago.llm import near_copies, positions, registry, simhash
 from triago.llm.common import written
 
 
@@ -44,6 +47,28 @@ def test_stages_leave_columns_of_any_name_alone_and_take_empty_tables(spark, tmp
         assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == (0 if k else 2 * docs.count() - docs.where("coalesce(text, '') = ''").count())
 
 
+def test_near_duplicates_are_components_of_fingerprints_and_of_similar_texts(spark, tmp_path):
+    """Fingerprints count repeats and link texts whose sets of shingles are far apart; edited blocks are the other way round.
+    Groups run through links of both kinds."""
+    rng, texts = random.Random(21), {}
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    for i in range(12):
+        a, tails = words(300), [words(30), words(30)]
+        b = a[:100] + words(20) + a[120:]
+        c = words(11) * 100
+        members = [a, b, c + tails[0], c + tails[1], b + (b[:50] + words(8)) * 2]
+        texts |= {100 * i + k: " ".join(x) for k, x in enumerate(rng.sample(members, len(members)))}
+    fps = {i: simhash.fingerprint(simhash.split_words(t)) for i, t in texts.items()}
+    sets = {i: set(near_copies._distinct(t, 5).tolist()) for i, t in texts.items()}
+    both = [(i, j) for i in texts for j in texts if i < j]
+    near = {(i, j) for i, j in both if bin(fps[i] ^ fps[j]).count("1") <= 3}
+    similar = {(i, j) for i, j in both if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near - similar) > 5 and len(similar - near) > 5
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(near | similar, texts).values()))
+
+
 def test_run_on_an_empty_table(spark, tmp_path, no_docs):
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

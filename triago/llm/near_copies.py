@@ -24,7 +24,7 @@ are compared with the whole list. A link is always a verified pair, so none stan
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, s
     return written(pairs.where(shared >= similarity * (F.size("u_set") + F.size("v_set") - shared)).select("u", "v"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, linked: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` less near-duplicates: of each group one row stays, all columns kept.
 
     Rows are linked if the sets of their shingles of ``words`` words have a Jaccard similarity of ``similarity`` or more,
@@ -177,6 +177,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     smallest doc_id stays (null ids come last, repeated ids by file and order in it). Null and blank texts are equal to
     each other. An empty table stays empty; other columns may have any names.
 
+    ``linked`` makes of the rows and the nodes (at, node) a table (node, root) of nodes that another method links, each with
+    the least of its group: these links count like those by similarity, and groups are the parts connected by both.
+
     Texts are never shuffled: rows are known by their position, and both the texts to compare and the rows to keep are
     picked out where they are read. What is shuffled is a few numbers for each row, a hash for each distinct shingle of
     each text once, and from then on the shingles of texts that may have a partner.
@@ -186,9 +189,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(FILE).alias("file"), F.col(INDEX).alias("index"))
     marked = rows.select(at.alias("at"), same_words("text").alias("same"))
     nodes = written(marked.groupBy("same.a", "same.b").agg(F.min("at").alias("at")).select("at", F.monotonically_increasing_id().alias("node")))
+    roots = linked(rows, nodes) if linked else None
     sets = hash_sets(rows, placed(nodes), words)
     entries = _pruned(sets.select(F.explode("hashes").alias("shingle"), "node", F.size("hashes").alias("n"), F.col("node").alias("part")), similarity)
-    lists, roots = _lists(entries, similarity), None
+    if roots is not None:
+        entries = _pruned(_joined(entries, roots), similarity)
+    lists = _lists(entries, similarity)
     while True:
         tried = written(_hubs(lists, similarity))
         met = _verified(tried, rows, nodes, words, similarity)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from triago.llm.common import release_memory, table, written
 from triago.llm.components import components
 from triago.llm.near_copies import one_of_each as one_of_each
+from triago.llm.near_copies import placed
+from triago.llm.positions import finder, for_found
 from triago.llm.shingles import SEED, shingles, split_words
 
 BLOCK = 4096
@@ -143,6 +145,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return marked.join(named, "fp").select(key, "fp", "component_id")
 
 
+def linked_nodes(rows: DataFrame, nodes: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
+    """(node, root): nodes of ``near_copies`` by the components of their fingerprints, each with the least node of its own;
+    roots themselves have no row. Texts are read where they lie; a node and its fingerprint are what is shuffled."""
+
+    def make(values: np.ndarray, texts: list) -> pd.DataFrame:
+        out = pd.DataFrame({"node": values - 1, "fp": np.array([fingerprint(split_words(t), words) for t in texts], dtype=np.uint64).view(np.int64)})
+        release_memory()
+        return out
+
+    marked = written(for_found(rows, finder(placed(nodes)), "text", make, "node long, fp long"))
+    distinct = written(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    parts = components(links(distinct.select("fp"), max_bits, 8 - max_bits)).select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    parted = written(distinct.join(parts, "fp", "left").select("fp", "first", F.coalesce("part", "fp").alias("part")))
+    least = parted.groupBy("part").agg(F.min("first").alias("root"))
+    return written(marked.join(parted.join(least, "part").select("fp", "root"), "fp").where("node <> root").select("node", "root"))
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``near_duplicates`` of all documents, a row for each of theirs; its docstring tells what nulls, repeated rows and
     empty tables give."""
