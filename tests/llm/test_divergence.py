@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from triago.llm import divergence
@@ -84,6 +86,37 @@ def test_audit_equals_brute_force(spark, monkeypatch, shard, block, sources, min
     assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == brute(rows, min_docs, 10)
 
 
+def test_a_task_holds_few_counts_whatever_its_batches(spark, monkeypatch):
+    """One batch of many distinct terms: they are handed on in small parts, and what is held at once is bounded."""
+    monkeypatch.setattr(divergence, "HELD", 2_000)
+    monkeypatch.setattr(divergence, "OUT", 500)
+    tasks = []
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):
+            tasks.append(task)
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26**k % 26] for k in range(5))
+    texts = [" ".join(["the", *(name(20 * i + j) for j in range(20))]).encode() for i in range(8_000)]
+    divergence.counted(Docs())
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 8_000, "source": [f"s{i % 3}" for i in range(8_000)], "text": pa.array(texts, pa.binary())})
+    found, seen = Counter(), 0
+    tracemalloc.start()
+    for out in tasks[0](iter([batch])):
+        assert out.num_rows <= 500
+        seen += 1
+        for source, term, n in zip(*(out.column(c).to_pylist() for c in ("source", "term", "n")), strict=True):
+            if term == "the":
+                found[source] += n
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000 and seen > 300
+    tracemalloc.stop()
+    assert found == Counter(f"s{i % 3}" for i in range(8_000))
+
+
 def test_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
     odd_docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
     got = divergence.op12_source_divergence(spark, str(tmp_path / "a")).collect()

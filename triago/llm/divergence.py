@@ -18,12 +18,14 @@ All arithmetic is in whole numbers of up to 64 bits.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -34,39 +36,58 @@ from triago.llm.common import release_memory, table, tasks, written
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 SCALE = 1_000_000_000
 MIN_DOCS, TOP = 10, 10
-#: Counts a task holds before it hands them on, terms of a shard, and groups of a block.
-HELD, SHARD, BLOCK = 300_000, 1 << 14, 4
+#: Counts a task holds before it hands some on, terms of a shard, and groups of a block.
+HELD, SHARD, BLOCK = 400_000, 1 << 14, 4
+#: Occurrences of a rare term, counts that a group stands for, rows read at once, and counts handed on at once.
+RARE, GROUP, SLICE, OUT = 2, 8, 256, 20_000
 KEYS = ("lang", "source")
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, added up within tasks, so not yet one row for each key.
-    A document without terms gives its group a row of the term null."""
+    A document without terms gives its group a row of the term null. A task that holds HELD counts hands on those of rare
+    terms, a few at a time, and goes on adding to the others while they are at most half of HELD."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def rows() -> pd.DataFrame:
-            parts = [pd.DataFrame({"term": [None], "lang": [lang], "source": [source], "n": 0, "docs": 0}) for lang, source in held]
-            for (lang, source), (n, docs) in held.items():
-                parts.append(pd.DataFrame({"term": [t.decode("utf-8", "replace") for t in n], "lang": lang, "source": source, "n": list(n.values()), "docs": [docs[t] for t in n]}))
-            held.clear()
-            return pd.concat(parts)[["lang", "source", "term", "n", "docs"]]
-
+        def rows(lang: str, source: str, terms: list, n: list, docs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+
+        def handed(most: float) -> Iterator[pa.RecordBatch]:
+            """Counts of terms that occurred ``most`` times at most leave, and groups that have none left."""
+            for (lang, source), (n, docs) in list(held.items()):
+                gone = [t for t, k in n.items() if k <= most]
+                for at in range(0, len(gone), OUT):
+                    some = gone[at : at + OUT]
+                    yield rows(lang, source, [t.decode("utf-8", "replace") for t in some], [n.pop(t) for t in some], [docs.pop(t) for t in some])
+                if not n:
+                    yield rows(lang, source, [None], [0], [0])
+                    del held[lang, source]
+
+        size = 0
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                terms = text.translate(FOLD).split()
-                n.update(terms)
-                docs.update(set(terms))
-            if sum(len(n) for n, _ in held.values()) > HELD:
-                yield rows()
-        if held:
-            yield rows()
+            for at in range(0, batch.num_rows, SLICE):
+                for lang, source, text in zip(*(batch.column(c).slice(at, SLICE).to_pylist() for c in (*KEYS, "text")), strict=True):
+                    if (lang, source) not in held:
+                        held[lang, source] = Counter(), Counter()
+                        size += GROUP
+                    n, docs = held[lang, source]
+                    terms, before = text.translate(FOLD).split(), len(n)
+                    n.update(terms)
+                    docs.update(set(terms))
+                    size += len(n) - before
+                    if size > HELD:
+                        for most in (RARE, math.inf):
+                            if 2 * size > HELD:
+                                yield from handed(most)
+                                size = sum(GROUP + len(n) for n, _ in held.values())
+                        release_memory()
+        yield from handed(math.inf)
         release_memory()
 
     empty = F.lit("")
-    return docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).cast("binary").alias("text")).mapInPandas(task, "lang string, source string, term string, n long, docs long")
+    return docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).cast("binary").alias("text")).mapInArrow(task, "lang string, source string, term string, n long, docs long")
 
 
 def packed(values: np.ndarray) -> bytes:
