@@ -36,6 +36,25 @@ def test_parts_give_the_ids_of_whole_texts(library, monkeypatch):
         assert got == wanted
 
 
+def test_parts_with_signs_and_cases_are_learned_once(library, monkeypatch):
+    """Words apart from the signs at them and without regard to ASCII case, many in one text for the library."""
+    asked = []
+    monkeypatch.setattr(token_files, "TOGETHER", 50)
+    encode = token_files.Encoder(VOCABULARY)
+
+    class Library:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encode.library = Library()
+    texts = [" ".join(f"{w}{end}" for w in ("Word", "word", "WORD", "x1", "don't", "DON'T") for end in ("", ".", ",", "!!", "$$$", ";:", ")")), "<|ENDOFTEXT|> <|endoftext|> a<|endoftext|>b <|endoftext|", "J\u030c j\u030c I\u0307 word\u0301, É. 5%", "x,\u0301 a.b 3.14 it's, 's' A<B a>\u0338", ""]
+    sizes, ids = encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(t.lower().count("word") for t in asked) == 2  # one of them with an accent
+    assert len(asked) < 50
+
+
 def test_chunks_hold_each_text_once():
     assert [(s.start, s.stop) for s in token_files.chunks([0, 5, 3, 10, 25, 1, 0], 10)] == [(0, 3), (3, 4), (4, 5), (5, 7)]
     assert list(token_files.chunks([])) == []
