@@ -1,4 +1,5 @@
 import math
+import sys
 from collections import Counter
 from itertools import permutations
 
@@ -87,3 +88,22 @@ def test_query_and_last_stage_return_the_ids(spark, tmp_path, odd_docs, vocab):
     for found in (segment.op8_gumbel_segments(spark, str(tmp_path)), corpus_pipeline.encode_pieces(spark, docs, str(tmp_path))):
         assert dict(found.dtypes)["ids"] == "array<int>"
         assert Counter(segment.decode(np.array(r.ids), vocab) for r in found.where("sample = 1").collect()) == texts
+
+
+def test_distinct_segments_cost_no_python_calls(vocab):
+    """Segments are told apart and put together in whole batches: 20,000 different words don't take a call each."""
+    text, calls = " ".join(f"w{i}" for i in range(20_000)), Counter()
+    segment.top_k(["a first call imports modules"], [1], vocab, 2)
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        (found,) = segment.top_k([text], [1], vocab, 2)
+    finally:
+        sys.setprofile(None)
+    assert segment.decode(found[1][0], vocab) == text and calls["call"] < 10_000
+
+
+def test_chances_of_long_segments_of_rare_characters(vocab):
+    """Sums of weights neither vanish nor overflow where each character weighs 1e-12."""
+    (found,) = segment.top_k(["\U00010348" * 500], [1], vocab, 2)
+    assert len(found) == 1 and len(found[0][0]) == 2001 and found[0][1] == pytest.approx(0, abs=1e-6)
+    assert segment.top_k([], [], vocab, 2) == []

@@ -20,24 +20,24 @@ The model file holds merges in order of rank and no probabilities; a piece of ra
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triago.llm.common import release_memory, table
 
-SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 BATCH_CHARS = 1_500_000
-SLOT_BITS = 20
+#: Characters whose drawn pieces are put together at once.
+OUT_CHARS = 100_000
+SLOT_BITS = 18
 BELOW_ONE = np.nextafter(np.float32(1), np.float32(0))
-_STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_STEP, _MIX, _PLACE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D
 U64 = np.uint64
 
 
@@ -64,18 +64,22 @@ class Vocabulary:
         self.rare = self.theta * math.log(1e-6)  # a byte of a character outside the vocabulary
         self.logs = self.theta * weight
         self.logs[self.byte_ids] = self.rare
-        self.with_none, self.low = np.append(self.logs, -np.inf), np.array(self.byte_ids[:128])
+        self.weights, self.low = np.exp(self.logs), np.array(self.byte_ids[:128])
         self.decoded = [b"" if p is None else p.encode() for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             self.decoded[i] = bytes([b])
+        self.raw = np.frombuffer(b"".join(self.decoded), dtype=np.uint8)
+        self.raw_size = np.fromiter(map(len, self.decoded), dtype=np.int64, count=n)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.longest = max(len(p) for p in self.pieces if p)
         ids = np.array([i for i in range(n) if self.pieces[i]])
         keys = np.array([self.key(self.pieces[i]) for i in ids], dtype=U64)
-        self.tables, self.key_of = [], np.append(np.zeros(n, dtype=U64), U64(0))
+        keys *= U64(_MIX)
+        self.tables, self.key_of = [], np.zeros(n + 1, dtype=U64)
         self.key_of[ids] = keys
         shift = 64 - SLOT_BITS
         while len(ids):  # a piece whose slot is taken goes to the next table
-            slots = ((keys * U64(_MIX) >> U64(shift)) & U64((1 << SLOT_BITS) - 1)).astype(np.int64)
+            slots = ((keys >> U64(shift)) & U64((1 << SLOT_BITS) - 1)).view(np.int64)
             _, first = np.unique(slots, return_index=True)
             own = np.full(1 << SLOT_BITS, n, dtype=np.int32)
             own[slots[first]] = ids[first]
@@ -83,6 +87,7 @@ class Vocabulary:
             rest = np.ones(len(ids), dtype=bool)
             rest[first] = False
             ids, keys, shift = ids[rest], keys[rest], shift - 7
+        self.taken = self.tables[0][1] < n
 
     @staticmethod
     def key(piece: str) -> int:
@@ -91,16 +96,20 @@ class Vocabulary:
             k = (k * _STEP + ord(c) + 1) % (1 << 64)
         return k
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Piece ids of hashed strings, -1 where there is none. 64 bits tell 32,000 pieces from other strings."""
-        out = np.full(keys.shape, -1, dtype=np.int32)
-        mask = U64((1 << SLOT_BITS) - 1)
-        mixed = keys * U64(_MIX)
-        for shift, own in self.tables:
-            found = own[((mixed >> U64(shift)) & mask).astype(np.int64)]
-            hit = (self.key_of[found] == keys) & (found < len(self.pieces))
-            out[hit] = found[hit]
-        return out
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys times ``_MIX`` are those of pieces, and their ids. 64 bits tell 32,000 pieces from other strings."""
+        keys = keys.ravel()
+        shift, own = self.tables[0]
+        slots = (keys >> U64(shift)).view(np.int64)
+        at = np.flatnonzero(self.taken[slots])  # only a taken slot sends a piece to the next table
+        ids, keys = own[slots[at]], keys[at]
+        hit = self.key_of[ids] == keys
+        for shift, own in self.tables[1:]:
+            rest = np.flatnonzero(~hit)
+            ids[rest] = own[((keys[rest] >> U64(shift)) & U64((1 << SLOT_BITS) - 1)).view(np.int64)]
+            hit[rest] = self.key_of[ids[rest]] == keys[rest]
+        hit &= ids < len(self.pieces)
+        return at[hit], ids[hit]
 
 
 def load(path: str, theta: float = 0.5) -> Vocabulary:
@@ -115,63 +124,78 @@ def load(path: str, theta: float = 0.5) -> Vocabulary:
 
 @dataclass
 class Lattice:
-    """The lattices of several segments of one length: for each end position and length of the last piece, its id (-1:
-    none, below -1: a character outside the vocabulary) and the summed chances of lengths up to it."""
+    """The lattices of several segments of one length: for each length of the last piece, end position and segment the
+    piece's id (-1: none, below -1: a character outside the vocabulary), and from 0 on the summed chances of lengths
+    below and, one row on, up to it."""
 
     ids: np.ndarray
     cum: np.ndarray
-    rough: np.ndarray  # cum in single precision, a row of 8 or 16 for each segment and end position
+    rough: np.ndarray  # sums up to each length in single precision, a row of 8 or 16 for each end position and segment
     total: np.ndarray
 
 
 def lattice(codes: np.ndarray, vocab: Vocabulary) -> Lattice:
-    """Forward sums over the lattices of segments (rows) of one length. Positions come first in the working arrays, so
-    that every step runs along contiguous segments."""
+    """Forward sums over the lattices of segments (rows) of one length. Segments come last in the arrays, so that every
+    step runs along them. Sums are of weights, with a common factor taken out every few positions: a character weighs
+    1e-12 at least, and the positions between hold no more than 24."""
     s, n = codes.shape
     most = min(vocab.longest, n)
     codes, step, power = np.ascontiguousarray(codes.T), U64(_STEP), 1
     prefix = np.zeros((n + 1, s), dtype=U64)
     for e in range(n):
         prefix[e + 1] = prefix[e] * step + codes[e] + U64(1)
-    ids = np.full((most, n, s), -1, dtype=np.int32)
+    prefix *= U64(_MIX)
+    ids, cum = np.full((most, n, s), -1, dtype=np.int32), np.zeros((most + 1, n, s))
     for w in range(1, most + 1):
         power = power * _STEP % (1 << 64)
-        ids[w - 1, w - 1 :] = vocab.lookup(prefix[w:] - prefix[:-w] * U64(power))
+        at, found = vocab.found(prefix[w:] - prefix[:-w] * U64(power))
+        ids[w - 1, w - 1 :].reshape(-1)[at] = found
+        cum[w, w - 1 :].reshape(-1)[at] = vocab.weights[found]
     outside = ids[0] < 0
-    logs = vocab.with_none[ids]
     if outside.any():
-        signed = codes.astype(np.int32)
-        ids[0] = np.where(outside, np.where(signed < 0x80, vocab.low[signed & 0x7F], -2 - signed), ids[0])
-        logs[0] = np.where(outside, vocab.rare * (1 + (signed >= 0x80).astype(int) + (signed >= 0x800) + (signed >= 0x10000)), logs[0])
-    best, cum = np.zeros((n + 1, s)), np.ones((most, n, s))
+        own = codes[outside].astype(np.int64)
+        ids[0][outside] = np.where(own < 0x80, vocab.low[own & 0x7F], -2 - own)
+        cum[1][outside] = np.exp(vocab.rare * utf8_size(own))
+    sums, factor = np.ones((n + 1, s)), np.zeros(s)
     for e in range(1, n + 1):
         m = min(most, e)
-        terms = logs[:m, e - 1] + best[e - m : e][::-1]
-        top = terms.max(axis=0)
-        run = np.exp(terms - top)
+        run = cum[1 : m + 1, e - 1]
+        run *= sums[e - m : e][::-1]
         for w in range(1, m):
             run[w] += run[w - 1]
-        best[e] = top + np.log(run[-1])
-        cum[:m, e - 1] = run / run[-1]
-    cum = np.ascontiguousarray(cum.transpose(2, 1, 0))
-    rough = np.full((s * n, 8 if most <= 8 else 16), 2.0, dtype=np.float32)
-    rough[:, :most] = cum.reshape(s * n, most)
-    return Lattice(np.ascontiguousarray(ids.transpose(2, 1, 0)), cum, rough, best[n])
+        sums[e] = run[-1]
+        run /= sums[e]
+        cum[m + 1 :, e - 1] = 1.0
+        if e % 8 == 0:
+            factor += np.log(sums[e])
+            sums[max(0, e - most) : e + 1] /= sums[e].copy()
+    rough = np.full((n, s, 8 if most <= 8 else 16), 2.0, dtype=np.float32)
+    rough[:, :, :most] = cum[1:].transpose(1, 2, 0)
+    return Lattice(ids, cum, rough.reshape(n * s, -1), factor + np.log(sums[n]))
 
 
 def uniforms(seed: np.ndarray, salt: int, at: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes of a row's seed, a salt and a place."""
-    x = seed + U64(salt * 0xD1342543DE82EF95 % (1 << 64)) + at.astype(U64) * U64(0x2545F4914F6CDD1D)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    x = x ^ (x >> U64(31))
-    return ((x >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return _mixed(seed + U64(salt * 0xD1342543DE82EF95 % (1 << 64)) + at.astype(U64) * U64(_PLACE))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    x >>= U64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 1.0 / (1 << 53)
+    return out
 
 
 def uniform(seed: int, salt: int, at: int) -> float:
     """``uniforms`` for one number."""
     m = (1 << 64) - 1
-    x = (seed + salt * 0xD1342543DE82EF95 + at * 0x2545F4914F6CDD1D) & m
+    x = (seed + salt * 0xD1342543DE82EF95 + at * _PLACE) & m
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
     return (((x ^ (x >> 31)) >> 11) + 0.5) / (1 << 53)
@@ -182,70 +206,84 @@ class Batch:
 
     def __init__(self, texts: list[str], seeds: list[int], vocab: Vocabulary):
         self.vocab, self.n = vocab, len(texts)
-        runs = [SEGMENT.findall(" " + t) for t in texts]  # the space stands for the dummy prefix
-        everything = list(chain.from_iterable(runs))
-        words = list(dict.fromkeys(everything))
-        known = dict(zip(words, range(len(words)), strict=True))
-        self.which = np.fromiter(map(known.__getitem__, everything), dtype=np.int64, count=len(everything))
-        self.first = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+        joined = " ".join(["", *texts])  # the space before each text stands for the dummy prefix
+        self.bytes = joined.encode("utf-8", "surrogatepass")
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        self.base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)  # of texts, in characters
+        space, line = codes == 0x20, codes == 0x0A
+        opens = line.copy()
+        opens[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        opens[self.base[:-1]] = True
+        self.start = np.append(np.flatnonzero(opens), len(codes))  # of segments, in characters of the whole batch
+        self.size, self.first = np.diff(self.start), np.searchsorted(self.start, self.base)
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        self.size = lengths[self.which]
-        self.start = np.concatenate([[0], np.cumsum(self.size)])  # of segments, in characters of the whole batch
-        self.base = self.start[self.first]  # of texts
+        in_bytes = np.arange(len(codes) + 1) if len(self.bytes) == len(codes) else np.concatenate([[0], np.cumsum(utf8_size(codes))])
+        self.bytes_base = in_bytes[self.base].tolist()
+        spans = [None, pa.py_buffer(in_bytes[self.start]), pa.py_buffer(self.bytes)]
+        distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.size), spans).dictionary_encode()
+        self.which = distinct.indices.to_numpy().astype(np.int64)
+        head = np.flatnonzero(np.diff(np.maximum.accumulate(self.which), prepend=-1))  # they are numbered as they first come
+        lengths = self.size[head]
         self.seeds = np.array(seeds, dtype=U64)
-        self.group, self.row = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.int64)
+        self.group, self.row = np.zeros(len(head), dtype=np.int64), np.zeros(len(head), dtype=np.int64)
         self.lattices: list[Lattice] = []
         order = np.argsort(lengths, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if known else []:
-            codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), -1)
+        for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(head) else []:
+            own = codes[self.start[head[part]][:, None] + np.arange(lengths[part[0]])]
             self.group[part], self.row[part] = len(self.lattices), np.arange(len(part))
-            self.lattices.append(lattice(codes.astype(U64), vocab))
+            self.lattices.append(lattice(own.astype(U64), vocab))
         offset = np.concatenate([[0], np.cumsum([len(x.total) for x in self.lattices])]).astype(np.int64)
         flat = offset[self.group] + self.row
         self.total = np.concatenate([x.total for x in self.lattices] or [np.zeros(0)])[flat]
 
-    def draw(self, places: np.ndarray, salt: int, slots: np.ndarray, logs: np.ndarray, mass: np.ndarray) -> None:
+    def draw(self, places: np.ndarray, salt: int, slots: np.ndarray, mass: np.ndarray) -> None:
         """Draws a segmentation of each segment occurrence in ``places``: piece ids go to ``slots`` at the pieces' first
-        characters (-1 elsewhere), log probabilities to ``logs``, and the probability of all other segmentations, summed
-        along the path so that it is not a small difference, to ``mass``."""
+        characters (the rest of a segment must hold -1), and the probability of all other segmentations, summed along the
+        path so that it is not a small difference, to ``mass``."""
         kinds = self.group[self.which[places]]
         order = np.argsort(kinds.astype(np.int16) if len(self.lattices) < 1 << 15 else kinds, kind="stable")
         cuts = np.flatnonzero(np.diff(kinds[order])) + 1
         for part in np.split(places[order], cuts) if len(places) else []:
-            g = self.lattices[self.group[self.which[part[0]]]]
-            row, begin, seed = self.row[self.which[part]], self.start[part], self.seeds[self.doc[part]]
-            own = begin - self.base[self.doc[part]]
-            n = int(self.size[part[0]])
-            slots[begin[:, None] + np.arange(n)] = -1
-            end = np.full(len(part), n)
-            gained, same, other = -self.total[self.which[part]], np.ones(len(part)), np.zeros(len(part))
-            live = np.arange(len(part))
-            most, ids, cum = g.cum.shape[2], g.ids.ravel(), g.cum.ravel()
-            while len(live):
-                e = end[live] - 1
-                at = row[live] * n + e
-                u = np.minimum(uniforms(seed[live], salt, own[live] + e).astype(np.float32), BELOW_ONE)
-                passed = np.bitwise_count((g.rough[at] <= u[:, None]).view(U64)).sum(axis=1, dtype=np.int64)
-                width = np.minimum(passed, most - 1)
-                chosen = at * most + width
-                piece, upto = ids[chosen], cum[chosen]
-                below = np.where(width > 0, cum[chosen - 1], 0.0)
-                other[live] += same[live] * (below + (1.0 - upto))
-                same[live] *= upto - below
-                end[live] = e - width
-                slots[begin[live] + end[live]] = piece
-                gained[live] += self._logs(piece)
-                live = live[end[live] > 0]
-            logs[part], mass[part] = np.minimum(gained, 0.0), other
+            g, n = self.lattices[self.group[self.which[part[0]]]], int(self.size[part[0]])
+            row, begin, s = self.row[self.which[part]], self.start[part], len(g.total)
+            own = (begin - self.base[self.doc[part]]).astype(U64)
+            seed = self.seeds[self.doc[part]] + U64(salt * 0xD1342543DE82EF95 % (1 << 64)) + own * U64(_PLACE)
+            steps = np.arange(n, dtype=U64) * U64(_PLACE)
+            end, same, other = np.full(len(part), n), np.ones(len(part)), np.zeros(len(part))
+            most, ids, cum = len(g.ids), g.ids.ravel(), g.cum.ravel()
+            while True:
+                end -= 1
+                at = end * s
+                at += row
+                u = np.minimum(_mixed(seed + steps[end]).astype(np.float32), BELOW_ONE)
+                passed = np.bitwise_count((g.rough[at] <= u[:, None]).view(U64))
+                width = np.minimum(passed[:, 0] if passed.shape[1] == 1 else passed.sum(axis=1), most - 1).astype(np.int64)
+                at += width * (n * s)
+                below, upto = cum[at], cum[at + n * s]
+                other += same * (below + (1.0 - upto))
+                same *= upto - below
+                end -= width
+                slots[begin + end] = ids[at]
+                live = np.flatnonzero(end)
+                if len(live) < len(end):
+                    mass[part] = other  # right where a path has come to its start, and set again elsewhere
+                    if not len(live):
+                        break
+                    part, row, begin, seed, end, same, other = (x[live] for x in (part, row, begin, seed, end, same, other))
+
+    def logs(self, slots: np.ndarray) -> np.ndarray:
+        """The log probability of each segment's drawn segmentation."""
+        drawn = slots != -1
+        gained = self._logs(slots[drawn])
+        gained = np.add.reduceat(gained, (np.cumsum(drawn) - 1)[self.start[:-1]]) if len(gained) else gained
+        return np.minimum(gained - self.total[self.which], 0.0)
 
     def _logs(self, piece: np.ndarray) -> np.ndarray:
         v = self.vocab
         out = v.logs[np.maximum(piece, 0)]
         far = piece < -1
         if far.any():
-            c = -2 - piece[far].astype(np.int64)
-            out[far] = v.rare * (1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000))
+            out[far] = v.rare * utf8_size(-2 - piece[far].astype(np.int64))
         return out
 
     def widths(self, place: int, slots: np.ndarray) -> tuple[int, ...]:
@@ -256,8 +294,8 @@ class Batch:
 
     def _chances(self, place: int, end: int) -> list[float]:
         """The chances of the lengths 1, 2, ... of the last piece before an end position."""
-        run = self.lattices[self.group[self.which[place]]].cum[self.row[self.which[place]], end - 1].tolist()
-        return [b - a for a, b in zip([0.0, *run], run, strict=False)]
+        run = self.lattices[self.group[self.which[place]]].cum[:, end - 1, self.row[self.which[place]]].tolist()
+        return [b - a for a, b in pairwise(run)]
 
     def _tree(self, place: int, avoided: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[list[float]], list[float]]:
         """The prefix tree of avoided segmentations: children by length, what each length has left, and each node's sum."""
@@ -279,12 +317,12 @@ class Batch:
                 left[i] = sum(chances[i])
         return children, chances, left
 
-    def draw_other(self, place: int, avoided: list[tuple[int, ...]], salt: int, slots: np.ndarray, logs: np.ndarray, mass: np.ndarray) -> None:
+    def draw_other(self, place: int, avoided: list[tuple[int, ...]], salt: int, slots: np.ndarray, mass: np.ndarray) -> None:
         """Draws a segmentation of one segment other than those avoided; ``mass`` gets the probability of all but those
         and the drawn one."""
         children, chances, _ = self._tree(place, avoided)
         g, row = self.lattices[self.group[self.which[place]]], self.row[self.which[place]]
-        a, end, node, gained, path = int(self.start[place]), int(self.size[place]), 0, -float(self.total[self.which[place]]), []
+        a, end, node, path = int(self.start[place]), int(self.size[place]), 0, []
         own, seed = a - int(self.base[self.doc[place]]), int(self.seeds[self.doc[place]])
         slots[a : a + end] = -1
         while end:
@@ -295,29 +333,47 @@ class Batch:
                 w += 1
             while not chance[w]:  # rounding has run past the last length that is left
                 w -= 1
-            piece = int(g.ids[row, end - 1, w])
+            piece = int(g.ids[w, end - 1, row])
             w += 1
             node = children[node].get(w) if node is not None else None
             end -= w
             path.append(w)
             slots[a + end] = piece
-            gained += float(self._logs(np.array([piece]))[0])
-        logs[place] = min(gained, 0.0)
         mass[place] = self._tree(place, [*avoided, tuple(path)])[2][0]
 
-    def ids(self, doc: int, slots: np.ndarray) -> np.ndarray:
-        """The piece ids of a text's drawn segmentation."""
-        own = slots[self.base[doc] : self.base[doc + 1]]
-        own = own[own != -1]
-        if (own < -1).any():
-            v = self.vocab
-            own = np.array([i for x in own.tolist() for i in ([x] if x >= 0 else [v.byte_ids[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass")])], dtype=np.int32)
-        return own
+    def pieces(self, drawn: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of texts' drawn segmentations, one after another, and where each begins and the last ends."""
+        slots = np.concatenate(drawn)
+        taken = slots != -1
+        ids = slots[taken]
+        ends = np.cumsum(taken)[np.cumsum([len(x) for x in drawn]) - 1]
+        far = ids < -1
+        if far.any():  # characters outside the vocabulary become the pieces of their bytes
+            c, count = -2 - ids[far].astype(np.int64), np.ones(len(ids), dtype=np.int64)
+            count[far] = utf8_size(c)
+            raw = "".join(map(chr, c.tolist())).encode("utf-8", "surrogatepass")
+            ids = np.repeat(ids, count)
+            ids[np.repeat(far, count)] = np.array(self.vocab.byte_ids, dtype=np.int32)[np.frombuffer(raw, dtype=np.uint8)]
+            ends = np.cumsum(count)[ends - 1]
+        return ids, np.concatenate([[0], ends])
+
+
+def utf8_size(codes: np.ndarray) -> np.ndarray:
+    """Bytes of characters in UTF-8."""
+    return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+def decoded(ids: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> list[bytes]:
+    """The bytes of each run of piece ids, with the dummy prefix."""
+    size = vocab.raw_size[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    raw = vocab.raw[np.repeat(vocab.raw_start[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    return [raw[a:b] for a, b in pairwise(ends[bounds].tolist())]
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     """The text of piece ids, without the dummy prefix."""
-    return b"".join(map(vocab.decoded.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
+    return decoded(ids, np.array([0, len(ids)]), vocab)[0].decode("utf-8", "surrogatepass")[1:]
 
 
 class _Search:
@@ -359,13 +415,27 @@ def open_nodes(b: Batch, found: list[tuple[_Search, float, int]], number: int, s
         s.open.append((own, start, len(s.leaves) - 1, int(own.argmax())))
 
 
-def top_k(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k distinct segmentations: ids, log probability, perturbed value, log inclusion probability.
-    There are fewer only where a text has no more."""
+@dataclass
+class Samples:
+    """Segmentations of a few texts following each other: of row i the text's number, the sample's, log probability,
+    perturbed value, log inclusion probability, and ids[bounds[i]:bounds[i + 1]]; ``decoded``: these give back the text."""
+
+    doc: list[int]
+    sample: list[int]
+    log_prob: list[float]
+    perturbed: list[float]
+    log_inclusion: list[float]
+    ids: np.ndarray
+    bounds: np.ndarray
+    decoded: list[bool]
+
+
+def drawn_samples(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int) -> Iterator[Samples]:
+    """Up to k distinct segmentations of each text, for about OUT_CHARS characters of texts at once."""
     b = Batch(texts, seeds, vocab)
-    slots, logs, mass = np.full(int(b.start[-1]), -1, dtype=np.int32), np.zeros(len(b.which)), np.zeros(len(b.which))
-    b.draw(np.arange(len(b.which)), 1, slots, logs, mass)
-    searches = [_Search(b, d) for d in range(b.n)]
+    slots, mass = np.full(int(b.start[-1]), -1, dtype=np.int32), np.zeros(len(b.which))
+    b.draw(np.arange(len(b.which)), 1, slots, mass)
+    logs, searches = b.logs(slots), [_Search(b, d) for d in range(b.n)]
     roots = -np.log(-np.log(uniforms(b.seeds, 0, np.zeros(b.n))))
     with np.errstate(divide="ignore"):  # a node without mass has the value minus infinity
         if searches:
@@ -377,27 +447,41 @@ def top_k(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int) -> list
                 if value == -math.inf:
                     continue
                 s.close(which, at)
-                own, chosen, _ = s.leaves[leaf]
-                slots[b.base[s.doc] : b.base[s.doc + 1]], logs[s.lo : s.hi] = own, chosen
+                slots[b.base[s.doc] : b.base[s.doc + 1]] = s.leaves[leaf][0]
                 avoided = [*s.avoided.get((leaf, at), ()), b.widths(s.lo + at, slots)]
-                b.draw_other(s.lo + at, avoided, 100 * r, slots, logs, mass)
+                slots[b.start[s.lo + at] : b.base[s.doc + 1]] = -1
+                b.draw_other(s.lo + at, avoided, 100 * r, slots, mass)
                 s.avoided[len(s.leaves), at] = avoided
                 places.append(np.arange(s.lo + at + 1, s.hi))
                 todo.append((s, value, at))
             if todo:
-                b.draw(np.concatenate(places), r, slots, logs, mass)
-                open_nodes(b, todo, r, slots, logs, mass)
-    out = []
-    for s in searches:
-        kappa, rows = s.best()[0], []
-        for own, chosen, value in s.leaves:
-            slots[b.base[s.doc] : b.base[s.doc + 1]] = own
-            p = float(chosen.sum())
-            # log(1 - exp(-exp(d))): d itself where exp(d) is tiny
-            d = p - kappa
-            inclusion = 0.0 if d > 30 else d if d < -30 else math.log(-math.expm1(-math.exp(d)))
-            rows.append((b.ids(s.doc, slots), p, value, inclusion))
-        out.append(rows)
+                b.draw(np.concatenate(places), r, slots, mass)
+                open_nodes(b, todo, r, slots, b.logs(slots), mass)
+    step = 0
+    while step < b.n:
+        upto = max(step + 1, int(np.searchsorted(b.base, b.base[step] + OUT_CHARS, side="right")) - 1)
+        rows = []
+        for s in searches[step:upto]:
+            kappa = s.best()[0]
+            for i, (_, chosen, value) in enumerate(s.leaves):
+                p = float(chosen.sum())
+                # log(1 - exp(-exp(d))): d itself where exp(d) is tiny
+                d = p - kappa
+                rows.append((s.doc, i + 1, p, value, 0.0 if d > 30 else d if d < -30 else math.log(-math.expm1(-math.exp(d)))))
+        doc, *numbers = map(list, zip(*rows, strict=True))
+        ids, bounds = b.pieces([own for s in searches[step:upto] for own, *_ in s.leaves])
+        same = [raw == b.bytes[b.bytes_base[d] : b.bytes_base[d + 1]] for d, raw in zip(doc, decoded(ids, bounds, vocab), strict=True)]
+        yield Samples(doc, *numbers, ids, bounds, same)
+        step = upto
+
+
+def top_k(texts: list[str], seeds: list[int], vocab: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text up to k distinct segmentations: ids, log probability, perturbed value, log inclusion probability.
+    There are fewer only where a text has no more."""
+    out = [[] for _ in texts]
+    for s in drawn_samples(texts, seeds, vocab, k):
+        for d, a, z, *numbers in zip(s.doc, s.bounds[:-1], s.bounds[1:], s.log_prob, s.perturbed, s.log_inclusion, strict=True):
+            out[d].append((s.ids[a:z], *numbers))
     return out
 
 
@@ -415,24 +499,23 @@ def sampled(docs: DataFrame, k: int = 2, theta: float = 0.5, key: str = "doc_id"
     """
     vocab, kind = load(path or model_path(), theta), docs.schema[key].dataType.simpleString()
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = ["" if x is None else x for x in batch["key"]], [t or "" for t in batch["text"]]
+            names, texts = batch.column("key"), [t or "" for t in batch.column("text").to_pylist()]
+            seeds = [xxhash.xxh64_intdigest(x or "", seed) for x in names.to_pylist()]
             ends, at = np.cumsum([len(t) for t in texts]), 0
             while at < len(texts):
                 upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch_chars, side="right")))
-                rows = []
-                found = top_k(texts[at:upto], [xxhash.xxh64_intdigest(x, seed) for x in keys[at:upto]], vocab, k)
-                for name, text, samples in zip(batch["key"][at:upto], texts[at:upto], found, strict=True):
-                    for i, (ids, p, value, inclusion) in enumerate(samples):
-                        digest = xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes())
-                        rows.append((name, i + 1, len(ids), p, value, inclusion, ids if with_ids else None, digest, decode(ids, vocab) == text))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in SAMPLES.split(", ")])
-                at, rows, found = upto, [], []
+                for s in drawn_samples(texts[at:upto], seeds[at:upto], vocab, k):
+                    digests = [xxhash.xxh64_hexdigest(s.ids[a:z].astype("<i4", copy=False).data) for a, z in pairwise(s.bounds.tolist())]
+                    ids = pa.ListArray.from_arrays(pa.array(s.bounds, pa.int32()), pa.array(s.ids, pa.int32())) if with_ids else pa.nulls(len(s.doc), pa.list_(pa.int32()))
+                    columns = [names.take(pa.array(np.array(s.doc) + at)), pa.array(s.sample, pa.int32()), pa.array(np.diff(s.bounds), pa.int64()), *(pa.array(x, pa.float64()) for x in (s.log_prob, s.perturbed, s.log_inclusion))]
+                    yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(digests, pa.string()), pa.array(s.decoded, pa.bool_())], names=[x.split()[0] for x in SAMPLES.split(", ")])
+                at = upto
                 release_memory()
 
     plain = docs.select(F.col(key).cast("string").alias("key"), F.col("text"))
-    found = plain.mapInPandas(task, SAMPLES)
+    found = plain.mapInArrow(task, SAMPLES)
     return found.select(F.col("key").cast(kind).alias(key), *(x.split()[0] for x in SAMPLES.split(", ")[1:]))
 
 
