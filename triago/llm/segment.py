@@ -101,8 +101,8 @@ class Vocabulary:
         keys = keys.ravel()
         shift, own = self.tables[0]
         slots = (keys >> U64(shift)).view(np.int64)
-        at = np.flatnonzero(self.taken[slots])  # only a taken slot sends a piece to the next table
-        ids, keys = own[slots[at]], keys[at]
+        at = np.flatnonzero(self.taken.take(slots))  # only a taken slot sends a piece to the next table
+        ids, keys = own.take(slots.take(at)), keys.take(at)
         hit = self.key_of[ids] == keys
         for shift, own in self.tables[1:]:
             rest = np.flatnonzero(~hit)
@@ -255,21 +255,21 @@ class Batch:
                 end -= 1
                 at = end * s
                 at += row
-                u = np.minimum(_mixed(seed + steps[end]).astype(np.float32), BELOW_ONE)
-                passed = np.bitwise_count((g.rough[at] <= u[:, None]).view(U64))
+                u = np.minimum(_mixed(seed + steps.take(end)).astype(np.float32), BELOW_ONE)
+                passed = np.bitwise_count((g.rough.take(at, axis=0) <= u[:, None]).view(U64))
                 width = np.minimum(passed[:, 0] if passed.shape[1] == 1 else passed.sum(axis=1), most - 1).astype(np.int64)
                 at += width * (n * s)
-                below, upto = cum[at], cum[at + n * s]
+                below, upto = cum.take(at), cum.take(at + n * s)
                 other += same * (below + (1.0 - upto))
                 same *= upto - below
                 end -= width
-                slots[begin + end] = ids[at]
+                slots[begin + end] = ids.take(at)
                 live = np.flatnonzero(end)
                 if len(live) < len(end):
                     mass[part] = other  # right where a path has come to its start, and set again elsewhere
                     if not len(live):
                         break
-                    part, row, begin, seed, end, same, other = (x[live] for x in (part, row, begin, seed, end, same, other))
+                    part, row, begin, seed, end, same, other = (x.take(live) for x in (part, row, begin, seed, end, same, other))
 
     def logs(self, slots: np.ndarray) -> np.ndarray:
         """The log probability of each segment's drawn segmentation."""
