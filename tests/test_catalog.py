@@ -45,3 +45,21 @@ def test_mask_summary_keeps_long_numbers(spark, tmp_path):
     spark.sql("SELECT 1L AS c_custkey, 'x' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r.doc_id: r.numero for r in catalog.mask_field_summary(spark, str(tmp_path)).collect()}
     assert got == {7: "FA-7", 9999999: "FA-9999999", 10000000: "FA-[MASQUÉ]", 123456789: "FA-[MASQUÉ]"}
+
+
+def test_masked_text_equals_sql_on_odd_texts(spark, tmp_path):
+    """Numbers that a phone's form joins, words and letters beside numbers, nulls."""
+    duckdb = pytest.importorskip("duckdb")
+    from triago.plans import catalog
+
+    texts = [
+        "call (969) 555-0612 53.12.34.56 now", "0612345678 12", "06-12-34-56-78", "ma 12345 67890 12", "+212 6 12 34 56 78", "a CIN", "cin : ab 12", "carte nationale x", "éa12345 a12345é ab12345_", "AB 12345 À 12345",
+        "1 123456789012345678901234 5", "١٢٣٤٥٦٧٨", "x.y+z@été-b.c_d.+u@v.w", "@a.b a@b", "", None,
+    ]
+    rows = [(i + 16 * j, t, s) for j, s in enumerate(("s", "n1@exemple.ma", None)) for i, t in enumerate(texts)] + [(-4, "t", "s"), (-5, "t", "s"), (10**9 + 6, "t", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'fr' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = sorted(con.execute(catalog.oracle_sql()["mask_text"]).fetchall(), key=lambda r: r[0])
+    got = sorted(((r.doc_id, r.had_email, r.masked) for r in catalog.mask_text(spark, str(tmp_path)).collect()), key=lambda r: r[0])
+    assert got == wanted
