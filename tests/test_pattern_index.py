@@ -57,3 +57,24 @@ def test_the_plan_does_not_grow_with_the_registry(spark):
     assert size(5000) <= size(5) + 100
     with pytest.raises(ValueError, match="no word"):
         matched(docs, spark.range(pattern_index.OPEN + 1).selectExpr("concat('w', id) AS pattern"))
+
+
+def test_required_pairs():
+    wanted = {
+        r"\bles\s+parties\b": [["les parties"]], r"\bentre les deux\b": [["entre les"], ["les deux"]], r"\b(montant|total) ht\b": [["montant ht", "total ht"]], r"\bl'eau, (?:de|du)\b": [["l,eau"], ["eau,de", "eau,du"]],
+        r"\bnote d.honoraires\b": [["note"]], r"\ba b\b.*\bc\b": [["a b"], ["c"]], r"\ba\b\bb\b": [["a"], ["b"]], r"\ba\b|\bb c\b": [["a", "b c"]], r"\ba\s*b\b": [], r"\ba?\s+b c\b": [["b c"]], r"\ba\b": [["a"]], r"\ba \s+b\b": [["a b"]],
+    }
+    assert {p: required(p, True) for p in wanted} == wanted
+
+
+def test_frequent_words_that_are_no_neighbours_are_not_tried(spark):
+    """The patterns' words are in all texts: by words alone each of 900 patterns would be tried on each of 300 texts. Only those of
+    neighbours are."""
+    names = [a + b for a in "abcdef" for b in "vwxyz"]
+    pairs = spark.createDataFrame([(rf"\b{a}\s+{b}\b",) for a in names for b in names], "pattern string")
+    rng = random.Random(3)
+    docs = [(i, rng.choice((" ", "\n", ", ", "é ")).join(rng.sample(names, len(names)))) for i in range(300)]
+    keys = pattern_index.keyed(pairs).collect()
+    assert {(r.pattern, *r.words) for r in keys} == {(rf"\b{a}\s+{b}\b", f"{a} {b}") for a in names for b in names}
+    got = sorted((r.doc_id, r.pattern) for r in matched(spark.createDataFrame(docs, "doc_id long, text string"), pairs).collect())
+    assert got == sorted((i, rf"\b{a}\s+{b}\b") for i, t in docs for a, b in re.findall(r"(?=\b(\w+)\s+(\w+)\b)", folded(t)) if a in names and b in names)
