@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from triago.operators import filing
 from triago.operators.prefix import running
@@ -96,3 +97,16 @@ def test_runs_of_workers_equal_a_plain_walk(spark):
     got = worker_runs(pages, ["at"])
     assert sorted(map(str, ([r.run, r.worker, r.start, r.pages, r.peak_mb] for r in got.collect()))) == sorted(map(str, wanted))
     assert worker_runs(pages.limit(0), ["at"]).count() == 0
+
+
+def test_names_are_given_to_documents_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def base(source):
+        seen.add(1)
+        return "a"
+
+    docs = spark.range(20).select(F.col("id").cast("string").alias("source"), F.lit("F").alias("folder"), base(F.col("id").cast("string")).alias("base"))
+    assert filing.without_collisions(docs).select("name").distinct().count() == 20
+    assert seen.value == 20

@@ -9,6 +9,7 @@ from triago import fixed
 from triago.functions.naming import base_name, shortened
 from triago.operators.prefix import running
 from triago.operators.registry import SUBFOLDER_PART, expected_fields, name_model
+from triago.shared import written
 
 
 def fingerprint(content: Column) -> Column:
@@ -68,7 +69,8 @@ def without_collisions(docs: DataFrame, taken: DataFrame | None = None, order: s
     number of blocked ones below it. As the ith blocked number b has b - i free ones below it, it counts for every n above
     b - i, so these values and all n are sorted together and another running sum counts the blocked ones before each n.
     """
-    mine = docs.select(F.struct(*(c for c in docs.columns if c != "name")).alias("doc"), "folder", F.lower("base").alias("low"), F.lit(1).alias("kind"), F.col(order).alias("at"))
+    # written once: its ranges are drawn, and its names and places read, in passes of their own
+    mine = written(docs.select(F.struct(*(c for c in docs.columns if c != "name")).alias("doc"), "folder", F.lower("base").alias("low"), F.lit(1).alias("kind"), F.col(order).alias("at")))
     names = mine.select("folder", "low")
     queue = mine
     if taken is not None:

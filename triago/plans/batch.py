@@ -1,4 +1,4 @@
-"""The batch as one lazy plan: pages to lines, verdicts, engine replies, fields, checks and filing decisions."""
+"""The batch: pages to lines, verdicts, engine replies, fields, checks and filing decisions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from triago import fixed
 from triago.functions.naming import proposed_name
 from triago.operators import classify, engine, extract, filing
+from triago.shared import written
 from triago.sources import ocr
 
 
@@ -38,8 +39,9 @@ def processed(docs: DataFrame, registry: dict, ref_year: int, pages: DataFrame |
     ``free_replies``: (doc_id, field, value) of an engine for free fields, grounded here; ``taken``: names in use.
     """
     rows = classified(prepared(docs, pages), registry, engine_name)
-    rows = rows.withColumn("doubt", F.col("needs_review"))
     carried = ("source", "text", "lines", "merge_alerts", "category", "proposed", "subfolder", "rule_verdict", "confidence", "doubt")
+    # written once, as fields and documents are two passes
+    rows = written(rows.withColumn("doubt", F.col("needs_review")).select("doc_id", "type", *carried))
     rows = extract.document_results(rows, extract.extracted(rows, registry, ref_year), registry, carried=carried)
     rows = rows.withColumnsRenamed({"alerts": "field_alerts", "needs_review": "field_review"})
     free_review, free_alerts = F.lit(False), F.array().cast("array<string>")
