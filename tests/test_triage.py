@@ -251,3 +251,10 @@ def test_pages_and_batch(spark):
     assert Decimal(got[1].fields["montant_ttc"]) == Decimal("768.60") and got[1].totals.status == "ok" and "Net à payer" in got[1].text
     assert got[1].name in ("scan_1", "facture_2026-02-03_pc_26-318")
     assert got[3].alerts[0] == "page 1 : OCR indisponible (delai)" and got[3].folder == fixed.REVIEW_FOLDER and got[3].name == "c" and got[2].text == "facture tva\nttc"
+
+
+def test_a_string_that_all_matches_hold():
+    wanted = {
+        r"\bnote d.honoraires\b": "honoraires", r"\b(montant|total) ht\b": " ht", r"\bttc\b": "ttc", r"\b(deug|master)\b": "", r"(?i)\bttc\b": "", r"\bfactures?\b": "facture", r"a|b": "", r"(": "", r"(?:abc)?de*f": "d", r"\barticle \d+\b": "article ",
+    }
+    assert {p: registry.literal_in(p) for p in wanted} == wanted

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from triago import fixed
 from triago.functions.naming import proposed_name
 from triago.functions.text import arabic_share, fold, java, let, title_zone
+from triago.operators.registry import literal_in
 
 CLEAR, WEAK, TIE, NONE, RULE = "clear", "weak", "tie", "none", "business_rule"
 REPLY = "struct<ok: boolean, category: string, proposed: string, near: string, error: string>"
@@ -21,8 +22,14 @@ def folded_pair(text: Column) -> Column:
     return F.struct(fold(F.coalesce(text, F.lit(""))).alias("all"), fold(title_zone(text)).alias("title"))
 
 
+def occurs(t: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in a folded text; looked for only where the string that its matches hold is there."""
+    found, literal = t.rlike(java(pattern)), literal_in(pattern)
+    return F.contains(t, F.lit(literal)) & found if literal else found
+
+
 def folded_scores(t: Column, registry: dict) -> Column:
-    hits = ((F.lit(c["name"]), reduce(lambda a, b: a + b, (t.rlike(java(k)).cast("int") for k in c["keywords"]), F.lit(0))) for c in registry["categories"])
+    hits = ((F.lit(c["name"]), reduce(lambda a, b: a + b, (occurs(t, k).cast("int") for k in c["keywords"]), F.lit(0))) for c in registry["categories"])
     return F.create_map(*(x for pair in hits for x in pair))
 
 
@@ -49,7 +56,7 @@ def folded_rule(t: Column, registry: dict) -> Column:
     """struct(category, description) of the first rule whose patterns all occur in a folded text, else null."""
     out = F.lit(None).cast("struct<category: string, description: string>")
     for r in reversed(registry["rules"]):
-        every = reduce(lambda a, b: a & b, (t.rlike(java(p)) for p in r["patterns"]))
+        every = reduce(lambda a, b: a & b, (occurs(t, p) for p in r["patterns"]))
         out = F.when(every, F.struct(F.lit(r["category"]).alias("category"), F.lit(r["description"]).alias("description"))).otherwise(out)
     return out
 
@@ -59,7 +66,7 @@ def folded_subfolders(pair: Column, registry: dict) -> Column:
     names none the only one of the whole text; else the one for others."""
 
     def named(t: Column, own: dict) -> Column:
-        hits = (F.when(reduce(lambda a, b: a | b, (t.rlike(java(k)) for k in s["keywords"])), F.lit(s["name"])) for s in own["subfolders"] if s["keywords"])
+        hits = (F.when(reduce(lambda a, b: a | b, (occurs(t, k) for k in s["keywords"])), F.lit(s["name"])) for s in own["subfolders"] if s["keywords"])
         return F.array_compact(F.array(*hits))
 
     def only(names: Column) -> Column:
