@@ -253,6 +253,14 @@ def test_pages_and_batch(spark):
     assert got[3].alerts[0] == "page 1 : OCR indisponible (delai)" and got[3].folder == fixed.REVIEW_FOLDER and got[3].name == "c" and got[2].text == "facture tva\nttc"
 
 
+def test_lines_below_a_label_are_read_only_where_the_line_itself_gives_no_value(spark, monkeypatch):
+    whole = extract.raw_value
+    monkeypatch.setattr(extract, "raw_value", lambda setting, text, alone: F.raise_error(F.lit("read")).cast("string") if alone else whole(setting, text, alone))
+    docs = spark.createDataFrame([(1, "factures", "Total HT : 5,00 DH\nTVA 20 % : 1,00 DH\nDate : 03/02/2026\nN° : A1\nTotal TTC : 6,00 DH")], "doc_id long, type string, text string").withColumn("lines", extract.text_lines(F.col("text")))
+    got = {r.field: r.value for r in extract.extracted(docs, fixed.REGISTRY, 2026).collect()}
+    assert got == {"montant_ht": "5.000000", "tva": "1.000000", "date_facture": "2026-02-03", "numero": "A1", "montant_ttc": "6.000000"}
+
+
 def test_a_string_that_all_matches_hold():
     wanted = {
         r"\bnote d.honoraires\b": "honoraires", r"\b(montant|total) ht\b": " ht", r"\bttc\b": "ttc", r"\b(deug|master)\b": "", r"(?i)\bttc\b": "", r"\bfactures?\b": "facture", r"a|b": "", r"(": "", r"(?:abc)?de*f": "d", r"\barticle \d+\b": "article ",

@@ -90,10 +90,10 @@ def labelled(docs: DataFrame, key: str, type_: str, lines: str, registry: dict,
     return rows.select("key", "type", "line", "text", "conf", "page", "norm", "after", F.explode(codes).alias("code"))
 
 
-def written_values(rows: DataFrame, settings: dict, known: list[str]) -> DataFrame:
-    """key, type, field, kind, label, line, more, page, conf, conf_below, beside and below of ``labelled`` rows: what is written
-    after the label and, to be used if that gives no value, below it, with the number of lines below that this takes. Of all
-    fields' patterns only those of a row's own field are tried."""
+def written_values(rows: DataFrame, settings: dict, known: list[str]) -> tuple[DataFrame, Column, Column]:
+    """key, type, field, kind, label, line, more, page, conf and beside of ``labelled`` rows: what is written after the label. With
+    them what is written below it and its confidence, over ``more`` lines, as columns to be worked out where beside gives no
+    value. Of all fields' patterns only those of a row's own field are tried."""
     labels = labels_of(settings, known)
     code, more, after = F.col("code"), F.col("more"), F.col("after")
     alike: dict[str, list[int]] = {}  # fields whose values are written alike share their patterns
@@ -123,13 +123,14 @@ def written_values(rows: DataFrame, settings: dict, known: list[str]) -> DataFra
     whole = F.array_join(F.concat(F.array("rest"), F.transform(F.slice(after, F.lit(1), more), lambda y: y["text"])), " ")
     below = by_kind(lambda s: F.when(more > 0, raw_value(s, whole, False)) if s.get("more_lines") else raw_value(s, F.get(after, F.lit(0))["text"], True))
     named = lambda values: F.element_at(F.array(*map(F.lit, values)), code + 1)
-    return rows.select(
+    rows = rows.select(
         "key", "type", named([f for f, _, _ in labels]).alias("field"), named([settings[f]["type"] for f, _, _ in labels]).alias("kind"), named([i for _, i, _ in labels]).alias("label"),
-        "line", "more", "page", "conf", F.array_min(used).alias("conf_below"), by_kind(lambda s: raw_value(s, F.col("rest"), False)).alias("beside"), below.alias("below"),
+        "line", "more", "page", "conf", by_kind(lambda s: raw_value(s, F.col("rest"), False)).alias("beside"), "code", "rest", "after",
     )
+    return rows, below, F.array_min(used)
 
 
-def read_values(found: DataFrame, ref_year: int) -> DataFrame:
+def read_values(found: DataFrame, below: Column, conf_below: Column, ref_year: int) -> DataFrame:
     """``written_values`` rows with value, amount, alerts, value_line and conf. What stands beside the label is read first and,
     if that gives no value, what stands below it."""
     none, no_alerts = F.lit(None).cast(DECIMAL), F.array().cast("array<string>")
@@ -142,16 +143,14 @@ def read_values(found: DataFrame, ref_year: int) -> DataFrame:
             .otherwise(F.struct(raw.alias("value"), none.alias("amount"), no_alerts.alias("alerts")))
         )
 
-    def next_(acc: Column, raw: Column) -> Column:
-        more = let(read(raw), lambda one: F.struct((acc["read"] + 1).alias("read"), one["value"].alias("value"), one["amount"].alias("amount"), F.concat(acc["alerts"], one["alerts"]).alias("alerts")))
-        return F.when(acc["value"].isNotNull(), acc).when(raw.isNull(), F.struct((acc["read"] + 1).alias("read"), acc["value"].alias("value"), acc["amount"].alias("amount"), acc["alerts"].alias("alerts"))).otherwise(more)
-
-    start = F.struct(F.lit(0).alias("read"), F.lit(None).cast("string").alias("value"), none.alias("amount"), no_alerts.alias("alerts"))
-    rows = found.withColumn("one", F.aggregate(F.array("beside", "below"), start, next_))
-    is_below = F.col("one.value").isNotNull() & (F.col("one.read") == 2)
+    # a projection each: the second holds the expressions of the lines below and works them out for few rows
+    rows = found.withColumn("first", let(F.col("beside"), read))
+    rows = rows.withColumn("second", F.when(F.col("first.value").isNull(), let(below, read)))
+    is_below = F.col("second.value").isNotNull()
     return rows.select(
-        *(c for c in found.columns if c not in ("kind", "more", "conf", "conf_below", "beside", "below")), (F.col("line") + F.when(is_below, F.col("more")).otherwise(0)).alias("value_line"),
-        F.when(is_below, F.col("conf_below")).otherwise(F.col("conf")).alias("conf"), F.col("one.value").alias("value"), F.col("one.amount").alias("amount"), F.col("one.alerts").alias("alerts"),
+        *(c for c in found.columns if c not in ("kind", "more", "conf", "beside", "code", "rest", "after")), (F.col("line") + F.when(is_below, F.col("more")).otherwise(0)).alias("value_line"),
+        F.when(is_below, conf_below).otherwise(F.col("conf")).alias("conf"), F.coalesce("first.value", "second.value").alias("value"), F.coalesce("first.amount", "second.amount").alias("amount"),
+        F.concat("first.alerts", F.coalesce("second.alerts", no_alerts)).alias("alerts"),
     )
 
 
@@ -159,8 +158,8 @@ def candidates(docs: DataFrame, key: str, type_: str, lines: str, registry: dict
     """(key, type, candidate fields) of every line and expected field with a label."""
     types = [c["name"] for c in registry["categories"]]
     known = [f for f in settings if any(f in expected_fields(registry, t) for t in (*types, None))]
-    rows = written_values(labelled(docs, key, type_, lines, registry, settings, known), settings, known)
-    return read_values(rows, ref_year).withColumnRenamed("key", key)
+    rows, below, conf_below = written_values(labelled(docs, key, type_, lines, registry, settings, known), settings, known)
+    return read_values(rows, below, conf_below, ref_year).withColumnRenamed("key", key)
 
 
 def chosen(found: DataFrame, key: str, settings: dict) -> DataFrame:
